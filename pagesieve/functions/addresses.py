@@ -28,26 +28,27 @@ def _v4_number(ip: Column) -> Column:
 def _v6_hex(ip: Column) -> Column:
     """An IPv6 text as 32 hex digits, or null when it is not a valid address."""
     text = F.lower(F.regexp_replace(ip, r"%.*\z", ""))
-    tail = F.regexp_extract(text, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\z", 1)
-    digits = F.lpad(F.lower(F.hex(_v4_number(tail))), 8, "0")
-    groups_of_tail = F.concat(F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))
-    text = F.when(tail == "", text).when(
-        is_ipv4(tail), F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), groups_of_tail)
-    )
-    halves = F.split(text, "::")
-    left, right = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
-
-    def groups(half: Column) -> Column:
-        return F.filter(F.split(half, ":"), lambda g: g != "")
-
-    missing = F.lit(8) - F.size(groups(left)) - F.size(groups(right))
-    short = F.size(halves) == 2
-    valid = (
-        (F.size(halves) <= 2) & left.rlike(_V6_GROUPS) & right.rlike(_V6_GROUPS) & text.contains(":")
-        & F.when(short, missing >= 1).otherwise(missing == 0)
-    )
-    full = F.concat(groups(left), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), groups(right))
-    return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def dotted_tail(t: Column) -> Column:
+        """An IPv4 tail rewritten as two hex groups."""
+        tail = F.regexp_extract(t, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\z", 1)
+        digits = F.lpad(F.lower(F.hex(_v4_number(tail))), 8, "0")
+        return F.when(~t.contains("."), t).when(
+            is_ipv4(tail), F.concat(F.regexp_replace(t, r"[0-9.]+\z", ""), F.regexp_replace(digits, r"\A(.{4})", "$1:"))
+        )
+
+    def expand(halves: Column) -> Column:
+        sides = F.transform(halves, lambda h: F.filter(F.split(h, ":"), lambda g: g != ""))
+        return let(sides, lambda s: join(halves, F.get(s, F.lit(0)), F.coalesce(F.get(s, F.lit(1)), F.array().cast("array<string>"))))
+
+    def join(halves: Column, left: Column, right: Column) -> Column:
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        shape = F.when(F.size(halves) == 2, missing >= 1).otherwise((F.size(halves) == 1) & (missing == 0))
+        valid = shape & F.forall(halves, lambda h: h.rlike(_V6_GROUPS))
+        full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+        return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return let(let(text, dotted_tail), lambda t: F.when(t.contains(":"), let(F.split(t, "::", -1), expand)))
 
 
 def _in_v4_blocks(number: Column, blocks: list[str]) -> Column:
@@ -73,12 +74,12 @@ def _v4_public(number: Column) -> Column:
     return ~_in_v4_blocks(number, C.IPV4_PRIVATE) | _in_v4_blocks(number, C.IPV4_PUBLIC_EXCEPTIONS)
 
 
-def is_ip(ip: Column) -> Column:
-    return is_ipv4(ip) | (ip.contains(":") & _v6_hex(ip).isNotNull())
-
-
 def is_public_ip(ip: Column) -> Column:
     """True or false for a valid address, null for anything else. Multicast counts as public."""
+    return let(ip, _is_public)
+
+
+def _is_public(ip: Column) -> Column:
 
     def v6_public(digits: Column) -> Column:
         inner = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")

@@ -54,9 +54,13 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes); kind is open, close, empty or text. Neighbouring text
     pieces come as one, comments and declarations split them."""
     pending: list[str] = []
-    at, size = 0, len(html)
+    at, size, last = 0, len(html), html.rfind(">")
     while at <= size:
         m = _TOKEN.match(html, at) if at < size else None
+        if at > last and m and not html.startswith("<!--", at):
+            pending.append(html[at:])  # no tag can end here any more
+            at = size
+            continue
         if m and m[6] is not None:
             pending.append(m[6])
             at = m.end()

@@ -12,8 +12,9 @@ LINE_BREAK = r"\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
 def strip(c: Column) -> Column:
-    """Trim all Unicode whitespace; SQL `trim` only knows the space character."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Trim all Unicode whitespace; SQL `trim` only knows the space character. The look-behind
+    keeps long blank runs inside a text from being tried from each of their characters."""
+    return F.regexp_replace(c, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def collapse_newlines(c: Column) -> Column:
@@ -21,8 +22,11 @@ def collapse_newlines(c: Column) -> Column:
 
 
 def strip_tags_regex(c: Column) -> Column:
-    """Last-resort text: each tag becomes a space."""
-    return strip(collapse_newlines(F.regexp_replace(c, "<[^>]+>", " ")))
+    """Last-resort text: each tag becomes a space. Nothing after the last `>` can match, and is
+    kept out of the search: there every `<` would be tried up to the end of the page."""
+    tail = F.substring_index(c, ">", -1)
+    tagged = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+    return strip(collapse_newlines(F.concat(F.regexp_replace(tagged, "<[^>]+>", " "), tail)))
 
 
 def clean_markdown(c: Column) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagesieve import constants as C
+from pagesieve.functions.common import let
 from pagesieve.functions.text import SPACE, strip
 
 _SCHEME = r"\A([a-zA-Z][a-zA-Z0-9+.-]*):"
@@ -39,8 +40,11 @@ def url_scheme(url: Column) -> Column:
 
 def url_scheme_port(url: Column) -> Column:
     """struct(scheme, port, port_error); the port defaults to 443 for https and 80 otherwise."""
-    scheme = url_scheme(url)
     raw = F.regexp_extract(_host_and_port(url), _PORT, 1)
+    return let(F.struct(url_scheme(url).alias("scheme"), raw.alias("raw")), lambda u: _port(u["scheme"], u["raw"]))
+
+
+def _port(scheme: Column, raw: Column) -> Column:
     number = raw.try_cast("bigint")
     default = F.when(scheme == "https", F.lit(443)).otherwise(F.lit(80)).cast("bigint")
     error = (
@@ -48,9 +52,7 @@ def url_scheme_port(url: Column) -> Column:
         .when(~raw.rlike(r"\A[0-9]+\z"), F.concat(F.lit("Port could not be cast to integer value as '"), raw, F.lit("'")))
         .when(number.isNull() | (number > 65535), F.lit("Port out of range 0-65535"))
     )
-    port = F.when(error.isNotNull(), F.lit(None).cast("bigint")).otherwise(
-        F.when(raw.isin("") | (number == 0), default).otherwise(number)
-    )
+    port = F.when(error.isNull(), F.when((raw == "") | (number == 0), default).otherwise(number))
     return F.struct(scheme.alias("scheme"), port.alias("port"), error.alias("port_error"))
 
 
@@ -113,36 +115,39 @@ def is_redirect(status: Column) -> Column:
 def resolve_location(base: Column, location: Column) -> Column:
     """The absolute target of a redirect (RFC 3986 reference resolution)."""
     ref = F.regexp_replace(_tidy(location), rf"{SPACE}+\z", "")
+    return let(ref, lambda r: F.when(r.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.-]*:"), r).otherwise(_resolve(base, r)))
+
+
+def _resolve(base: Column, ref: Column) -> Column:
     parts = r"\A([a-zA-Z][a-zA-Z0-9+.-]*:)(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
     scheme = F.regexp_extract(base, parts, 1)
     site = F.concat(scheme, F.regexp_extract(base, parts, 2))
-    path = F.regexp_extract(base, parts, 3)
-    query = F.regexp_extract(base, parts, 4)
+    path, query = F.regexp_extract(base, parts, 3), F.regexp_extract(base, parts, 4)
     folder = F.regexp_replace(path, r"[^/]*\z", "")
-    ref_path = F.regexp_extract(ref, r"\A([^?#]*)", 1)
-    ref_tail = F.regexp_extract(ref, r"\A[^?#]*(.*)\z", 1)
+    ref_path, ref_tail = F.regexp_extract(ref, r"\A([^?#]*)", 1), F.regexp_extract(ref, r"\A[^?#]*(.*)\z", 1)
     merged = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path)
     rooted = F.when(ref_path.startswith("/"), ref_path).otherwise(F.regexp_replace(merged, "/{2,}", "/"))
     return (
         F.when(ref == "", base)
-        .when(ref.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(scheme, ref))
         .when(ref.startswith("?"), F.concat(site, path, ref))
         .when(ref.startswith("#"), F.concat(site, path, query, ref))
-        .otherwise(F.concat(site, _remove_dots(rooted), ref_tail))
+        .otherwise(F.concat(site, let(rooted, _remove_dots), ref_tail))
     )
 
 
 def _remove_dots(path: Column) -> Column:
     """Resolve `.` and `..` path segments; paths without them are passed through."""
-    segments = F.slice(F.split(path, "/"), 2, F.lit(1_000_000))
+    segments = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     folded = F.aggregate(
         segments,
         F.array().cast("array<string>"),
         lambda kept, s: F.when(s == ".", kept)
         .when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
         .otherwise(F.concat(kept, F.array(s))),
+        lambda kept: F.concat(
+            F.lit("/"), F.array_join(kept, "/"),
+            F.when((F.size(kept) > 0) & path.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit("")),
+        ),
     )
-    tail = F.when(path.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
-    tail = F.when(F.size(folded) == 0, F.lit("")).otherwise(tail)
-    return F.when(path.rlike(r"/\.\.?(?:/|\z)"), F.concat(F.lit("/"), F.array_join(folded, "/"), tail)).otherwise(path)
+    return F.when(path.rlike(r"/\.\.?(?:/|\z)"), folded).otherwise(path)

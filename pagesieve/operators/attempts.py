@@ -17,8 +17,14 @@ from pagesieve.functions.gates import access_restriction, sparse_warning
 from pagesieve.operators.skew import skewable_join
 
 ATTEMPT_FIELDS = ["attempt_id", "tier", "success", "content_length", "elapsed_ms", "error"]
-_ORDER = F.struct("elapsed_ms", "attempt_id")
-_GOOD = F.col("success") & (F.col("content_length") >= C.GOOD_CHARS)
+
+
+def _order() -> Column:
+    return F.struct("elapsed_ms", "attempt_id")
+
+
+def _good() -> Column:
+    return F.col("success") & (F.col("content_length") >= C.GOOD_CHARS)
 
 
 def union_attempts(*logs: DataFrame) -> DataFrame:
@@ -59,7 +65,7 @@ def global_timeouts(attempts: DataFrame) -> DataFrame:
     result had ended the race before. Takes the log before apply_deadlines."""
     late = F.col("elapsed_ms") > C.GLOBAL_DEADLINE_MS
     waiting = _apply_caps(attempts).groupBy("request_id").agg(
-        F.max(late).alias("late"), F.max(_GOOD & ~late).alias("won")
+        F.max(late).alias("late"), F.max(_good() & ~late).alias("won")
     )
     text = F.lit(f"Global timeout ({C.GLOBAL_DEADLINE_MS / 1000:.1f}s) reached")
     return waiting.filter(F.col("late") & ~F.col("won")).select("request_id", text.alias("warning"))
@@ -67,32 +73,40 @@ def global_timeouts(attempts: DataFrame) -> DataFrame:
 
 def _hit() -> Column:
     """Earliest good result of a request, as (elapsed_ms, attempt_id)."""
-    return F.min(F.when(_GOOD, _ORDER))
+    return F.min(F.when(_good(), _order()))
 
 
-def pick_winner(attempts: DataFrame) -> DataFrame:
-    """One row per request: the first success of at least the good length, else the longest
-    success, the earliest on ties. Requests without a success keep a null winner."""
+def winner_aggregates() -> list[Column]:
+    """The earliest good result and the longest success of a group, as good and long."""
     fields = F.struct("attempt_id", "tier", "content_length", "elapsed_ms")
-    first_good = F.min(F.when(_GOOD, F.struct("elapsed_ms", "attempt_id", fields.alias("row"))))
+    first_good = F.min(F.when(_good(), F.struct("elapsed_ms", "attempt_id", fields.alias("row"))))
     longest = F.max(F.when(
         F.col("success") & (F.col("content_length") > 0),
         F.struct("content_length", (-F.col("elapsed_ms")).alias("e"), (-F.col("attempt_id")).alias("a"), fields.alias("row")),
     ))
-    best = attempts.groupBy("request_id").agg(first_good.alias("good"), longest.alias("long"))
+    return [first_good.alias("good"), longest.alias("long")]
+
+
+def winner_columns() -> list[Column]:
     row = F.coalesce(F.col("good.row"), F.col("long.row"))
-    return best.select(
-        "request_id", row["attempt_id"].alias("attempt_id"), row["tier"].alias("winning_tier"),
+    return [
+        F.col("request_id"), row["attempt_id"].alias("attempt_id"), row["tier"].alias("winning_tier"),
         F.coalesce(row["content_length"], F.lit(0)).alias("content_length"), row["elapsed_ms"].alias("elapsed_ms"),
         row.isNotNull().alias("success"),
-    )
+    ]
+
+
+def pick_winner(attempts: DataFrame) -> DataFrame:
+    """One row per request: the first success of at least the good length, else the longest
+    success, the earliest on ties. Requests without a success keep a null winner."""
+    return attempts.groupBy("request_id").agg(*winner_aggregates()).select(*winner_columns())
 
 
 def truncate_after_winner(attempts: DataFrame) -> DataFrame:
     """Keep each request's attempts up to and including its first good result."""
     hits = attempts.groupBy("request_id").agg(_hit().alias("hit")).filter(F.col("hit").isNotNull())
     joined = skewable_join(attempts, hits, ["request_id"])
-    return joined.filter(F.col("hit").isNull() | (_ORDER <= F.col("hit"))).drop("hit")
+    return joined.filter(F.col("hit").isNull() | (_order() <= F.col("hit"))).drop("hit")
 
 
 def completion_order(attempts: DataFrame) -> DataFrame:

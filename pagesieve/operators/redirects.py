@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from pagesieve import constants as C
 from pagesieve.functions.urls import is_redirect, resolve_location
 from pagesieve.operators.validate import validate_urls_once
-from pagesieve.session import shared_folder
+from pagesieve.session import materialize
 
-_OPEN = F.col("outcome").isNull()
+
+def _is_open() -> Column:
+    return F.col("outcome").isNull()
 
 
 def hop_targets(hops: DataFrame, dns: DataFrame | None) -> DataFrame:
@@ -31,14 +33,13 @@ def resolve_redirects(
 ) -> DataFrame:
     """Adds final_url, requests and outcome: resolved, loop, exhausted, blocked or missing.
 
-    One equi join per request, over the chains still open only. Each round is checkpointed to
-    the shared folder, which cuts the lineage and makes the round readable twice (finished and
-    open part) without computing it again; the loop stops when no chain is open. `hops` holds
+    One equi join per request, over the chains still open only. Each round is written to the
+    shared folder, which cuts the lineage and makes the round readable twice (finished and open
+    part) without computing it again; the loop stops when no chain is open. `hops` holds
     one row per URL. Many chains meeting at one URL make a hot left key, which AQE splits: the
     right side comes straight from a shuffle.
     """
-    shared_folder(urls.sparkSession)
-    edges = hop_targets(hops, dns).checkpoint()
+    edges = materialize(hop_targets(hops, dns), "hops")
     start = urls.select("url").distinct()
     if dns is None:
         checked = start.withColumn("outcome", F.lit(None).cast("string"))
@@ -52,10 +53,12 @@ def resolve_redirects(
     )
     finished: list[DataFrame] = []
     for request in range(1, max_requests + 1):
-        state = _request(state, edges, last=request == max_requests).checkpoint()
-        finished.append(state.filter(~_OPEN))
-        state = state.filter(_OPEN)
-        if state.isEmpty():
+        counted = Observation()
+        stepped = _request(state, edges, last=request == max_requests)
+        state = materialize(stepped.observe(counted, F.count_if(_is_open()).alias("open")), "chains")
+        finished.append(state.filter(~_is_open()))
+        state = state.filter(_is_open())
+        if not counted.get["open"]:
             break
     done = finished[0]
     for part in finished[1:]:
@@ -71,7 +74,7 @@ def _request(state: DataFrame, edges: DataFrame, last: bool) -> DataFrame:
     # (only a blocked start is not open here) and are told apart by `outcome`.
     joined = state.join(edges, F.col("at") == F.col("from_url"), "left")
     outcome = (
-        F.when(~_OPEN, F.col("outcome"))
+        F.when(~_is_open(), F.col("outcome"))
         .when(repeated, "loop")
         .when(F.col("from_url").isNull(), "missing")
         .when(F.col("next_url").isNull(), "resolved")
@@ -79,7 +82,7 @@ def _request(state: DataFrame, edges: DataFrame, last: bool) -> DataFrame:
     )
     if last:
         outcome = F.coalesce(outcome, F.lit("exhausted"))
-    asked = _OPEN & ~repeated
+    asked = _is_open() & ~repeated
     return joined.select(
         "url",
         F.when(outcome.isNull(), F.col("next_url")).otherwise(F.col("at")).alias("at"),

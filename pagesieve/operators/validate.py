@@ -64,16 +64,15 @@ def host_verdicts(dns: DataFrame) -> DataFrame:
 def _judge(keys: DataFrame, dns: DataFrame) -> DataFrame:
     """Adds error for rows with host and syntax error; literal addresses need no lookup."""
     host = F.col("host")
-    literal = A.is_ip(host)
-    looked_up = skewable_join(keys, host_verdicts(dns), ["host"])
+    looked_up = skewable_join(keys.withColumn("literal", A.is_public_ip(host)), host_verdicts(dns), ["host"])
     error = (
         F.when(F.col("syntax").isNotNull(), F.col("syntax"))
-        .when(literal, F.when(~A.is_public_ip(host), _address_error(host, host)))
+        .when(F.col("literal").isNotNull(), F.when(~F.col("literal"), _address_error(host, host)))
         .when(F.coalesce(F.col("addresses"), F.lit(0)) == 0,
               F.concat(F.lit("ERROR: Could not resolve host '"), host, F.lit("' to an IP address.")))
         .when(F.col("bad_ip").isNotNull(), _address_error(host, F.col("bad_ip")))
     )
-    return looked_up.withColumn("error", error).drop("addresses", "bad_ip", "syntax")
+    return looked_up.withColumn("error", error).drop("addresses", "bad_ip", "syntax", "literal")
 
 
 def validate_urls(urls: DataFrame, dns: DataFrame) -> DataFrame:
@@ -93,8 +92,7 @@ def validate_urls_once(urls: DataFrame, dns: DataFrame) -> DataFrame:
         .withColumn("port", endpoint["port"]).withColumn("port_error", endpoint["port_error"])
     )
     key = ["host", "scheme", "port"]
-    good = parsed.filter(F.col("syntax").isNull() & F.col("port_error").isNull())
-    verdicts = _judge(good.select(*key).distinct().withColumn("syntax", F.lit(None).cast("string")), dns)
+    verdicts = _judge(parsed.select(*key).distinct().withColumn("syntax", F.lit(None).cast("string")), dns)
     joined = skewable_join(parsed, verdicts, key)
     error = F.coalesce(F.col("syntax"), F.col("port_error"), F.col("error"))
     return joined.withColumn("error", error).drop("syntax", "port_error")

@@ -32,6 +32,7 @@ def local_session(cores: int | str = 8, name: str = "pagesieve", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagesieve import constants as C
 from pagesieve.functions.gates import has_js_wall
+from pagesieve.operators.attempts import winner_aggregates, winner_columns
 from pagesieve.operators.extract import extract
 from pagesieve.operators.validate import validate_url_syntax
 from pagesieve.functions.urls import url_scheme_port
 from pagesieve.session import new_folder
 
 _WINNER = "request_id bigint, attempt_id bigint, winning_tier string, content_length bigint, elapsed_ms bigint, success boolean"
-_STATE = "good_ms bigint, good_id bigint, length bigint, ms bigint, id bigint, tier string, closed boolean"
+_STATE = "length bigint, ms bigint, attempt bigint, tier string, closed boolean"
 
 
 def stream_extract(pages: DataFrame, mode: str = "precision") -> DataFrame:
@@ -34,51 +35,61 @@ def stream_validate_once(urls: DataFrame, event_time: str = "seen_at", keep: str
 
 
 def _race(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Constant-size state per request: the earliest good result and the longest one so far."""
-
-    def winner(attempt: int | None, tier: str | None, length: int, ms: int | None) -> pd.DataFrame:
-        row = (key[0], attempt, tier, length, ms, attempt is not None)
-        names = ["request_id", "attempt_id", "winning_tier", "content_length", "elapsed_ms", "success"]
-        frame = pd.DataFrame([row], columns=names)
-        return frame.astype({"attempt_id": "Int64", "elapsed_ms": "Int64"})
-
-    good_ms, good_id, length, ms, best, tier, closed = state.get if state.exists else (-1, -1, 0, -1, -1, None, False)
+    """Constant-size state per request: whether it is decided, and the longest result so far."""
+    length, ms, attempt, tier, closed = state.get if state.exists else (0, 0, 0, "", False)
     if state.hasTimedOut:
         state.remove()
         if not closed:
-            yield winner(best, tier, length, ms) if length > 0 else winner(None, None, 0, None)
+            yield _winner(key[0], attempt, tier, length, ms) if length else _winner(key[0], None, None, 0, None)
         return
-    good_tier, good_length, deadline = None, 0, 0
+    good, deadline = None, 0
     for rows in batches:
         deadline = max(deadline, int(rows["deadline_ms"].max()))
-        if closed:
-            continue
-        rows = rows[rows["success"] & (rows["content_length"] > 0)]
-        if rows.empty:
-            continue
-        good = rows[rows["content_length"] >= C.GOOD_CHARS]
-        if not good.empty:
-            first = good.sort_values(["elapsed_ms", "attempt_id"]).iloc[0]
-            if good_ms < 0 or (first["elapsed_ms"], first["attempt_id"]) < (good_ms, good_id):
-                good_ms, good_id = int(first["elapsed_ms"]), int(first["attempt_id"])
-                good_tier, good_length = first["tier"], int(first["content_length"])
-        top = rows.sort_values(["content_length", "elapsed_ms", "attempt_id"], ascending=[False, True, True]).iloc[0]
-        if (int(top["content_length"]), -int(top["elapsed_ms"]), -int(top["attempt_id"])) > (length, -ms, -best):
-            length, ms, best, tier = int(top["content_length"]), int(top["elapsed_ms"]), int(top["attempt_id"]), top["tier"]
-    if good_tier is not None and not closed:
+        columns = [rows[c].tolist() for c in ("success", "content_length", "elapsed_ms", "attempt_id", "tier")]
+        for success, n, at, number, name in zip(*columns):
+            if closed or not success or not n:
+                continue
+            if n >= C.GOOD_CHARS and (good is None or (at, number) < (good[0], good[1])):
+                good = (at, number, name, n)
+            if (n, -at, -number) > (length, -ms, -attempt):
+                length, ms, attempt, tier = n, at, number, name
+    if good is not None:
         closed = True
-        yield winner(good_id, good_tier, good_length, good_ms)
-    state.update((good_ms, good_id, length, ms, best, tier, closed))
+        yield _winner(key[0], good[1], good[2], good[3], good[0])
+    state.update((length, ms, attempt, tier, closed))
     state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
 
 
-def stream_race(attempts: DataFrame, lateness: str = "5 seconds") -> DataFrame:
-    """One winner per request: at its first good result, else the longest one when the
-    watermark passes the request's deadline. Attempts finished after the deadline, or later than
-    the watermark, are ignored. attempts also has finished_at (timestamp)."""
-    finished_ms = F.unix_millis("finished_at")
-    deadline = finished_ms - F.col("elapsed_ms") + C.GLOBAL_DEADLINE_MS
-    timed = attempts.withWatermark("finished_at", lateness).withColumn("deadline_ms", deadline)
+def _winner(request: int, attempt: int | None, tier: str | None, length: int, ms: int | None) -> pd.DataFrame:
+    whole = lambda v: pd.array([v], dtype="Int64")
+    return pd.DataFrame({
+        "request_id": [request], "attempt_id": whole(attempt), "winning_tier": pd.array([tier], dtype="string"),
+        "content_length": [length], "elapsed_ms": whole(ms), "success": [attempt is not None],
+    })
+
+
+def _deadline_ms() -> Column:
+    return F.unix_millis("finished_at") - F.col("elapsed_ms") + C.GLOBAL_DEADLINE_MS
+
+
+def stream_race(attempts: DataFrame, lateness_ms: int = 5_000) -> DataFrame:
+    """One winner per request when its deadline has passed: the batch aggregates in append mode,
+    reduced on the map side, so a request with very many attempts stays cheap. Attempts that
+    end after the deadline, or come later than the watermark, are ignored. attempts also has
+    finished_at (timestamp).
+
+    The watermark runs on the deadline, which lies up to one deadline ahead of an attempt's end.
+    """
+    delay = f"{C.GLOBAL_DEADLINE_MS + lateness_ms} milliseconds"
+    timed = attempts.withColumn("deadline", F.timestamp_millis(_deadline_ms())).withWatermark("deadline", delay)
+    in_time = timed.filter(F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS)
+    return in_time.groupBy("request_id", "deadline").agg(*winner_aggregates()).select(*winner_columns())
+
+
+def stream_race_early(attempts: DataFrame, lateness: str = "5 seconds") -> DataFrame:
+    """As stream_race, but a winner of the good length is emitted in the batch it arrives in.
+    Leaving the others running is what this saves; it costs Python per request."""
+    timed = attempts.withWatermark("finished_at", lateness).withColumn("deadline_ms", _deadline_ms())
     return (
         timed.filter(F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS)
         .groupBy("request_id")
