@@ -135,107 +135,153 @@ def text_nodes(
     return texts, bits, found
 
 
-_HEADING = re.compile(r"h[1-6]\Z")
+# How inline elements are wrapped, and which elements stand as blocks.
 _INLINE_WRAP = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~", "code": "`", "kbd": "`", "samp": "`"}
 _BLOCK = {"p", "div", "article", "section", "main", "nav", "header", "footer", "aside", "form", "figure", "blockquote",
           "ul", "ol", "table", "pre", "hr", "body", "html", "dl", "dt", "dd", "address", "details", "summary"}
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+# Enclosing elements that change how their content is rendered, by effect.
+_EFFECTS = {
+    **dict.fromkeys((*_HEADINGS, "td", "th"), ("one line",)), **dict.fromkeys(("code", "kbd", "samp"), ("literal",)),
+    "pre": ("literal", "pre"), "li": ("item",), **dict.fromkeys(("template", "rt", "rp"), ("hidden",)),
+}
+_ROWS = ("ul", "ol", "table", "tr", "thead", "tbody", "tfoot")
+_BREAKS = re.compile(r"[\t ]*[\r\n][\t \r\n]*")
+_BLANKS = re.compile(r"\t[\t ]*| [\t ]+")
+_EMPHASIS = re.compile(r"([*_])")
+_GAPS = re.compile(r"\n{3,}")
 
 
-class _Frame:
+class _Element:
     __slots__ = ("name", "attributes", "parts", "count")
 
-    def __init__(self, name: str, attributes: str):
+    def __init__(self, name: str, attributes: str = ""):
         self.name, self.attributes, self.parts, self.count = name, attributes, [], 0
 
-    def text(self) -> str:
-        return "".join(self.parts)
-
     def attribute(self, wanted: str) -> str:
         for name, *values in _ATTRIBUTE.findall(self.attributes):
             if name.lower() == wanted:
                 return _ENTITY.sub(_character, "".join(values))
         return ""
 
+    def add_block(self, text: str) -> None:
+        """Append a block with an empty line on each side; blanks before it go."""
+        while self.parts and not self.parts[-1].strip(" "):
+            self.parts.pop()
+        if self.parts:
+            self.parts[-1] = self.parts[-1].rstrip(" ")
+        self.parts.append(f"\n\n{text}\n\n")
+
 
-def _block(frame: _Frame, text: str) -> None:
-    """Append a block: blanks before it go, one empty line on each side."""
-    while frame.parts and not frame.parts[-1].strip(" "):
-        frame.parts.pop()
-    if frame.parts:
-        frame.parts[-1] = frame.parts[-1].rstrip(" ")
-    frame.parts.append(f"\n\n{text}\n\n")
+class _Markdown:
+    """The open elements of a page, each collecting its rendered children."""
 
+    def __init__(self) -> None:
+        self.stack = [_Element("")]
+        self.open: dict[str, int] = {}
+        self.effects = {"one line": 0, "literal": 0, "pre": 0, "item": 0, "hidden": 0}
 
-def _indent(text: str, by: str) -> str:
-    return "\n".join(by + line if line else line for line in text.split("\n"))
+    def push(self, name: str, attributes: str) -> None:
+        self.stack.append(_Element(name, attributes))
+        self.open[name] = self.open.get(name, 0) + 1
+        for effect in _EFFECTS.get(name, ()):
+            self.effects[effect] += 1
 
+    def pop(self) -> str:
+        element = self.stack.pop()
+        self.open[element.name] -= 1
+        for effect in _EFFECTS.get(element.name, ()):
+            self.effects[effect] -= 1
+        self.render(element, self.stack[-1])
+        return element.name
 
-def _close(frame: _Frame, outer: _Frame, stack: list[_Frame]) -> None:
-    name, text = frame.name, frame.text()
-    inline = any(_HEADING.match(f.name) or f.name in ("td", "th") for f in stack)
-    in_pre = any(f.name == "pre" for f in stack)
-    if _HEADING.match(name) and not inline:
-        body = " ".join(text.split())
-        if body:
-            _block(outer, f"{'#' * int(name[1])} {body}")
-    elif name in _INLINE_WRAP and not in_pre:
+    def nearest(self, *names: str) -> _Element | None:
+        return next((e for e in reversed(self.stack) if e.name in names), None)
+
+    def text(self, text: str) -> None:
+        if self.effects["hidden"]:
+            return
+        top = self.stack[-1]
+        if not self.effects["pre"]:
+            if "\n" in text or "\r" in text:
+                text = _BREAKS.sub("\n", text)
+            text = _BLANKS.sub(" ", text)
+            if ("*" in text or "_" in text) and not self.effects["literal"]:
+                text = _EMPHASIS.sub(r"\\\1", text)
+            if top.parts and top.parts[-1].endswith("\n\n"):
+                text = text.lstrip()
+        if text and not (text.isspace() and top.name in _ROWS):
+            top.parts.append(text)
+
+    def void(self, name: str, attributes: str) -> None:
+        top, one_line = self.stack[-1], self.effects["one line"]
+        if name == "br":
+            top.parts.append(" " if one_line else "  \n")
+        elif name == "hr":
+            top.add_block("---")
+        elif name == "img":
+            image = _Element(name, attributes)
+            alt, title = image.attribute("alt"), image.attribute("title")
+            title = f' "{title}"' if title else ""
+            top.parts.append(alt if one_line else f"![{alt}]({image.attribute('src')}{title})")
+
+    def render(self, element: _Element, outer: _Element) -> None:
+        name, text = element.name, "".join(element.parts)
         body = text.strip()
-        if body:
-            lead, trail = text[:1].isspace(), text[-1:].isspace()
-            wrapped = f"{_INLINE_WRAP[name]}{body}{_INLINE_WRAP[name]}"
-            outer.parts.append(f"{' ' * lead}{wrapped}{' ' * trail}")
-    elif name == "li":
-        parent = next((f for f in reversed(stack) if f.name in ("ul", "ol")), None)
-        bullet = "-"
-        if parent is not None and parent.name == "ol":
-            start = parent.attribute("start")
-            bullet = f"{(int(start) if start.isdigit() else 1) + parent.count}."
-        if parent is not None:
-            parent.count += 1
-        body = re.sub(r"\n{3,}", "\n\n", text.strip())
-        lines = _indent(body, " " * (len(bullet) + 1)).lstrip(" ")
-        outer.parts.append(f"{bullet} {lines}\n")
-    elif name in ("ul", "ol"):
-        body = text.strip("\n ")
-        if any(f.name == "li" for f in stack):
+        one_line = self.effects["one line"]
+        if name == "li":
+            outer.parts.append(self.item(body))
+        elif name in ("td", "th"):
+            outer.parts.append(f" {' '.join(text.split())} |")
+            outer.count += 1
+        elif name == "tr":
+            outer.parts.append(self.row(element, text))
+        elif not body and (name in _INLINE_WRAP or name in _BLOCK or name in _HEADINGS):
+            pass
+        elif name in _INLINE_WRAP and not self.effects["pre"]:
+            mark = _INLINE_WRAP[name]
+            lead, trail = " " * text[:1].isspace(), " " * text[-1:].isspace()
+            outer.parts.append(f"{lead}{mark}{body}{mark}{trail}")
+        elif one_line and (name in _BLOCK or name in _HEADINGS):
+            outer.parts.append(f" {body} ")
+        elif name in _HEADINGS:
+            outer.add_block(f"{'#' * int(name[1])} {' '.join(text.split())}")
+        elif name in ("ul", "ol") and self.effects["item"]:
             while outer.parts and not outer.parts[-1].strip(" "):
                 outer.parts.pop()
-            outer.parts.append(f"\n{body}\n")
-        elif body:
-            _block(outer, body)
-    elif name in ("td", "th"):
-        outer.parts.append(f" {' '.join(text.split())} |")
-        outer.count += 1
-    elif name == "tr":
-        row = f"|{text.strip(chr(10))}\n" if frame.count else ""
-        table = next((f for f in reversed(stack) if f.name == "table"), outer)
-        if row and not table.count:
-            row += "|" + " --- |" * frame.count + "\n"
+            outer.parts.append("\n" + text.strip("\n ") + "\n")
+        elif name == "blockquote":
+            outer.add_block("\n".join(f"> {line}".rstrip() for line in _GAPS.sub("\n\n", body).split("\n")))
+        elif name == "pre":
+            outer.add_block(f"```\n{text}\n```")
+        elif name in _BLOCK:
+            outer.add_block(body)
+        else:
+            outer.parts.append(text)
+
+    def item(self, body: str) -> str:
+        owner, bullet = self.nearest("ul", "ol"), "-"
+        if owner is not None:
+            if owner.name == "ol":
+                start = owner.attribute("start")
+                bullet = f"{(int(start) if start.isdigit() else 1) + owner.count}."
+            owner.count += 1
+        first, *rest = _GAPS.sub("\n\n", body).split("\n")
+        indent = " " * (len(bullet) + 1)
+        return "\n".join([f"{bullet} {first}", *(indent + line if line else line for line in rest)]) + "\n"
+
+    def row(self, element: _Element, cells: str) -> str:
+        table = self.nearest("table") or self.stack[-1]
         table.count += 1
-        outer.parts.append(row)
-    elif name in ("thead", "tbody", "tfoot"):
-        outer.parts.append(text)
-    elif name == "blockquote" and not inline:
-        body = re.sub(r"\n{3,}", "\n\n", text.strip())
-        if body:
-            _block(outer, "\n".join(f"> {line}".rstrip() for line in body.split("\n")))
-    elif name == "pre":
-        if text:
-            _block(outer, f"```\n{text}\n```")
-    elif name in _BLOCK:
-        body = text.strip()
-        if inline:
-            outer.parts.append(f" {body} ")
-        elif body:
-            _block(outer, body)
-    else:
-        outer.parts.append(text)
+        if not element.count:
+            return ""
+        rule = "|" + " --- |" * element.count + "\n" if table.count == 1 else ""
+        return "|" + cells.strip("\n") + "\n" + rule
 
 
 def to_markdown(html: str, drop: frozenset[str]) -> str:
     """Markdown with # headings and - bullets; link targets are dropped, their text is kept."""
-    root = _Frame("", "")
-    stack = [root]
+    page = _Markdown()
     dropped: list[str] = []  # open elements from the outermost dropped one inwards
     for kind, name, attributes in tokens(html):
         if dropped:
@@ -244,48 +290,22 @@ def to_markdown(html: str, drop: frozenset[str]) -> str:
             elif kind == "close" and name in dropped:
                 while dropped.pop() != name:
                     pass
-            elif kind == "close" and any(f.name == name for f in stack):
+            elif kind == "close" and page.open.get(name):
                 dropped.clear()  # an ancestor ends, and the dropped element with it
-            if dropped or kind != "close" or not any(f.name == name for f in stack):
+            if dropped or kind != "close" or not page.open.get(name):
                 continue
         if kind == "text":
-            names = {f.name for f in stack}
-            if names & {"template", "rt", "rp"}:
-                continue
-            if "pre" not in names:
-                name = re.sub(r"[\t ]*[\r\n][\t \r\n]*", "\n", name)
-                name = re.sub(r"[\t ]+", " ", name)
-                if "code" not in names and "kbd" not in names and "samp" not in names:
-                    name = re.sub(r"([*_])", r"\\\1", name)
-                before = stack[-1].parts[-1] if stack[-1].parts else ""
-                if before.endswith("\n\n"):
-                    name = name.lstrip()
-            if name and not (name.isspace() and stack[-1].name in ("ul", "ol", "table", "tr", "thead", "tbody", "tfoot")):
-                stack[-1].parts.append(name)
+            page.text(name)
         elif kind == "open":
             if name in drop:
                 dropped.append(name)
             else:
-                stack.append(_Frame(name, attributes))
+                page.push(name, attributes)
         elif kind == "empty":
-            frame = _Frame(name, attributes)
-            inline = any(_HEADING.match(f.name) or f.name in ("td", "th") for f in stack)
-            if name == "br":
-                stack[-1].parts.append(" " if inline else "  \n")
-            elif name == "hr":
-                _block(stack[-1], "---")
-            elif name == "img":
-                title = frame.attribute("title")
-                title = f' "{title}"' if title else ""
-                alt = frame.attribute("alt")
-                stack[-1].parts.append(alt if inline else f"![{alt}]({frame.attribute('src')}{title})")
-        elif any(f.name == name for f in stack):
-            while len(stack) > 1:
-                frame = stack.pop()
-                _close(frame, stack[-1], stack)
-                if frame.name == name:
-                    break
-    while len(stack) > 1:
-        frame = stack.pop()
-        _close(frame, stack[-1], stack)
-    return root.text()
+            page.void(name, attributes)
+        elif page.open.get(name):
+            while page.pop() != name:
+                pass
+    while len(page.stack) > 1:
+        page.pop()
+    return "".join(page.stack[0].parts)

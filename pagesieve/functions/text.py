@@ -6,15 +6,19 @@ from pyspark.sql import Column, functions as F
 
 from pagesieve import constants as C
 
-# Every code point that counts as whitespace when stripping, and every line break.
+# Every code point that counts as whitespace when stripping (as a pattern and as
+# characters), and every line break.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_CHARS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
 LINE_BREAK = r"\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
 def strip(c: Column) -> Column:
-    """Trim all Unicode whitespace; SQL `trim` only knows the space character. The look-behind
-    keeps long blank runs inside a text from being tried from each of their characters."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
+    """Trim all Unicode whitespace; SQL `trim` only knows the space character by itself. Only
+    the ends of the text are looked at, unlike with a pattern."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse_newlines(c: Column) -> Column:

@@ -94,7 +94,8 @@ def _long_enough(text: Column) -> Column:
 def extract_markdown(pages: DataFrame) -> DataFrame:
     """Adds text: Markdown of the page, null unless longer than the acceptance bound."""
     parsed = parse_pages(pages, nodes=False, markdown=True)
-    return parsed.withColumn("text", _long_enough(markdown_text(F.col("md")))).drop("md")
+    rendered = parsed.withColumn("text", markdown_text(F.col("md"))).drop("md")
+    return rendered.withColumn("text", _long_enough(F.col("text")))
 
 
 def extract_stripped(pages: DataFrame) -> DataFrame:
@@ -123,7 +124,8 @@ def extract_main(pages: DataFrame, min_pages: int = 3) -> DataFrame:
     parsed = parse_pages(pages).withColumn("text", article_text(F.col("nodes"), F.col("found")))
     stored = materialize(parsed.drop("nodes", "found").withColumn("host", url_host(F.col("url"))), "main")
     deduped = drop_repeated_segments(stored, "page_id", min_pages)
-    return deduped.withColumn("text", _long_enough(strip(F.col("text")))).drop("host")
+    stripped = deduped.withColumn("text", strip(F.col("text"))).drop("host")
+    return stripped.withColumn("text", _long_enough(F.col("text")))
 
 
 def extract(pages: DataFrame, mode: str | None = "precision", min_pages: int | None = 3) -> DataFrame:
@@ -135,23 +137,21 @@ def extract(pages: DataFrame, mode: str | None = "precision", min_pages: int | N
     """
     full = mode is not None and mode.strip().lower() == "full"
     parsed = parse_pages(pages, nodes=True, markdown=full, keep_html=True)
-    stripped, nodes = stripped_text(F.col("nodes")), F.col("nodes")
-    candidates = parsed.withColumn("main", article_text(nodes, F.col("found"))).withColumn(
-        # The last resort is only for pages that gave no text node at all.
-        "rest", F.when(F.size(nodes) > 0, stripped).otherwise(strip_tags_regex(F.col("html"))),
-    ).drop("nodes", "found", "html")
+    nodes, kept = F.col("nodes"), [c for c in pages.columns if c != "html"]
+    # The last resort is only for pages that gave no text node at all.
+    rest = F.when(F.size(nodes) > 0, stripped_text(nodes)).otherwise(strip_tags_regex(F.col("html")))
+    candidates = parsed.select(
+        *kept, article_text(nodes, F.col("found")).alias("main"), rest.alias("rest"),
+        (markdown_text(F.col("md")) if full else F.lit(None).cast("string")).alias("markdown"),
+    )
     if min_pages is not None:
         lines = candidates.withColumn("host", url_host(F.col("url"))).withColumnRenamed("main", "text")
         candidates = drop_repeated_segments(materialize(lines, "ladder"), "page_id", min_pages).withColumnRenamed("text", "main").drop("host")
-    steps = [("markdown", _long_enough(markdown_text(F.col("md"))))] if full else []
-    steps.append(("main", _long_enough(strip(F.col("main")))))
-    method = F.when(F.lit(False), F.lit(""))
-    for name, text in steps:
-        method = method.when(text.isNotNull(), F.lit(name))
-    text = F.coalesce(*[t for _, t in steps], F.col("rest"))
-    return candidates.withColumn("method", method.otherwise(F.lit("stripped"))).withColumn("text", text).drop(
-        "md", "main", "rest"
-    )
+    # One projection per step: a column used several times is computed once.
+    sized = candidates.withColumn("main", strip(F.col("main")))
+    accepted = sized.withColumns({c: _long_enough(F.col(c)) for c in ("markdown", "main")})
+    method = F.when(F.col("markdown").isNotNull(), "markdown").when(F.col("main").isNotNull(), "main").otherwise("stripped")
+    return accepted.select(*kept, method.alias("method"), F.coalesce("markdown", "main", "rest").alias("text"))
 
 
 def apply_extractor(

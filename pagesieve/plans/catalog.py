@@ -40,13 +40,14 @@ def query(name: str, oracle: str | None = None, ctes: list[str] | None = None, e
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return R.read_pages(spark, f"{sf}/pages.parquet")
+    return table(spark, sf, "pages")
 
 
 # ---------------------------------------------------------------------------- sources
 @query("s1_read_pages", "SELECT page_id, url, length(html) AS html_len FROM pages")
 def _(spark, sf):
-    return pages(spark, sf).select("page_id", "url", X.char_count(F.col("html")).alias("html_len"))
+    stored = R.read_pages(spark, f"{sf}/pages.parquet")
+    return stored.select("page_id", "url", X.char_count(F.col("html")).alias("html_len"))
 
 
 @query("s2_stream_pages", "SELECT page_id, url, length(html) AS html_len FROM pages")

@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagesieve.functions.text import strip_tags_regex
+from pagesieve.sources.readers import spread
 
 # name: (relations used, SQL)
 FIXTURES: dict[str, tuple[list[str], str]] = {
@@ -130,17 +131,30 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
                 concat('{{"title":"C', CAST(page_id AS VARCHAR(20)), '","href":"', url, '","body":"three"}}') AS h3
               FROM {pages}) AS p"""),
     "search_queries": (["documents"], """
-        SELECT row_number() OVER (ORDER BY source, lang) AS query_id,
+        SELECT min(doc_id) AS query_id,
                concat(min(regexp_extract(text, '^([^ .,]+)', 1)), ' ', max(regexp_extract(text, '^([^ .,]+)', 1))) AS query
         FROM {documents} GROUP BY source, lang"""),
 }
-_BASE = {"pages", "events", "documents", "conversations"}
+_BASE = {
+    "pages": "page_id bigint, url string, html string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table or a derived input as a DataFrame."""
+    """A given table or a derived input as a DataFrame. Plans, not data, are kept for reuse."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _PLANS:
+        _PLANS[key] = _build(spark, sf, name)
+    return _PLANS[key]
+
+
+def _build(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name in _BASE:
-        return spark.read.parquet(f"{sf}/{name}.parquet")
+        return spread(spark.read.schema(_BASE[name]).parquet(f"{sf}/{name}.parquet"))
     if name == "plain":
         pages = table(spark, sf, "pages")
         return pages.withColumn("text", strip_tags_regex(F.col("html")))

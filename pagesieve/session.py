@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Skips recording a Python call site for every column expression, which slows query building.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 
