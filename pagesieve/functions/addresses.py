@@ -51,27 +51,18 @@ def _v6_hex(ip: Column) -> Column:
     return let(let(text, dotted_tail), lambda t: F.when(t.contains(":"), let(F.split(t, "::", -1), expand)))
 
 
-def _in_v4_blocks(number: Column, blocks: list[str]) -> Column:
+def _in_blocks(value: Column, blocks: list[str], bound: str) -> Column:
+    """Whether value lies in a block; `bound` formats an address as value is written. The
+    ranges are one constant array, which keeps the expression small."""
     nets = [ipaddress.ip_network(b) for b in blocks]
-    hits = [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets]
-    return _any(hits)
-
-
-def _in_v6_blocks(digits: Column, blocks: list[str]) -> Column:
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    hits = [digits.between(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in nets]
-    return _any(hits)
-
-
-def _any(hits: list[Column]) -> Column:
-    out = hits[0]
-    for hit in hits[1:]:
-        out = out | hit
-    return out
+    ranges = [(format(int(n.network_address), bound), format(int(n.broadcast_address), bound)) for n in nets]
+    quoted = "'{}'" if bound.endswith("x") else "{}L"
+    pairs = [f"struct({quoted.format(low)} AS low, {quoted.format(high)} AS high)" for low, high in ranges]
+    return F.exists(F.expr(f"array({', '.join(pairs)})"), lambda r: value.between(r["low"], r["high"]))
 
 
 def _v4_public(number: Column) -> Column:
-    return ~_in_v4_blocks(number, C.IPV4_PRIVATE) | _in_v4_blocks(number, C.IPV4_PUBLIC_EXCEPTIONS)
+    return ~_in_blocks(number, C.IPV4_PRIVATE, "d") | _in_blocks(number, C.IPV4_PUBLIC_EXCEPTIONS, "d")
 
 
 def is_public_ip(ip: Column) -> Column:
@@ -80,11 +71,10 @@ def is_public_ip(ip: Column) -> Column:
 
 
 def _is_public(ip: Column) -> Column:
-
     def v6_public(digits: Column) -> Column:
         inner = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
         return F.when(digits.startswith("00000000000000000000ffff"), _v4_public(inner)).otherwise(
-            ~_in_v6_blocks(digits, C.IPV6_PRIVATE) | _in_v6_blocks(digits, C.IPV6_PUBLIC_EXCEPTIONS)
+            ~_in_blocks(digits, C.IPV6_PRIVATE, "032x") | _in_blocks(digits, C.IPV6_PUBLIC_EXCEPTIONS, "032x")
         )
 
-    return F.when(is_ipv4(ip), _v4_public(_v4_number(ip))).when(ip.contains(":"), let(_v6_hex(ip), v6_public))
+    return F.when(is_ipv4(ip), let(_v4_number(ip), _v4_public)).when(ip.contains(":"), let(_v6_hex(ip), v6_public))
