@@ -44,6 +44,18 @@ def passes_response_gate(status: Column, html: Column) -> Column:
     return (status == 200) & (F.length(html) > C.MIN_RESPONSE_CHARS) & ~has_js_wall(html)
 
 
+def passes_page_gate(tier: Column, status: Column, html: Column) -> Column:
+    """What each tier asks of a page before extraction: the HTTP tier status, size and no script
+    wall, the browser tiers only no script wall, the last one also some html."""
+    no_wall = ~has_js_wall(html)
+    return (
+        F.when(tier == "tier1_curl", passes_response_gate(status, html))
+        .when(tier == "tier2_camoufox", no_wall)
+        .when(tier == "tier3_nodriver", no_wall & (html != ""))
+        .otherwise(F.lit(True)) & html.isNotNull()
+    )
+
+
 def passes_min_length(source: Column, text: Column) -> Column:
     """Each source's own minimum; a source without one keeps every text."""
     keep = F.when(F.lit(False), F.lit(False))

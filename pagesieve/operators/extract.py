@@ -10,37 +10,43 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pagesieve import constants as C
 from pagesieve.functions import dom
-from pagesieve.functions.text import collapse_newlines, normalize_chunks, strip, strip_tags_regex
+from pagesieve.functions.text import collapse_newlines, normalize_chunks, strip
 from pagesieve.functions.urls import url_host
 from pagesieve.operators.segments import drop_repeated_segments
 from pagesieve.session import materialize
 
+_PAGES_AT_ONCE = 256
 NO_CONTENT = "Could not find main content."
 
 
+def _small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of a few hundred pages: the parsed form of a batch is far larger than its html."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _PAGES_AT_ONCE):
+            yield batch.slice(start, _PAGES_AT_ONCE)
+
+
 def parse_pages(
-    pages: DataFrame, nodes: bool = True, markdown: bool = False, selectors: Sequence[str] = (), keep_html: bool = False
+    pages: DataFrame, nodes: bool = True, markdown: bool = False, selectors: Sequence[str] = ()
 ) -> DataFrame:
     """Adds `nodes` (text nodes with the elements around them), `found` (content regions of the
-    page) and `md` (Markdown) as asked. The html column goes in and, unless asked for, does not
-    come back. Filter rejected pages first: nothing below is skipped for them."""
+    page) and `md` (Markdown) as asked. The html column goes in and does not come back. Filter
+    rejected pages first: nothing below is skipped for them."""
     classes = frozenset(s[1:] for s in selectors if s.startswith("."))
     ids = frozenset(s[1:] for s in selectors if s.startswith("#"))
     region_drop, md_drop = dom.mask(C.ARTICLE_DROP_TAGS), frozenset(C.MARKDOWN_DROP_TAGS)
-    kept = [f for f in pages.schema.fields if keep_html or f.name != "html"]
-    fields = list(kept)
+    kept = [f for f in pages.schema.fields if f.name != "html"]
+    names, fields = [f.name for f in kept], list(kept)
     if nodes:
         fields += [T.StructField("found", T.IntegerType()), T.StructField("nodes", T.ArrayType(
             T.StructType([T.StructField("text", T.StringType()), T.StructField("inside", T.IntegerType())])))]
     if markdown:
         fields.append(T.StructField("md", T.StringType()))
-    names = [f.name for f in kept]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small_batches(batches):
             html = [h or "" for h in batch.column("html").to_pylist()]
             columns = [batch.column(n) for n in names]
-            out_names = list(names)
             if nodes:
                 offsets, texts, inside, regions = [0], [], [], []
                 for page in html:
@@ -53,11 +59,9 @@ def parse_pages(
                     [pa.array(texts, pa.string()), pa.array(inside, pa.int32())], ["text", "inside"]
                 )
                 columns += [pa.array(regions, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)]
-                out_names += ["found", "nodes"]
             if markdown:
                 columns.append(pa.array([dom.to_markdown(page, md_drop) for page in html], pa.string()))
-                out_names.append("md")
-            yield pa.RecordBatch.from_arrays(columns, out_names)
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return pages.mapInArrow(parse, T.StructType(fields))
 
@@ -129,19 +133,18 @@ def extract_main(pages: DataFrame, min_pages: int = 3) -> DataFrame:
 
 
 def extract(pages: DataFrame, mode: str | None = "precision", min_pages: int | None = 3) -> DataFrame:
-    """The ladder. full: Markdown, main content, stripped text, tags cut by pattern. precision:
-    the same without Markdown. Adds method and text.
+    """The ladder. full: Markdown, main content, stripped text. precision: the same without
+    Markdown. Adds method and text. Cutting tags by pattern (text.strip_tags_regex) is the
+    step for pages that cannot be parsed; the parser here takes any text.
 
     One parse feeds every step. The repeated-line step needs a shuffle of the lines; with
     min_pages=None it is left out and the whole ladder is one shuffle-free stage.
     """
     full = mode is not None and mode.strip().lower() == "full"
-    parsed = parse_pages(pages, nodes=True, markdown=full, keep_html=True)
+    parsed = parse_pages(pages, nodes=True, markdown=full)
     nodes, kept = F.col("nodes"), [c for c in pages.columns if c != "html"]
-    # The last resort is only for pages that gave no text node at all.
-    rest = F.when(F.size(nodes) > 0, stripped_text(nodes)).otherwise(strip_tags_regex(F.col("html")))
     candidates = parsed.select(
-        *kept, article_text(nodes, F.col("found")).alias("main"), rest.alias("rest"),
+        *kept, article_text(nodes, F.col("found")).alias("main"), stripped_text(nodes).alias("rest"),
         (markdown_text(F.col("md")) if full else F.lit(None).cast("string")).alias("markdown"),
     )
     if min_pages is not None:
@@ -170,7 +173,7 @@ def apply_extractor(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from time import perf_counter
 
-        for batch in batches:
+        for batch in _small_batches(batches):
             rows: list[tuple] = []
             for html in batch.column("html").to_pylist():
                 start, content, error = perf_counter(), None, None

@@ -19,7 +19,8 @@ def latest_snapshot(urls: DataFrame, snapshots: DataFrame) -> DataFrame:
     asked = snapshots.select("url", "captured_at", "status").join(urls.select("url").distinct(), "url", "left_semi")
     newest = asked.groupBy("url").agg(F.max(F.struct("captured_at", "status")).alias("newest"))
     good = newest.filter(F.col("newest.status") == 200).select("url", F.col("newest.captured_at").alias("captured_at"))
-    return snapshots.join(good, ["url", "captured_at"]).filter(F.length("html") > C.MIN_RESPONSE_CHARS)
+    bodies = snapshots.filter((F.col("status") == 200) & (F.length("html") > C.MIN_RESPONSE_CHARS))
+    return bodies.join(good, ["url", "captured_at"])
 
 
 def accept_snapshot_text(extracted: DataFrame) -> DataFrame:

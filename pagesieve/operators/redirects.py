@@ -15,17 +15,27 @@ def _is_open() -> Column:
 
 
 def hop_targets(hops: DataFrame, dns: DataFrame | None) -> DataFrame:
-    """hops(url, status, location) as from_url, next_url and next_ok; next_url is null where
-    the chain ends. Each target is validated here once, not once per chain passing it."""
+    """hops(url, status, location) as from_url, next_url, next_ok and next_known; next_url is
+    null where the chain ends. Each target is validated and looked up here once, not once per
+    chain passing it."""
     url, location = F.col("url"), F.col("location")
     moves = is_redirect(F.col("status")) & location.isNotNull() & (location != "")
     edges = hops.select(url.alias("from_url"), F.when(moves, resolve_location(url, location)).alias("url"))
+    moving = edges.filter(F.col("url").isNotNull())
     if dns is None:
-        return edges.withColumnRenamed("url", "next_url").withColumn("next_ok", F.lit(True))
-    ends = edges.filter(F.col("url").isNull()).select("from_url", "url", F.lit(True).alias("next_ok"))
-    checked = validate_urls_once(edges.filter(F.col("url").isNotNull()), dns)
-    moving = checked.select("from_url", "url", F.col("error").isNull().alias("next_ok"))
-    return ends.unionByName(moving).withColumnRenamed("url", "next_url")
+        checked = moving.withColumn("next_ok", F.lit(True))
+    else:
+        checked = validate_urls_once(moving, dns).withColumn("next_ok", F.col("error").isNull())
+    looked_up = _with_known(checked.select("from_url", "url", "next_ok"), hops).withColumnsRenamed(
+        {"url": "next_url", "known": "next_known"})
+    ends = edges.filter(F.col("url").isNull()).select("from_url", F.col("url").alias("next_url"))
+    return ends.withColumns({"next_ok": F.lit(True), "next_known": F.lit(True)}).unionByName(looked_up)
+
+
+def _with_known(df: DataFrame, hops: DataFrame) -> DataFrame:
+    """Adds known: whether there is a stored response for url."""
+    stored = hops.select("url", F.lit(True).alias("known"))
+    return df.join(stored, "url", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def resolve_redirects(
@@ -33,33 +43,31 @@ def resolve_redirects(
 ) -> DataFrame:
     """Adds final_url, requests and outcome: resolved, loop, exhausted, blocked or missing.
 
-    One equi join per request, over the chains still open only. Each round is written to the
-    shared folder, which cuts the lineage and makes the round readable twice (finished and open
-    part) without computing it again; the loop stops when no chain is open. `hops` holds
-    one row per URL. Many chains meeting at one URL make a hot left key, which AQE splits: the
-    right side comes straight from a shuffle.
+    One inner equi join per request, over the chains still open only, so late rounds with few
+    chains can broadcast them (AQE measures) instead of shuffling the hops again. Each round is
+    written to the shared folder, which cuts the lineage and makes the round readable twice
+    (finished and open part) without computing it again; the loop stops when no chain is open.
+    `hops` holds one row per URL. Many chains meeting at one URL make a hot left key, which AQE
+    splits: the right side comes straight from a shuffle.
     """
     edges = materialize(hop_targets(hops, dns), "hops")
     start = urls.select("url").distinct()
     if dns is None:
-        checked = start.withColumn("outcome", F.lit(None).cast("string"))
+        checked = start.withColumn("error", F.lit(None).cast("string"))
     else:
-        checked = validate_urls_once(start, dns).select(
-            "url", F.when(F.col("error").isNotNull(), "blocked").alias("outcome")
-        )
-    state = checked.select(
+        checked = validate_urls_once(start, dns).select("url", "error")
+    outcome = F.when(F.col("error").isNotNull(), "blocked").when(~F.col("known"), "missing")
+    state = _with_known(checked, hops).select(
         "url", F.col("url").alias("at"), F.array().cast("array<string>").alias("seen"),
-        F.lit(0).alias("requests"), "outcome",
+        F.when(outcome == "missing", F.lit(1)).otherwise(F.lit(0)).alias("requests"), outcome.alias("outcome"),
     )
-    finished: list[DataFrame] = []
+    state, still_open = _store(state)
+    finished = [state.filter(~_is_open())]
     for request in range(1, max_requests + 1):
-        counted = Observation()
-        stepped = _request(state, edges, last=request == max_requests)
-        state = materialize(stepped.observe(counted, F.count_if(_is_open()).alias("open")), "chains")
-        finished.append(state.filter(~_is_open()))
-        state = state.filter(_is_open())
-        if not counted.get["open"]:
+        if not still_open:
             break
+        state, still_open = _store(_request(state.filter(_is_open()), edges, last=request == max_requests))
+        finished.append(state.filter(~_is_open()))
     done = finished[0]
     for part in finished[1:]:
         done = done.unionByName(part)
@@ -67,26 +75,30 @@ def resolve_redirects(
     return done.select("url", final.alias("final_url"), F.col("requests").cast("bigint").alias("requests"), "outcome")
 
 
+def _store(state: DataFrame) -> tuple[DataFrame, int]:
+    """Write a round; the number of open chains is counted while writing."""
+    counted = Observation()
+    stored = materialize(state.observe(counted, F.count_if(_is_open()).alias("open")), "chains")
+    return stored, counted.get["open"]
+
+
 def _request(state: DataFrame, edges: DataFrame, last: bool) -> DataFrame:
-    """Issue one request per open chain and step to the next URL."""
+    """Issue one request per open chain, all of which stand at a known URL, and step on."""
+    joined = state.join(edges, F.col("at") == F.col("from_url"))
     repeated = F.array_contains("seen", F.col("at"))
-    # A null key for chains that need no lookup would pile up in one partition; they are few
-    # (only a blocked start is not open here) and are told apart by `outcome`.
-    joined = state.join(edges, F.col("at") == F.col("from_url"), "left")
     outcome = (
-        F.when(~_is_open(), F.col("outcome"))
-        .when(repeated, "loop")
-        .when(F.col("from_url").isNull(), "missing")
+        F.when(repeated, "loop")
         .when(F.col("next_url").isNull(), "resolved")
         .when(~F.col("next_ok"), "blocked")
+        .when(F.lit(last), "exhausted")
+        .when(~F.col("next_known"), "missing")
     )
-    if last:
-        outcome = F.coalesce(outcome, F.lit("exhausted"))
-    asked = _is_open() & ~repeated
+    # A missing next URL costs the request that fails.
+    asked = F.when(repeated, F.lit(0)).when(outcome == "missing", F.lit(2)).otherwise(F.lit(1))
     return joined.select(
         "url",
         F.when(outcome.isNull(), F.col("next_url")).otherwise(F.col("at")).alias("at"),
         F.concat("seen", F.array("at")).alias("seen"),
-        (F.col("requests") + asked.cast("int")).alias("requests"),
+        (F.col("requests") + asked).alias("requests"),
         outcome.alias("outcome"),
     )

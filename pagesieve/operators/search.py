@@ -18,15 +18,17 @@ def search_top_k(pages: DataFrame, queries: DataFrame, k: int = C.SEARCH_MAX_RES
     """Top k pages(page_id, text) per queries(query_id, query): score is the number of words of
     the page that are words of the query; ties go to the lower page_id.
 
-    Equal queries are ranked once and joined back. The word join keeps only words some query
-    asks for, so a page's other words never leave its task; a word on most pages is a hot left
-    key that AQE splits. The rank limit is applied per task before the shuffle by query.
+    Equal queries are ranked once and joined back. The semi join keeps only words some query
+    asks for, so with a query list small enough to broadcast a page's other words never leave
+    its task; beyond that a word on most pages is a hot left key that AQE splits. The rank
+    limit is applied per task before the shuffle by query.
     """
     asked = queries.select(F.lower("query").alias("wanted")).distinct()
     terms = asked.select("wanted", F.explode(F.array_distinct(words(F.col("wanted")))).alias("word"))
     found = pages.select("page_id", F.explode(words(F.col("text"))).alias("word"))
-    per_task = found.groupBy("page_id", "word").agg(F.count("*").alias("n"))
-    scored = per_task.join(terms, "word").groupBy("wanted", "page_id").agg(F.sum("n").alias("score"))
+    wanted = found.join(terms.select("word").distinct(), "word", "left_semi")
+    per_page = wanted.groupBy("page_id", "word").agg(F.count("*").alias("n"))
+    scored = per_page.join(terms, "word").groupBy("wanted", "page_id").agg(F.sum("n").alias("score"))
     order = Window.partitionBy("wanted").orderBy(F.desc("score"), F.asc("page_id"))
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return queries.withColumn("wanted", F.lower("query")).join(top, "wanted").select(

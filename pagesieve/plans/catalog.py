@@ -329,6 +329,16 @@ def _(spark, sf):
     return table(spark, sf, "walled").filter(G.passes_response_gate(F.col("status"), F.col("html"))).select("page_id", "url")
 
 
+@query("g4_page_gate_by_tier", f"""
+    SELECT page_id, tier, coalesce(CASE tier WHEN 'tier1_curl' THEN status = 200 AND length(html) > 500 AND NOT wall WHEN 'tier2_camoufox' THEN NOT wall
+        ELSE NOT wall AND html <> '' END, FALSE) AS passes
+    FROM (SELECT page_id, ['tier1_curl', 'tier2_camoufox', 'tier3_nodriver'][page_id % 3 + 1] AS tier, status, html, {D.js_wall('html')} AS wall FROM walled)""", ["walled"])
+def _(spark, sf):
+    tier = F.element_at(F.array(*[F.lit(t) for t in C.TIER_CAPS_MS]), (F.col("page_id") % 3 + 1).cast("int"))
+    offered = table(spark, sf, "walled").withColumn("tier", tier)
+    return offered.select("page_id", "tier", G.passes_page_gate(F.col("tier"), F.col("status"), F.col("html")).alias("passes"))
+
+
 _SOURCES = "CASE page_id % 8 WHEN 0 THEN 'tier1_curl' WHEN 1 THEN 'tier2_camoufox' WHEN 2 THEN 'tier1_5_jina' WHEN 3 THEN 'mirror' WHEN 4 THEN 'archive' WHEN 5 THEN 'twitter_twikit' WHEN 6 THEN 'medium_freedium' ELSE 'tier3_nodriver' END"
 _CUT = "substr(text, 1, CAST(CASE page_id % 8 WHEN 1 THEN 100 WHEN 2 THEN 200 WHEN 3 THEN 300 WHEN 4 THEN 300 WHEN 5 THEN 500 WHEN 6 THEN 500 ELSE 1 END + page_id % 3 - 1 AS INT))"
 
@@ -426,7 +436,7 @@ def _(spark, sf):
 
 
 def _ladder_sql(first: str) -> str:
-    rest = f"CASE WHEN html = '' THEN '' ELSE {D.stripped('html')} END"
+    rest = D.stripped("html")
     return f"""SELECT page_id, CASE {first} WHEN length(m) > 100 THEN 'main' ELSE 'stripped' END AS method,
         CASE {first.replace("'markdown'", 'md')} WHEN length(m) > 100 THEN m ELSE {rest} END AS text"""
 

@@ -28,10 +28,13 @@ def stream_extract(pages: DataFrame, mode: str = "precision") -> DataFrame:
 
 def stream_validate_once(urls: DataFrame, event_time: str = "seen_at", keep: str = "1 hour") -> DataFrame:
     """The first URL of each (host, scheme, port) within the watermark: the ones to look up.
-    Memory is bounded by time."""
+    Memory is bounded by time. Duplicates go in two steps, so that the URLs of a host that is
+    everywhere are first thinned out by many tasks."""
     port = url_scheme_port(F.col("url"))["port"]
     keyed = validate_url_syntax(urls).filter(F.col("error").isNull()).withColumn("port", port)
-    return keyed.withWatermark(event_time, keep).dropDuplicatesWithinWatermark(["host", "scheme", "port"])
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(32))).withWatermark(event_time, keep)
+    thinned = salted.dropDuplicatesWithinWatermark(["host", "scheme", "port", "salt"]).drop("salt")
+    return thinned.dropDuplicatesWithinWatermark(["host", "scheme", "port"])
 
 
 def _race(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
