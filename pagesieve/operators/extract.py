@@ -27,11 +27,12 @@ def _small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def parse_pages(
-    pages: DataFrame, nodes: bool = True, markdown: bool = False, selectors: Sequence[str] = ()
+    pages: DataFrame, nodes: bool = True, markdown: bool = False, selectors: Sequence[str] = (), mode: str | None = None
 ) -> DataFrame:
     """Adds `nodes` (text nodes with the elements around them), `found` (content regions of the
     page) and `md` (Markdown) as asked. The html column goes in and does not come back. Filter
-    rejected pages first: nothing below is skipped for them."""
+    rejected pages first: nothing below is skipped for them. With `mode`, the name of a column,
+    Markdown is rendered only for the rows in full mode."""
     classes = frozenset(s[1:] for s in selectors if s.startswith("."))
     ids = frozenset(s[1:] for s in selectors if s.startswith("#"))
     region_drop, md_drop = dom.mask(C.ARTICLE_DROP_TAGS), frozenset(C.MARKDOWN_DROP_TAGS)
@@ -60,7 +61,9 @@ def parse_pages(
                 )
                 columns += [pa.array(regions, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)]
             if markdown:
-                columns.append(pa.array([dom.to_markdown(page, md_drop) for page in html], pa.string()))
+                full = [m == "full" for m in batch.column(mode).to_pylist()] if mode else [True] * len(html)
+                rendered = [dom.to_markdown(page, md_drop) if f else None for page, f in zip(html, full)]
+                columns.append(pa.array(rendered, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return pages.mapInArrow(parse, T.StructType(fields))
@@ -132,16 +135,18 @@ def extract_main(pages: DataFrame, min_pages: int = 3) -> DataFrame:
     return stripped.withColumn("text", _long_enough(F.col("text")))
 
 
-def extract(pages: DataFrame, mode: str | None = "precision", min_pages: int | None = 3) -> DataFrame:
+def extract(
+    pages: DataFrame, mode: str | None = "precision", min_pages: int | None = 3, mode_column: str | None = None
+) -> DataFrame:
     """The ladder. full: Markdown, main content, stripped text. precision: the same without
     Markdown. Adds method and text. Cutting tags by pattern (text.strip_tags_regex) is the
     step for pages that cannot be parsed; the parser here takes any text.
 
-    One parse feeds every step. The repeated-line step needs a shuffle of the lines; with
+    mode_column names a column with each row's own mode instead. One parse feeds every step. The repeated-line step needs a shuffle of the lines; with
     min_pages=None it is left out and the whole ladder is one shuffle-free stage.
     """
-    full = mode is not None and mode.strip().lower() == "full"
-    parsed = parse_pages(pages, nodes=True, markdown=full)
+    full = mode_column is not None or (mode is not None and mode.strip().lower() == "full")
+    parsed = parse_pages(pages, nodes=True, markdown=full, mode=mode_column)
     nodes, kept = F.col("nodes"), [c for c in pages.columns if c != "html"]
     candidates = parsed.select(
         *kept, article_text(nodes, F.col("found")).alias("main"), stripped_text(nodes).alias("rest"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagesieve import constants as C
 from pagesieve.functions import addresses as A, gates as G, text as X, urls as U
 from pagesieve.operators import attempts as AT, extract as EX, fallbacks as FB, ocr as OC, redirects as RD, report as RP
-from pagesieve.operators import search as SE, segments as SG, tweets as TW, validate as V
+from pagesieve.operators import scrape as SC, search as SE, segments as SG, tweets as TW, validate as V
 from pagesieve.plans import duck as D
 from pagesieve.plans.fixtures import table, with_ctes
 from pagesieve.session import configure, materialize, new_folder
@@ -838,6 +838,42 @@ def _(spark, sf):
     return EX.apply_extractor(pages(spark, sf), _user_extractor, "custom").drop("url", "elapsed_ms")
 
 
+# ---------------------------------------------------------------------------- end to end
+_SCRAPE = {
+    "verdicts": _VERDICTS,
+    "checked": f"""SELECT request_id, u AS url, m AS mode, {D.guard_host('u')} AS host, CASE WHEN t <> 'Auto' THEN CAST(t AS INT) END AS forced,
+        CASE WHEN NOT starts_with(u, 'http') THEN 'Invalid URL. Must start with http:// or https://'
+             WHEN m NOT IN ('precision', 'full') THEN 'Invalid mode. Must be \'\'precision\'\' or \'\'full\'\'.' END AS refused
+        FROM (SELECT request_id, {D.strip('url')} AS u, lower({D.strip('mode')}) AS m, tier AS t FROM asked)""".replace("\\'", "'"),
+    "planned": f"""SELECT c.*, o.tier, o.no - row_number() OVER (PARTITION BY request_id ORDER BY o.no) AS gap, row_number() OVER (PARTITION BY request_id ORDER BY o.no) - 1 AS attempt_id,
+        v.n IS NOT NULL AND v.bad IS NULL AS safe
+        FROM checked c JOIN (VALUES (1, 'tier1_curl'), (2, 'tier2_camoufox'), (3, 'tier3_nodriver')) o(no, tier) ON c.forced IS NULL OR c.forced = o.no
+        LEFT JOIN verdicts v ON v.host = c.host WHERE c.refused IS NULL""",
+    "tried": f"""SELECT p.request_id, p.attempt_id, p.tier, coalesce(r.elapsed_ms, 0) AS elapsed_ms,
+        CASE WHEN p.safe AND CASE p.tier WHEN 'tier1_curl' THEN r.status = 200 AND length(r.html) > 500 AND NOT {D.js_wall('r.html')} ELSE NOT {D.js_wall('r.html')} AND r.html <> '' END
+             THEN CASE WHEN p.mode = 'full' AND length(x.md) > 100 THEN x.md WHEN length(x.m) > 100 THEN x.m ELSE x.st END END AS text
+        FROM planned p LEFT JOIN responses r ON r.url = p.url AND r.tier = p.tier
+        LEFT JOIN (SELECT url, {D.markdown('html')} AS md, {D.strip(D.article('html'))} AS m, {D.stripped('html')} AS st FROM simple_pages) x ON x.url = p.url""",
+    "logged": f"""SELECT request_id, attempt_id, tier, text IS NOT NULL AND elapsed_ms <= {_CAPS} AS success, CASE WHEN elapsed_ms > {_CAPS} THEN 0 ELSE length(text) END AS n,
+        least(elapsed_ms, {_CAPS}) AS elapsed_ms, text FROM (SELECT request_id, attempt_id, tier, elapsed_ms, CASE WHEN tier = 'tier2_camoufox' AND length(text) <= 100 THEN NULL ELSE text END AS text FROM tried)""",
+    "valid": "SELECT * FROM logged WHERE elapsed_ms <= 12000",
+    "best": """SELECT request_id, coalesce(arg_min(attempt_id, (elapsed_ms, attempt_id)) FILTER (WHERE success AND n >= 5000),
+        arg_max(attempt_id, (n, -elapsed_ms, -attempt_id)) FILTER (WHERE success AND n > 0)) AS attempt_id,
+        min((elapsed_ms, attempt_id)) FILTER (WHERE success AND n >= 5000) AS hit FROM valid GROUP BY request_id""",
+    "ends": "SELECT v.request_id, max(v.elapsed_ms) AS ms FROM valid v JOIN best b USING (request_id) WHERE b.hit IS NULL OR (v.elapsed_ms, v.attempt_id) <= b.hit GROUP BY v.request_id",
+    "timeouts": "SELECT request_id FROM logged GROUP BY request_id HAVING bool_or(elapsed_ms > 12000) AND NOT bool_or(success AND n >= 5000 AND elapsed_ms <= 12000)",
+}
+
+
+@query("scrape_stored", f"""SELECT c.request_id, w.text IS NOT NULL AS success, w.tier AS tier_used, w.text AS content, coalesce(length(w.text), 0) AS char_count,
+        CAST(CASE WHEN c.refused IS NOT NULL THEN 0 WHEN t.request_id IS NOT NULL THEN 1200 ELSE coalesce(e.ms // 10 + CASE WHEN e.ms % 10 > 5 OR (e.ms % 10 = 5 AND (e.ms // 10) % 2 = 1) THEN 1 ELSE 0 END, 0) END AS DOUBLE) / 100 AS elapsed_time,
+        CASE WHEN c.refused IS NOT NULL THEN c.refused WHEN w.text IS NULL THEN {D.quote(RP.EXHAUSTED)} END AS error
+    FROM checked c LEFT JOIN best b USING (request_id) LEFT JOIN valid w ON w.request_id = b.request_id AND w.attempt_id = b.attempt_id
+    LEFT JOIN ends e ON e.request_id = c.request_id LEFT JOIN timeouts t ON t.request_id = c.request_id""", ["asked", "responses", "dns", "simple_pages"], _SCRAPE)
+def _(spark, sf):
+    return SC.scrape_stored(table(spark, sf, "asked"), table(spark, sf, "responses"), table(spark, sf, "dns"), allow_tier3=True)
+
+
 # ---------------------------------------------------------------------------- flagship
 @query("site_report", f"""
     SELECT host, site_type, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest, count(*) FILTER (WHERE len(sig) > 0) AS restricted

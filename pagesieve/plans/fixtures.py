@@ -130,6 +130,22 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
                 concat('{{"title":"B', CAST(page_id AS VARCHAR(20)), '","href":"', url, '","body":"two"}}') AS h2,
                 concat('{{"title":"C', CAST(page_id AS VARCHAR(20)), '","href":"', url, '","body":"three"}}') AS h3
               FROM {pages}) AS p"""),
+    "asked": (["pages"], """
+        SELECT page_id AS request_id, CASE WHEN page_id % 13 = 12 THEN 'ftp://old.example.org/' ELSE concat(' ', url) END AS url,
+               CASE page_id % 3 WHEN 0 THEN 'precision' WHEN 1 THEN ' FULL ' ELSE CASE WHEN page_id % 17 = 16 THEN 'bad' ELSE 'precision' END END AS mode,
+               CASE page_id % 7 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 3 THEN '4' ELSE 'Auto' END AS tier
+        FROM {pages}"""),
+    "responses": (["pages"], """
+        SELECT url, 'tier1_curl' AS tier, CASE WHEN page_id % 9 = 8 THEN 403 ELSE 200 END AS status,
+               CASE page_id % 8 WHEN 2 THEN concat('JavaScript is disabled. ', html) WHEN 7 THEN '' ELSE replace(html, '<b>', '') END AS html,
+               (page_id * 37) % 9000 AS elapsed_ms FROM {pages}
+        UNION ALL
+        SELECT url, 'tier2_camoufox' AS tier, 200 AS status,
+               CASE WHEN page_id % 10 = 3 THEN concat('Enable JavaScript ', html) ELSE replace(html, '<b>', '') END AS html,
+               1500 + (page_id * 53) % 11000 AS elapsed_ms FROM {pages}
+        UNION ALL
+        SELECT url, 'tier3_nodriver' AS tier, 200 AS status, replace(html, '<b>', '') AS html,
+               1500 + (page_id * 71) % 12000 AS elapsed_ms FROM {pages} WHERE page_id % 6 <> 1"""),
     "search_queries": (["documents"], """
         SELECT min(doc_id) AS query_id,
                concat(min(regexp_extract(text, '^([^ .,]+)', 1)), ' ', max(regexp_extract(text, '^([^ .,]+)', 1))) AS query
