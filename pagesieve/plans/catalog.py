@@ -803,7 +803,10 @@ def _(spark, sf):
 
 @query("st2_stream_race_early", _WINNER_SQL, ["attempts"], _RACED)
 def _(spark, sf):
-    return ST.run_available(ST.stream_race_early(attempt_stream(spark, sf)), "race-early")
+    log = attempt_stream(spark, sf)
+    early = ST.run_updates(ST.stream_race_early(log), "race-early", "request_id")
+    at_deadline = ST.run_available(ST.stream_race(log), "race-end")
+    return early.unionByName(at_deadline.join(early.select("request_id"), "request_id", "left_anti"))
 
 
 @query("st3_stream_validate_once", f"SELECT DISTINCT host, scheme, port FROM parsed WHERE ({_syntax_sql()}) IS NULL", ["odd_urls"], {"parsed": _PARSED})

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pagesieve import constants as C
 from pagesieve.functions.gates import has_js_wall
+from pagesieve.functions.urls import url_scheme_port
 from pagesieve.operators.attempts import winner_aggregates, winner_columns
 from pagesieve.operators.extract import extract
 from pagesieve.operators.validate import validate_url_syntax
-from pagesieve.functions.urls import url_scheme_port
 from pagesieve.session import new_folder
 
-_WINNER = "request_id bigint, attempt_id bigint, winning_tier string, content_length bigint, elapsed_ms bigint, success boolean"
-_STATE = "length bigint, ms bigint, attempt bigint, tier string, closed boolean"
-
 
 def stream_extract(pages: DataFrame, mode: str = "precision") -> DataFrame:
     """Gate and extract each page as it comes; no state, no shuffle."""
@@ -37,67 +30,33 @@ def stream_validate_once(urls: DataFrame, event_time: str = "seen_at", keep: str
     return thinned.dropDuplicatesWithinWatermark(["host", "scheme", "port"])
 
 
-def _race(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Constant-size state per request: whether it is decided, and the longest result so far."""
-    length, ms, attempt, tier, closed = state.get if state.exists else (0, 0, 0, "", False)
-    if state.hasTimedOut:
-        state.remove()
-        if not closed:
-            yield _winner(key[0], attempt, tier, length, ms) if length else _winner(key[0], None, None, 0, None)
-        return
-    good, deadline = None, 0
-    for rows in batches:
-        deadline = max(deadline, int(rows["deadline_ms"].max()))
-        columns = [rows[c].tolist() for c in ("success", "content_length", "elapsed_ms", "attempt_id", "tier")]
-        for success, n, at, number, name in zip(*columns):
-            if closed or not success or not n:
-                continue
-            if n >= C.GOOD_CHARS and (good is None or (at, number) < (good[0], good[1])):
-                good = (at, number, name, n)
-            if (n, -at, -number) > (length, -ms, -attempt):
-                length, ms, attempt, tier = n, at, number, name
-    if good is not None:
-        closed = True
-        yield _winner(key[0], good[1], good[2], good[3], good[0])
-    state.update((length, ms, attempt, tier, closed))
-    state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-
-
-def _winner(request: int, attempt: int | None, tier: str | None, length: int, ms: int | None) -> pd.DataFrame:
-    whole = lambda v: pd.array([v], dtype="Int64")
-    return pd.DataFrame({
-        "request_id": [request], "attempt_id": whole(attempt), "winning_tier": pd.array([tier], dtype="string"),
-        "content_length": [length], "elapsed_ms": whole(ms), "success": [attempt is not None],
-    })
-
-
 def _deadline_ms() -> Column:
     return F.unix_millis("finished_at") - F.col("elapsed_ms") + C.GLOBAL_DEADLINE_MS
 
 
+def _race(attempts: DataFrame, lateness_ms: int) -> DataFrame:
+    delay = f"{C.GLOBAL_DEADLINE_MS + lateness_ms} milliseconds"
+    timed = attempts.withColumn("deadline", F.timestamp_millis(_deadline_ms())).withWatermark("deadline", delay)
+    in_time = timed.filter(F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS)
+    return in_time.groupBy("request_id", "deadline").agg(*winner_aggregates())
+
+
 def stream_race(attempts: DataFrame, lateness_ms: int = 5_000) -> DataFrame:
-    """One winner per request when its deadline has passed: the batch aggregates in append mode,
+    """One winner per request when its deadline has passed (append mode): the batch aggregates,
     reduced on the map side, so a request with very many attempts stays cheap. Attempts that
     end after the deadline, or come later than the watermark, are ignored. attempts also has
     finished_at (timestamp).
 
     The watermark runs on the deadline, which lies up to one deadline ahead of an attempt's end.
     """
-    delay = f"{C.GLOBAL_DEADLINE_MS + lateness_ms} milliseconds"
-    timed = attempts.withColumn("deadline", F.timestamp_millis(_deadline_ms())).withWatermark("deadline", delay)
-    in_time = timed.filter(F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS)
-    return in_time.groupBy("request_id", "deadline").agg(*winner_aggregates()).select(*winner_columns())
+    return _race(attempts, lateness_ms).select(*winner_columns())
 
 
-def stream_race_early(attempts: DataFrame, lateness: str = "5 seconds") -> DataFrame:
-    """As stream_race, but a winner of the good length is emitted in the batch it arrives in.
-    Leaving the others running is what this saves; it costs Python per request."""
-    timed = attempts.withWatermark("finished_at", lateness).withColumn("deadline_ms", _deadline_ms())
-    return (
-        timed.filter(F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS)
-        .groupBy("request_id")
-        .applyInPandasWithState(_race, _WINNER, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+def stream_race_early(attempts: DataFrame, lateness_ms: int = 5_000) -> DataFrame:
+    """The requests already decided (update mode): a first result of the good length is given in
+    the batch it arrives in, without waiting for the deadline. A later batch repeats the row if
+    more attempts of the request come in; the newest row counts."""
+    return _race(attempts, lateness_ms).filter(F.col("good").isNotNull()).select(*winner_columns())
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:
@@ -111,3 +70,24 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_updates(stream: DataFrame, label: str, key: str) -> DataFrame:
+    """As run_available for an update-mode stream: the newest row per key. A batch run again
+    after a failure overwrites its own folder."""
+    spark = stream.sparkSession
+    out, progress = new_folder(spark, label), new_folder(spark, label + "-progress")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(store)
+        .option("checkpointLocation", progress).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")  # there may be no batch at all
+    rows = spark.read.schema(schema).parquet(out)
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return newest.select("row.*")

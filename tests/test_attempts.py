@@ -117,20 +117,20 @@ def stream_of(spark, tmp_path, rows):
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))
 
 
-@pytest.mark.parametrize("job", [ST.stream_race, ST.stream_race_early])
-def test_stream_race_equals_batch(spark, tmp_path, job):
+def test_stream_race_equals_batch(spark, tmp_path):
     rows = log(5, 60)
-    got = {tuple(r) for r in ST.run_available(job(stream_of(spark, tmp_path, rows)), "race").collect()}
+    got = {tuple(r) for r in ST.run_available(ST.stream_race(stream_of(spark, tmp_path, rows)), "race").collect()}
     timed = spark.createDataFrame([r for r in rows if r[5] <= 12000], SCHEMA)
     expected = {tuple(r) for r in AT.pick_winner(timed).collect()}
     assert got == expected
 
 
 def test_early_winner_does_not_wait(spark, tmp_path):
-    """Without a closing row only decided requests come out of the early job."""
+    """Without a closing row the early job gives the decided request, the other job none."""
     rows = [(1, 1, "a", True, 6000, 10, None), (2, 2, "a", True, 600, 10, None)]
     finished = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("elapsed_ms"))
     df = spark.createDataFrame(rows, SCHEMA).withColumn("finished_at", finished)
     df.write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))
-    assert [r.request_id for r in ST.run_available(ST.stream_race_early(stream), "early").collect()] == [1]
+    assert [r.request_id for r in ST.run_updates(ST.stream_race_early(stream), "early", "request_id").collect()] == [1]
+    assert ST.run_available(ST.stream_race(stream), "end").count() == 0
