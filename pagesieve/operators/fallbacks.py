@@ -13,12 +13,15 @@ def latest_snapshot(urls: DataFrame, snapshots: DataFrame) -> DataFrame:
     """The newest capture of each asked URL, if that very capture has status 200 and a long
     enough body; an older good copy does not step in. (url, captured_at) is unique.
 
-    The newest capture is found on narrow columns with a map-side maximum; the page bodies are
-    read only in the join that follows it.
+    The newest capture is found on narrow columns with a map-side maximum, before the asked
+    URLs are looked up, so a URL with very many captures shrinks first; the page bodies are
+    read only in the join that follows, which spreads a URL's captures by their time.
     """
-    asked = snapshots.select("url", "captured_at", "status").join(urls.select("url").distinct(), "url", "left_semi")
-    newest = asked.groupBy("url").agg(F.max(F.struct("captured_at", "status")).alias("newest"))
-    good = newest.filter(F.col("newest.status") == 200).select("url", F.col("newest.captured_at").alias("captured_at"))
+    newest = snapshots.groupBy("url").agg(
+        F.max("captured_at").alias("captured_at"), F.max_by("status", "captured_at").alias("newest_status")
+    )
+    asked = newest.join(urls.select("url").distinct(), "url", "left_semi")
+    good = asked.filter(F.col("newest_status") == 200).select("url", "captured_at")
     bodies = snapshots.filter((F.col("status") == 200) & (F.length("html") > C.MIN_RESPONSE_CHARS))
     return bodies.join(good, ["url", "captured_at"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagesieve import constants as C
+from pagesieve.operators.skew import skewable_join
 
 _WORDS = r"[^\p{L}\p{N}]+"
 HIT_SCHEMA = "array<struct<title:string,href:string,body:string>>"
@@ -26,12 +27,12 @@ def search_top_k(pages: DataFrame, queries: DataFrame, k: int = C.SEARCH_MAX_RES
     asked = queries.select(F.lower("query").alias("wanted")).distinct()
     terms = asked.select("wanted", F.explode(F.array_distinct(words(F.col("wanted")))).alias("word"))
     found = pages.select("page_id", F.explode(words(F.col("text"))).alias("word"))
-    wanted = found.join(terms.select("word").distinct(), "word", "left_semi")
+    wanted = skewable_join(found, terms.select("word").distinct(), ["word"], "left_semi")
     per_page = wanted.groupBy("page_id", "word").agg(F.count("*").alias("n"))
-    scored = per_page.join(terms, "word").groupBy("wanted", "page_id").agg(F.sum("n").alias("score"))
+    scored = skewable_join(per_page, terms, ["word"], "inner").groupBy("wanted", "page_id").agg(F.sum("n").alias("score"))
     order = Window.partitionBy("wanted").orderBy(F.desc("score"), F.asc("page_id"))
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return queries.withColumn("wanted", F.lower("query")).join(top, "wanted").select(
+    return skewable_join(queries.withColumn("wanted", F.lower("query")), top, ["wanted"], "inner").select(
         "query_id", "query", F.col("rank").cast("bigint").alias("rank"), "page_id", "score"
     )
 
