@@ -128,6 +128,11 @@ REDIRECT_STATUSES = [301, 302, 303, 307, 308]
 GLOBAL_DEADLINE_MS = 12_000
 STAGGER_MS = 1_500
 TIER_CAPS_MS = {"tier1_curl": 7_000, "tier2_camoufox": 10_000, "tier3_nodriver": 12_000}
+# Site handlers run before the tiers; a result longer than SPARSE_CHARS ends the request.
+HANDLER_CAPS_MS = {"twitter_twikit": 7_000, "medium_freedium": 7_000, "medium_archive": 7_000}
+# Of the handlers only this one leaves failures in the attempt list; the others fail silently.
+LOGGED_HANDLER = "twitter_twikit"
+NO_RESULT = "No content returned"
 # A text from one of these sources is kept only when it is longer than each listed bound.
 SOURCE_MIN_CHARS = {
     "tier2_camoufox": [100],

@@ -23,8 +23,20 @@ def _order() -> Column:
     return F.struct("elapsed_ms", "attempt_id")
 
 
+def _by_handler(tier: str = "tier") -> Column:
+    return F.coalesce(F.col(tier).isin(list(C.HANDLER_CAPS_MS)), F.lit(False))
+
+
 def _good() -> Column:
-    return F.col("success") & (F.col("content_length") >= C.GOOD_CHARS)
+    """Results that end a request: long ones, and those of a site handler above its bound."""
+    bound = F.when(_by_handler(), F.lit(C.SPARSE_CHARS + 1)).otherwise(F.lit(C.GOOD_CHARS))
+    return F.col("success") & (F.col("content_length") >= bound)
+
+
+def _listed() -> Column:
+    """Attempts a report shows: all of the tiers, and errors of the handler that logs them."""
+    error = F.coalesce(F.col("error"), F.lit(C.NO_RESULT)) != C.NO_RESULT
+    return ~_by_handler() | ((F.col("tier") == C.LOGGED_HANDLER) & ~F.col("success") & error)
 
 
 def union_attempts(*logs: DataFrame) -> DataFrame:
@@ -36,7 +48,7 @@ def _apply_caps(attempts: DataFrame) -> DataFrame:
     started = F.col("started_ms") if "started_ms" in attempts.columns else F.lit(0)
     cap = F.when(F.lit(False), F.lit(0))
     text = F.when(F.lit(False), F.lit(""))
-    for tier, ms in C.TIER_CAPS_MS.items():
+    for tier, ms in {**C.TIER_CAPS_MS, **C.HANDLER_CAPS_MS}.items():
         cap = cap.when(F.col("tier") == tier, F.lit(ms))
         text = text.when(F.col("tier") == tier, F.lit(f"Timeout after {ms / 1000:.1f}s"))
     late = F.coalesce(F.col("elapsed_ms") - started > cap, F.lit(False))
@@ -48,7 +60,8 @@ def _apply_caps(attempts: DataFrame) -> DataFrame:
     }
     if "content" in attempts.columns:
         changes["content"] = F.when(~late, F.col("content"))
-    return attempts.withColumns(changes)
+    silent = late & _by_handler() & (F.col("tier") != C.LOGGED_HANDLER)
+    return attempts.filter(~silent).withColumns(changes)
 
 
 def _in_time(attempts: DataFrame) -> DataFrame:
@@ -81,7 +94,7 @@ def winner_aggregates() -> list[Column]:
     fields = F.struct("attempt_id", "tier", "content_length", "elapsed_ms")
     first_good = F.min(F.when(_good(), F.struct("elapsed_ms", "attempt_id", fields.alias("row"))))
     longest = F.max(F.when(
-        F.col("success") & (F.col("content_length") > 0),
+        F.col("success") & (F.col("content_length") > 0) & ~_by_handler(),
         F.struct("content_length", (-F.col("elapsed_ms")).alias("e"), (-F.col("attempt_id")).alias("a"), fields.alias("row")),
     ))
     return [first_good.alias("good"), longest.alias("long")]
@@ -98,7 +111,8 @@ def winner_columns() -> list[Column]:
 
 def pick_winner(attempts: DataFrame) -> DataFrame:
     """One row per request: the first success of at least the good length, else the longest
-    success, the earliest on ties. Requests without a success keep a null winner."""
+    success, the earliest on ties. Requests without a success keep a null winner. A site
+    handler's result counts above its own bound only, and then ends the request."""
     return attempts.groupBy("request_id").agg(*winner_aggregates()).select(*winner_columns())
 
 
@@ -135,14 +149,17 @@ def _ordered_attempts() -> Column:
 def collect_attempts(attempts: DataFrame) -> DataFrame:
     """request_id and its attempts in completion order, ending with an early winner. A request
     becomes one cell here by definition, so this is the report's shape, not an intermediate."""
-    return truncate_after_winner(_in_time(attempts)).groupBy("request_id").agg(_ordered_attempts().alias("attempts"))
+    shown = truncate_after_winner(_in_time(attempts)).filter(_listed())
+    return shown.groupBy("request_id").agg(_ordered_attempts().alias("attempts"))
 
 
 def failed_tiers(attempts: DataFrame) -> DataFrame:
     """The failure text of each request without a success."""
-    names = F.transform(F.array_sort(F.collect_list(F.struct("elapsed_ms", "attempt_id", "tier"))), lambda a: a["tier"])
+    shown = F.when(_listed(), F.struct("elapsed_ms", "attempt_id", "tier"))  # nulls are not collected
+    names = F.transform(F.array_sort(F.collect_list(shown)), lambda a: a["tier"])
+    won = F.max(_good() | (F.col("success") & ~_by_handler()))
     return (
-        attempts.groupBy("request_id").agg(F.max("success").alias("any_success"), names.alias("tiers"))
+        attempts.groupBy("request_id").agg(won.alias("any_success"), names.alias("tiers"))
         .filter(~F.col("any_success"))
         .select("request_id", _failure_text(F.col("tiers")).alias("warning"))
     )
@@ -172,8 +189,10 @@ def scrape_result(
         .join(timeouts, "request_id", "left")
     )
     success = F.coalesce("success", F.lit(False)) & (F.coalesce("content", F.lit("")) != "")
+    # A handler's result is returned as it is, without the assessment.
+    handled = _by_handler("winning_tier")
     joined = joined.withColumn("success", success).withColumn(
-        "restriction", access_restriction(F.when(success, F.col("content")))
+        "restriction", access_restriction(F.when(success & ~handled, F.col("content")))
     )
     restricted = F.col("restriction.flag")
     failed = ~F.col("success")
@@ -192,7 +211,8 @@ def scrape_result(
         F.when(failed & F.col("force_tier").isNotNull(), F.lit("Try without force_tier to allow auto-escalation")),
     ))
     last_ms = F.array_max(F.transform("attempts", lambda a: a["elapsed_ms"]))
-    total = F.when(F.col("timeout").isNotNull(), F.lit(C.GLOBAL_DEADLINE_MS).cast("bigint")).otherwise(last_ms)
+    total = F.when(F.col("timeout").isNotNull(), F.lit(C.GLOBAL_DEADLINE_MS).cast("bigint")).otherwise(
+        F.when(handled, F.col("won_at_ms")).otherwise(last_ms))
     empty = F.array().cast(listed.schema["attempts"].dataType)
     return joined.select(
         "request_id", "url", "mode", "success",

@@ -186,7 +186,7 @@ def apply_extractor(
                     result = fn(html, mode)
                     content = result[0] if isinstance(result, tuple) else result
                     if result is None:
-                        error = "No content returned"
+                        error = C.NO_RESULT
                 except Exception as exc:  # the caller's function may fail in any way
                     error = str(exc)[:200]
                 chars = len(content) if content else 0

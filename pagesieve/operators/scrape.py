@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pagesieve import constants as C
 from pagesieve.functions.gates import passes_min_length, passes_page_gate
 from pagesieve.operators.attempts import scrape_result
 from pagesieve.operators.extract import extract
@@ -49,7 +50,7 @@ def stored_attempts(accepted: DataFrame, responses: DataFrame, allow_tier3: bool
         "request_id", "attempt_id", "tier", (text.isNotNull() & (chars > 0)).alias("success"), text.alias("content"),
         F.when(text.isNull(), F.lit(0)).otherwise(chars).cast("bigint").alias("content_length"),
         F.coalesce("elapsed_ms", F.lit(0)).cast("bigint").alias("elapsed_ms"),
-        F.when(text.isNull(), F.lit("No content returned")).alias("error"),
+        F.when(text.isNull(), F.lit(C.NO_RESULT)).alias("error"),
     )
 
 

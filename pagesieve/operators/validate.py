@@ -62,22 +62,24 @@ def host_verdicts(dns: DataFrame) -> DataFrame:
 
 
 def _judge(keys: DataFrame, dns: DataFrame) -> DataFrame:
-    """Adds error for rows with host and syntax error; literal addresses need no lookup."""
+    """Adds error for rows with host, syntax and port error; literal addresses need no lookup."""
     host = F.col("host")
     looked_up = skewable_join(keys.withColumn("literal", A.is_public_ip(host)), host_verdicts(dns), ["host"])
     error = (
         F.when(F.col("syntax").isNotNull(), F.col("syntax"))
         .when(F.col("literal").isNotNull(), F.when(~F.col("literal"), _address_error(host, host)))
+        .when(F.col("port_error").isNotNull(), F.col("port_error"))
         .when(F.coalesce(F.col("addresses"), F.lit(0)) == 0,
               F.concat(F.lit("ERROR: Could not resolve host '"), host, F.lit("' to an IP address.")))
         .when(F.col("bad_ip").isNotNull(), _address_error(host, F.col("bad_ip")))
     )
-    return looked_up.withColumn("error", error).drop("addresses", "bad_ip", "syntax", "literal")
+    return looked_up.withColumn("error", error).drop("addresses", "bad_ip", "syntax", "port_error", "literal")
 
 
 def validate_urls(urls: DataFrame, dns: DataFrame) -> DataFrame:
     """Adds scheme, host and error; every address of the host must be public."""
-    return _judge(validate_url_syntax(urls).withColumnRenamed("error", "syntax"), dns)
+    parsed = validate_url_syntax(urls).withColumnRenamed("error", "syntax")
+    return _judge(parsed.withColumn("port_error", U.url_scheme_port(F.col("url"))["port_error"]), dns)
 
 
 def validate_urls_once(urls: DataFrame, dns: DataFrame) -> DataFrame:
@@ -92,7 +94,8 @@ def validate_urls_once(urls: DataFrame, dns: DataFrame) -> DataFrame:
         .withColumn("port", endpoint["port"]).withColumn("port_error", endpoint["port_error"])
     )
     key = ["host", "scheme", "port"]
-    verdicts = _judge(parsed.select(*key).distinct().withColumn("syntax", F.lit(None).cast("string")), dns)
+    none = F.lit(None).cast("string")
+    verdicts = _judge(parsed.select(*key).distinct().withColumns({"syntax": none, "port_error": none}), dns)
     joined = skewable_join(parsed, verdicts, key)
     error = F.coalesce(F.col("syntax"), F.col("port_error"), F.col("error"))
     return joined.withColumn("error", error).drop("syntax", "port_error")

@@ -226,6 +226,7 @@ def _guard_sql(first: str) -> str:
     return f"""SELECT p.page_id, CASE WHEN {first} WHEN {_syntax_sql('p.')} IS NOT NULL THEN {_syntax_sql('p.')}
         WHEN p.host = '::1' THEN {blocked.replace('{ip}', 'p.host')}
         WHEN {D.is_ipv4('p.host')} THEN CASE WHEN NOT {D.public_ipv4('p.host')} THEN {blocked.replace('{ip}', 'p.host')} END
+        WHEN p.port IS NULL THEN 'Port out of range 0-65535'
         WHEN v.n IS NULL THEN 'ERROR: Could not resolve host ''' || p.host || ''' to an IP address.'
         WHEN v.bad IS NOT NULL THEN {blocked.replace('{ip}', 'v.bad')} END AS error
         FROM parsed p LEFT JOIN verdicts v ON v.host = p.host"""

@@ -67,10 +67,10 @@ def test_completion_order_with_a_hot_request(spark):
 def test_deadlines(spark):
     rows = [(1, 1, "tier1_curl", True, 9, 7000, None), (1, 2, "tier1_curl", True, 9, 7001, None),
             (1, 3, "tier2_camoufox", True, 9, 10001, None), (1, 4, "tier3_nodriver", True, 9, 12000, None),
-            (1, 5, "twitter_twikit", True, 9, 11000, None), (1, 6, "twitter_twikit", True, 9, 12001, None)]
+            (1, 5, "twitter_twikit", True, 9, 7001, None), (1, 6, "medium_archive", True, 9, 7001, None), (1, 7, "other", True, 9, 12001, None)]
     out = {r.attempt_id: (r.success, r.content_length, r.elapsed_ms, r.error) for r in AT.apply_deadlines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {1: (True, 9, 7000, None), 2: (False, 0, 7000, "Timeout after 7.0s"), 3: (False, 0, 10000, "Timeout after 10.0s"),
-                   4: (True, 9, 12000, None), 5: (True, 9, 11000, None)}
+                   4: (True, 9, 12000, None), 5: (False, 0, 7000, "Timeout after 7.0s")}
 
 
 def test_global_timeout_needs_an_open_race(spark):
@@ -79,6 +79,25 @@ def test_global_timeout_needs_an_open_race(spark):
     assert {r.request_id for r in AT.global_timeouts(spark.createDataFrame(rows, SCHEMA)).collect()} == {1, 4}
 
 
+def test_site_handlers(spark):
+    """A handler wins at 501 characters, its shorter results do not count, and of its failures
+    only logged errors are listed."""
+    rows = [(1, 1, "twitter_twikit", True, 501, 900, None), (1, 2, "tier2_camoufox", True, 9000, 1000, None),
+            (2, 3, "twitter_twikit", True, 500, 900, None), (2, 4, "tier2_camoufox", True, 10, 1000, None),
+            (3, 5, "twitter_twikit", False, 0, 900, "boom"), (3, 6, "tier2_camoufox", False, 0, 1000, "No content returned"),
+            (4, 7, "medium_freedium", False, 0, 900, "boom")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.request_id: r.attempt_id for r in AT.pick_winner(df).collect()} == {1: 1, 2: 4, 3: None, 4: None}
+    assert {r.request_id: r.warning for r in AT.failed_tiers(df).collect()} == {
+        3: "All tiers failed: twitter_twikit, tier2_camoufox", 4: "All tiers failed"}
+    requests = spark.createDataFrame([(i, "http://h/", "precision", None) for i in (1, 2, 3, 4)], "request_id long, url string, mode string, force_tier int")
+    content = df.withColumn("content", F.when(F.col("success"), F.lit("please log in")))
+    got = {r.request_id: r for r in AT.scrape_result(requests, content).collect()}
+    assert (got[1].winning_tier, got[1].tier_attempts, got[1].warnings, got[1].total_elapsed_ms) == ("twitter_twikit", [], [], 900)
+    assert got[2].access_restriction_detected and [a.tier for a in got[2].tier_attempts] == ["tier2_camoufox"]
+    assert [a.tier for a in got[3].tier_attempts] == ["twitter_twikit", "tier2_camoufox"]
+
+
 def test_result_of_request_without_attempts(spark):
     requests = spark.createDataFrame([(1, "http://h/", "precision", 3)], "request_id long, url string, mode string, force_tier int")
     attempts = spark.createDataFrame([], SCHEMA + ", content string")
