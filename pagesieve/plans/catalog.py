@@ -13,7 +13,7 @@ from pagesieve.operators import attempts as AT, extract as EX, fallbacks as FB,
 from pagesieve.operators import scrape as SC, search as SE, segments as SG, tweets as TW, validate as V
 from pagesieve.plans import duck as D
 from pagesieve.plans.fixtures import table, with_ctes
-from pagesieve.session import configure, materialize, new_folder
+from pagesieve.session import configure, new_folder
 from pagesieve.sources import readers as R, writers as W
 from pagesieve.streaming import jobs as ST
 
@@ -218,7 +218,8 @@ def _(spark, sf):
     return ips.withColumn("public", A.is_public_ip(F.col("ip")))
 
 
-_VERDICTS = f"""SELECT host, count(*) AS n, arg_min(ip, ord) FILTER (WHERE NOT {D.public_ipv4('ip')}) AS bad FROM dns GROUP BY host"""
+_VERDICTS = f"""SELECT host, count(*) AS n, arg_min(ip, ord) FILTER (WHERE NOT {D.public_ipv4('ip')}) AS bad FROM dns GROUP BY host
+    HAVING bool_or({D.is_ipv4('ip')})"""
 
 
 def _guard_sql(first: str) -> str:
@@ -341,16 +342,13 @@ def _(spark, sf):
 
 
 _SOURCES = "CASE page_id % 8 WHEN 0 THEN 'tier1_curl' WHEN 1 THEN 'tier2_camoufox' WHEN 2 THEN 'tier1_5_jina' WHEN 3 THEN 'mirror' WHEN 4 THEN 'archive' WHEN 5 THEN 'twitter_twikit' WHEN 6 THEN 'medium_freedium' ELSE 'tier3_nodriver' END"
-_CUT = "substr(text, 1, CAST(CASE page_id % 8 WHEN 1 THEN 100 WHEN 2 THEN 200 WHEN 3 THEN 300 WHEN 4 THEN 300 WHEN 5 THEN 500 WHEN 6 THEN 500 ELSE 1 END + page_id % 3 - 1 AS INT))"
-
-
 @query("g5_min_length_gate", f"""
-    SELECT page_id, source, length(text) AS chars FROM (SELECT page_id, {_SOURCES} AS source, {_CUT} AS text FROM plain)
+    SELECT page_id, source, length(text) AS chars FROM (SELECT page_id, {_SOURCES} AS source, text FROM plain)
     WHERE length(text) > CASE source WHEN 'tier2_camoufox' THEN 100 WHEN 'tier1_5_jina' THEN 200 WHEN 'mirror' THEN 300 WHEN 'archive' THEN 300
         WHEN 'twitter_twikit' THEN 500 WHEN 'medium_freedium' THEN 500 ELSE -1 END""", ["plain"])
 def _(spark, sf):
-    cut = table(spark, sf, "plain").select("page_id", F.expr(_SOURCES).alias("source"), F.expr(_CUT).alias("text"))
-    kept = cut.filter(G.passes_min_length(F.col("source"), F.col("text")))
+    sourced = table(spark, sf, "plain").select("page_id", F.expr(_SOURCES).alias("source"), "text")
+    kept = sourced.filter(G.passes_min_length(F.col("source"), F.col("text")))
     return kept.select("page_id", "source", X.char_count(F.col("text")).alias("chars"))
 
 
@@ -361,10 +359,10 @@ def _(spark, sf):
     return sized.select("page_id", G.is_sparse(F.col("n")).alias("sparse"), G.sparse_warning(F.col("n")).alias("warning"))
 
 
-@query("g7_ocr_text_gate", "SELECT doc_id, CASE WHEN length(t) >= 50 THEN t END AS ocr, CASE WHEN length(t) > 50 THEN t END AS vision FROM (SELECT doc_id, substr(text, 1, CAST(49 + doc_id % 3 AS INT)) AS t FROM documents)")
+@query("g7_ocr_text_gate", "SELECT doc_id, CASE WHEN length(t) >= 50 THEN t END AS ocr, CASE WHEN length(t) > 50 THEN t END AS vision FROM (SELECT doc_id, text AS t FROM documents)")
 def _(spark, sf):
-    cut = table(spark, sf, "documents").select("doc_id", F.expr("substr(text, 1, CAST(49 + doc_id % 3 AS INT))").alias("t"))
-    return cut.select("doc_id", G.ocr_text_gate(F.col("t")).alias("ocr"), G.vision_text_gate(F.col("t")).alias("vision"))
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", G.ocr_text_gate(text).alias("ocr"), G.vision_text_gate(text).alias("vision"))
 
 
 @query("g8_redirect_status", "SELECT page_id, status, status IN (301, 302, 303, 307, 308) AS redirect FROM (SELECT page_id, CAST(299 + page_id % 11 AS INT) AS status FROM pages)")
@@ -484,10 +482,10 @@ def _(spark, sf):
 
 @query("x13_ocr_fallback", """
     SELECT a.doc_id, CASE WHEN a.text IS NOT NULL THEN 'playwright_surya' ELSE 'playwright_claude_fallback' END AS method, coalesce(a.text, b.text) AS text
-    FROM texts a LEFT JOIN (SELECT * FROM texts2 WHERE doc_id % 2 = 0 AND length(text) > 50) b ON b.doc_id = a.doc_id
+    FROM texts a LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(text) > 50 THEN text END AS text FROM texts2) b ON b.doc_id = a.doc_id
     WHERE coalesce(a.text, b.text) IS NOT NULL""", extra={**_ocr_sql(31), **_ocr_sql(7)})
 def _(spark, sf):
-    second = OC.assemble_ocr(ocr_pages(spark, sf, 7)).filter(F.col("doc_id") % 2 == 0)
+    second = OC.assemble_ocr(ocr_pages(spark, sf, 7)).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")))
     return OC.ocr_fallback(OC.assemble_ocr(ocr_pages(spark, sf)), second, "both")
 
 

@@ -38,16 +38,18 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         FROM {targets} p JOIN {targets} q ON q.page_id = p.target"""),
     "hosts": (["pages"], """
         SELECT regexp_extract(url, '://([^/:?#]*)', 1) AS host, min(page_id) AS m FROM {pages} GROUP BY 1"""),
-    "dns": (["hosts"], """
-        SELECT host, 0 AS ord, concat(
+    "first_ips": (["hosts"], """
+        SELECT host, m, CASE WHEN m % 11 = 5 THEN 'no address' ELSE concat(
                  CASE m % 8 WHEN 0 THEN '8' WHEN 1 THEN '10' WHEN 2 THEN '93' WHEN 3 THEN '127' WHEN 4 THEN '172'
                  WHEN 5 THEN '192' WHEN 6 THEN '224' ELSE '100' END,
                  '.', CAST((m * 13) % 256 AS VARCHAR(20)), '.', CAST((m * 7) % 256 AS VARCHAR(20)),
-                 '.', CAST(1 + m % 250 AS VARCHAR(20))) AS ip
-        FROM {hosts} WHERE m % 11 <> 5
+                 '.', CAST(1 + m % 250 AS VARCHAR(20))) END AS ip
+        FROM {hosts}"""),
+    "dns": (["first_ips"], """
+        SELECT host, 0 AS ord, ip FROM {first_ips}
         UNION ALL
-        SELECT host, 1 AS ord, concat('9.9.9.', CAST(1 + m % 250 AS VARCHAR(20))) AS ip
-        FROM {hosts} WHERE m % 11 <> 5 AND m % 3 = 0"""),
+        SELECT host, 1 AS ord, CASE WHEN m % 3 = 0 AND m % 11 <> 5 THEN concat('9.9.9.', CAST(1 + m % 250 AS VARCHAR(20))) ELSE ip END AS ip
+        FROM {first_ips}"""),
     "odd_urls": (["pages"], """
         SELECT page_id, CASE page_id % 23
             WHEN 1 THEN concat('HTTP://', upper(host), ':8080/a b')
@@ -89,7 +91,7 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
                WHEN 1 THEN concat('Please LOG IN to continue. ', html)
                WHEN 2 THEN concat('JavaScript is disabled. ', html)
                WHEN 3 THEN concat('Subscribe now! Become a member. ', html)
-               WHEN 4 THEN rpad(concat('<div id="root">', substr(html, 1, 300)), 9999 + CAST(page_id % 3 AS INT), '<')
+               WHEN 4 THEN concat('<div id="root">', html, repeat(' ', CAST(greatest(0, 9984 + page_id % 3 - length(html)) AS INT)))
                WHEN 5 THEN concat(repeat('x', 3000), 'access denied', html)
                WHEN 6 THEN concat('Access denied. Please sign in. Premium content. Paywall. ', html)
                ELSE '' END AS html
@@ -116,7 +118,7 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         SELECT url, (page_id * 37 + 22) % 365 AS captured_at, CASE WHEN (page_id + 2) % 5 = 0 THEN 404 ELSE 200 END AS status, html FROM {pages}"""),
     "mirrors": (["plain"], """
         SELECT url, priority, CASE WHEN (page_id + priority) % 3 = 0 THEN 500 ELSE 200 END AS status,
-               CASE WHEN page_id % 2 = 0 THEN substr(text, 1, CAST(300 + page_id % 3 - 1 AS INT)) ELSE text END AS text
+               text
         FROM (SELECT *, 0 AS priority FROM {plain} UNION ALL SELECT *, 1 AS priority FROM {plain}) AS m"""),
     "markdown_docs": (["pages"], """
         SELECT page_id, CASE page_id % 5
@@ -144,8 +146,8 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
                CASE WHEN page_id % 10 = 3 THEN concat('Enable JavaScript ', html) ELSE replace(html, '<b>', '') END AS html,
                1500 + (page_id * 53) % 11000 AS elapsed_ms FROM {pages}
         UNION ALL
-        SELECT url, 'tier3_nodriver' AS tier, 200 AS status, replace(html, '<b>', '') AS html,
-               1500 + (page_id * 71) % 12000 AS elapsed_ms FROM {pages} WHERE page_id % 6 <> 1"""),
+        SELECT url, 'tier3_nodriver' AS tier, 200 AS status, CASE WHEN page_id % 6 <> 1 THEN replace(html, '<b>', '') END AS html,
+               1500 + (page_id * 71) % 12000 AS elapsed_ms FROM {pages}"""),
     "search_queries": (["documents"], """
         SELECT min(doc_id) AS query_id,
                concat(min(regexp_extract(text, '^([^ .,]+)', 1)), ' ', max(regexp_extract(text, '^([^ .,]+)', 1))) AS query
