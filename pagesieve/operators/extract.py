@@ -125,18 +125,19 @@ def drop_noise(
     return parse_pages(pages, selectors=selectors).withColumn("text", text).drop("nodes", "found")
 
 
-def extract_main(pages: DataFrame, min_pages: int = 3) -> DataFrame:
+def extract_main(pages: DataFrame, min_pages: int = 3, key: str = "page_id") -> DataFrame:
     """Adds text: the main content without lines repeated across the host's pages, null unless
     longer than the acceptance bound."""
     parsed = parse_pages(pages).withColumn("text", article_text(F.col("nodes"), F.col("found")))
     stored = materialize(parsed.drop("nodes", "found").withColumn("host", url_host(F.col("url"))), "main")
-    deduped = drop_repeated_segments(stored, "page_id", min_pages)
+    deduped = drop_repeated_segments(stored, key, min_pages)
     stripped = deduped.withColumn("text", strip(F.col("text"))).drop("host")
     return stripped.withColumn("text", _long_enough(F.col("text")))
 
 
 def extract(
-    pages: DataFrame, mode: str | None = "precision", min_pages: int | None = 3, mode_column: str | None = None
+    pages: DataFrame, mode: str | None = "precision", min_pages: int | None = 3, mode_column: str | None = None,
+    key: str = "page_id",
 ) -> DataFrame:
     """The ladder. full: Markdown, main content, stripped text. precision: the same without
     Markdown. Adds method and text. Cutting tags by pattern (text.strip_tags_regex) is the
@@ -154,7 +155,8 @@ def extract(
     )
     if min_pages is not None:
         lines = candidates.withColumn("host", url_host(F.col("url"))).withColumnRenamed("main", "text")
-        candidates = drop_repeated_segments(materialize(lines, "ladder"), "page_id", min_pages).withColumnRenamed("text", "main").drop("host")
+        kept_lines = drop_repeated_segments(materialize(lines, "ladder"), key, min_pages)
+        candidates = kept_lines.withColumnRenamed("text", "main").drop("host")
     # One projection per step: a column used several times is computed once.
     sized = candidates.withColumn("main", strip(F.col("main")))
     accepted = sized.withColumns({c: _long_enough(F.col(c)) for c in ("markdown", "main")})

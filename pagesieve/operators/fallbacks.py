@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pagesieve import constants as C
+from pagesieve.operators.extract import extract
 
 _MIN_TEXT = max(C.SOURCE_MIN_CHARS["archive"])
 
@@ -26,9 +27,10 @@ def latest_snapshot(urls: DataFrame, snapshots: DataFrame) -> DataFrame:
     return bodies.join(good, ["url", "captured_at"])
 
 
-def accept_snapshot_text(extracted: DataFrame) -> DataFrame:
-    """The length rule for the extracted text of an archived copy."""
-    return extracted.filter(F.length("text") > _MIN_TEXT)
+def latest_snapshot_text(urls: DataFrame, snapshots: DataFrame, mode: str = "precision") -> DataFrame:
+    """The extracted text of the newest capture where it is long enough for an archived copy."""
+    texts = extract(latest_snapshot(urls, snapshots), mode, min_pages=None)
+    return texts.select("url", "captured_at", "text").filter(F.length("text") > _MIN_TEXT)
 
 
 def first_passing_mirror(mirrors: DataFrame) -> DataFrame:

@@ -541,13 +541,12 @@ def _(spark, sf):
 
 
 @query("j4_latest_snapshot", f"""
-    SELECT url, captured_at, text FROM (SELECT *, {D.strip_tags('html')} AS text FROM snapshots
-        WHERE (url, captured_at) IN (SELECT url, max(captured_at) FROM snapshots GROUP BY url) AND status = 200 AND length(html) > 500)
+    SELECT url, captured_at, text FROM (SELECT url, captured_at, CASE WHEN length(m) > 100 THEN m ELSE {D.stripped('html')} END AS text
+        FROM (SELECT *, {D.strip(D.article('html'))} AS m FROM snapshots
+            WHERE (url, captured_at) IN (SELECT url, max(captured_at) FROM snapshots GROUP BY url) AND status = 200 AND length(html) > 500))
     WHERE length(text) > 300""", ["snapshots"])
 def _(spark, sf):
-    newest = FB.latest_snapshot(pages(spark, sf), table(spark, sf, "snapshots"))
-    text = newest.select("url", "captured_at", X.strip_tags_regex(F.col("html")).alias("text"))
-    return FB.accept_snapshot_text(text)
+    return FB.latest_snapshot_text(pages(spark, sf), table(spark, sf, "snapshots"))
 
 
 @query("j5_first_passing_mirror", "SELECT url, min(priority) AS priority, arg_min(text, priority) AS text FROM mirrors WHERE status = 200 AND length(text) > 300 GROUP BY url", ["mirrors"])
