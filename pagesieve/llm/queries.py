@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagesieve.llm.decontaminate import contaminated
+from pagesieve.llm.langid import identify
 from pagesieve.llm.lines import drop_shared_lines
+from pagesieve.llm.mixing import plan_mixture
 from pagesieve.llm.simhash import near_duplicates
 from pagesieve.llm.util import table
 
@@ -24,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 @query("op6_line_dedup", r"""
 WITH lines AS (
   SELECT doc_id, len(ls) AS n_lines, unnest(ls) AS line, unnest(range(len(ls))) AS pos
@@ -45,6 +53,88 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+@query("op8_decontamination", r"""
+WITH items AS (
+  SELECT item_id, ws, least(len(ws), 5) AS k
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark) WHERE len(ws) > 0
+), item_grams AS (
+  SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM items)
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL
+), doc_grams AS (
+  SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM items))
+), shared AS (
+  SELECT doc_id, item_id, count(*) AS n FROM doc_grams JOIN item_grams USING (k, g) GROUP BY ALL
+)
+SELECT doc_id, item_id, shared.n / sizes.n AS containment
+FROM shared JOIN (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id) sizes USING (item_id)
+WHERE shared.n / sizes.n >= 0.8
+""")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, sf_dir, "benchmark")).drop("version")
+
+
 @query("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_temperature_mixing", r"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+  FROM documents
+), src AS MATERIALIZED (
+  SELECT source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY source HAVING sum(n_tokens) > 0
+), totals AS MATERIALIZED (
+  SELECT sum(tokens)::BIGINT AS total, max(tokens)::DOUBLE AS largest, count(*) AS n FROM src
+), grid AS (  -- both limits by plain bisection
+  SELECT 0 AS step, 0.0::DOUBLE AS lo_e, 1.0::DOUBLE AS hi_e, 0.0::DOUBLE AS lo_r, 1.0::DOUBLE AS hi_r
+  UNION ALL
+  SELECT step + 1, CASE WHEN ent >= 0.97 * ln(n) THEN (lo_e + hi_e) / 2 ELSE lo_e END,
+    CASE WHEN ent >= 0.97 * ln(n) THEN hi_e ELSE (lo_e + hi_e) / 2 END,
+    CASE WHEN rep > 4 THEN (lo_r + hi_r) / 2 ELSE lo_r END, CASE WHEN rep > 4 THEN hi_r ELSE (lo_r + hi_r) / 2 END
+  FROM (
+    SELECT step, lo_e, hi_e, lo_r, hi_r, any_value(n) AS n,
+      ln(sum(pow(tokens / largest, (lo_e + hi_e) / 2)))
+        - sum(pow(tokens / largest, (lo_e + hi_e) / 2) * ln(pow(tokens / largest, (lo_e + hi_e) / 2))) / sum(pow(tokens / largest, (lo_e + hi_e) / 2)) AS ent,
+      any_value(total) * max(pow(tokens / largest, (lo_r + hi_r) / 2) / tokens) / sum(pow(tokens / largest, (lo_r + hi_r) / 2)) AS rep
+    FROM grid, src, totals WHERE step < 30 GROUP BY step, lo_e, hi_e, lo_r, hi_r
+  )
+), plain AS (
+  SELECT ln(sum(tokens / largest)) - sum(tokens / largest * ln(tokens / largest)) / sum(tokens / largest) AS ent, any_value(n) AS n FROM src, totals
+), by_entropy AS (
+  SELECT CASE WHEN plain.n < 2 OR plain.ent >= 0.97 * ln(plain.n) THEN 1.0 ELSE lo_e END AS a, hi_r, plain.n AS n
+  FROM grid, plain WHERE step = 30
+), chosen AS (
+  SELECT CASE WHEN any_value(by_entropy.n) < 2 THEN 1.0
+    WHEN any_value(total) * max(pow(tokens / largest, a) / tokens) / sum(pow(tokens / largest, a)) <= 4 THEN any_value(a)
+    ELSE any_value(hi_r) END AS a
+  FROM by_entropy, src, totals
+), budgets AS MATERIALIZED (
+  SELECT *, floor(weight * total)::BIGINT AS budget, ceil(tokens / 200000)::BIGINT AS blocks
+  FROM (SELECT source, tokens, total, round(pow(tokens / total::DOUBLE, a) / sum(pow(tokens / total::DOUBLE, a)) OVER (), 9) AS weight FROM src, totals, chosen)
+), in_block AS MATERIALIZED (
+  SELECT docs.*, hash % blocks AS block FROM docs JOIN budgets USING (source)
+), placed AS MATERIALIZED (
+  SELECT *, epoch * tokens + coalesce(sum(block_tokens) OVER (
+      PARTITION BY source, epoch ORDER BY ord, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM (
+    SELECT *, ('0x' || substr(md5('17:' || source || ':' || epoch || ':' || block), 1, 15))::BIGINT AS ord
+    FROM (SELECT source, block, sum(n_tokens)::BIGINT AS block_tokens FROM in_block GROUP BY ALL) JOIN (
+      SELECT *, unnest(range(ceil(budget / tokens)::BIGINT)) AS epoch FROM budgets) USING (source)
+  )
+)
+SELECT doc_id, source, n_tokens, weight, epoch::INT AS epoch, block, round(before / budget, 9) AS slot
+FROM (
+  SELECT *, before + block_tokens > budget AS partial, sum(n_tokens) OVER (
+    PARTITION BY source, block, epoch ORDER BY hash, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS used
+  FROM in_block JOIN placed USING (source, block) WHERE before < budget
+) WHERE NOT partial OR used <= budget - before
+""")
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
