@@ -13,6 +13,7 @@ from pagesieve.llm.util import slices
 
 DIMENSIONS, SEED = 2048, 20240
 UNKNOWN = "und"
+MIN_SCORE = 0.4  # a share of 0.25 is chance among four languages
 IDS = 2048  # letters up to U+03FF have an id of their own, later ones share 1,024
 CACHED = 1 << 15
 
@@ -120,8 +121,12 @@ def _prototypes(profiles: dict[str, np.ndarray]) -> np.ndarray:
     return apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, text, ...) to doc_id, lang_pred, score.
+def predict(
+    docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED,
+    keep: float | None = None,
+) -> DataFrame:
+    """docs(doc_id, text, ...) to doc_id, lang_pred, score; with `keep`, instead the rows of docs
+    that have a language and at least that score, unchanged.
 
     A document's vector is the bundle of its trigrams' vectors; the language whose prototype has
     the largest cosine with it wins (ties: the first in order of name). score is that cosine as
@@ -160,13 +165,28 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
                     positive = np.maximum(cosines, 0)
                     preds.append(langs[best])
                     scores.append(float(positive[best] / positive.sum()) if positive[best] > 0 else 0.0)
+                if keep is not None:
+                    stays = [p != UNKNOWN and s >= keep for p, s in zip(preds, scores)]
+                    yield part.filter(pa.array(stays, pa.bool_()))
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(preds, pa.string()), pa.array(scores)],
                     ["doc_id", "lang_pred", "score"])
 
+    if keep is not None:
+        return docs.mapInArrow(run, docs.schema)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """docs whose text has a recognised language with a score of at least `min_score`; profiles are
+    learned from docs as in `identify`. When docs has no lang to learn from, all with letters stay."""
+    profiles = train(docs.filter(~held_out(F.col("doc_id"))))
+    if not profiles:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return predict(docs, profiles, keep=min_score)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang) to doc_id, held_out, lang_pred, score; learns from the documents
     with a lang that are not held out. An empty table gives no rows."""
