@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Rows a task holds at once; a slice is also cut at this many bytes of text.
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
@@ -28,14 +30,8 @@ def map_texts(
     docs: DataFrame, fn: Callable[[list, list[bytes]], Sequence[list]], schema: str, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Map (keys, UTF-8 texts) of a slice to output columns; a null text arrives as b''."""
-    from pyspark.sql.types import StructType
-
-    arrow = None
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
     spark_schema = StructType.fromDDL(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(spark_schema)
+    arrow, names = to_arrow_schema(spark_schema), spark_schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
