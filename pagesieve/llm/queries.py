@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagesieve.llm import toxicity
 from pagesieve.llm.decontaminate import contaminated
 from pagesieve.llm.langid import identify
 from pagesieve.llm.licenses import scan_licenses
 from pagesieve.llm.lines import drop_shared_lines
 from pagesieve.llm.mixing import plan_mixture
+from pagesieve.llm.quality import judge
 from pagesieve.llm.simhash import near_duplicates
-from pagesieve.llm import toxicity
 from pagesieve.llm.util import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +67,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+@query("op7_quality_divergence")
+def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 @query("op8_decontamination", r"""
 WITH items AS (
   SELECT item_id, ws, least(len(ws), 5) AS k
