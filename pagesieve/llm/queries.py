@@ -14,6 +14,7 @@ from pagesieve.llm.lines import drop_shared_lines
 from pagesieve.llm.mixing import plan_mixture
 from pagesieve.llm.quality import judge
 from pagesieve.llm.simhash import near_duplicates
+from pagesieve.llm.suffixes import remove_repeats
 from pagesieve.llm.util import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
