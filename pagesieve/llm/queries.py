@@ -12,6 +12,7 @@ from pagesieve.llm.langid import identify
 from pagesieve.llm.licenses import scan_licenses
 from pagesieve.llm.lines import drop_shared_lines
 from pagesieve.llm.mixing import plan_mixture
+from pagesieve.llm.preferences import format_preferences, preference_pairs, rendered
 from pagesieve.llm.quality import judge
 from pagesieve.llm.simhash import near_duplicates
 from pagesieve.llm.suffixes import remove_repeats
@@ -31,6 +32,49 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_preference_format", r"""
+WITH conv AS MATERIALIZED (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), led AS (
+  SELECT *, first_value(conv_id) OVER (PARTITION BY turns[1] ORDER BY len(turns) DESC, conv_id) AS chosen_id FROM conv
+), answered AS (
+  SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS a FROM led WHERE conv_id = chosen_id
+), pairs AS (
+  SELECT led.conv_id, chosen_id, 'sibling' AS kind, conv.turns AS c, led.turns AS r
+  FROM led JOIN conv ON conv.conv_id = chosen_id WHERE led.conv_id <> chosen_id
+  UNION ALL
+  SELECT conv_id, chosen_id, 'stale', turns[1:a[-1]],
+    list_append(turns[1:a[-1] - 1], {'role': 'assistant', 'text': coalesce(CASE WHEN len(a) > 1 THEN turns[a[-2]].text END, '')})
+  FROM answered WHERE len(a) > 0
+), clean AS (
+  SELECT conv_id, chosen_id, kind,
+    list_transform(c, lambda t: {'role': coalesce(t.role, 'user'), 'text': coalesce(t.text, '')}) AS c,
+    list_transform(r, lambda t: {'role': coalesce(t.role, 'user'), 'text': coalesce(t.text, '')}) AS r FROM pairs
+), cut AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])), len(c) + 1) - 1 AS n FROM clean
+)
+SELECT conv_id, chosen_id, kind, n::INT AS n_shared,
+  sha256(array_to_string(list_transform(c[1:n], lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '')) AS prompt_sha256,
+  sha256(array_to_string(list_transform(c[n + 1:], lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '')) AS chosen_sha256,
+  sha256(array_to_string(list_transform(r[n + 1:], lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '')) AS rejected_sha256,
+  array_to_string(list_transform(c[n + 1:], lambda t: (13 + length(t.role)) || '- ' || (11 + length(t.text)) || CASE WHEN t.role = 'assistant' THEN '+' ELSE '-' END), ' ') AS chosen_mask,
+  array_to_string(list_transform(r[n + 1:], lambda t: (13 + length(t.role)) || '- ' || (11 + length(t.text)) || CASE WHEN t.role = 'assistant' THEN '+' ELSE '-' END), ' ') AS rejected_mask
+FROM cut
+""")
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mask names each segment's length and whether it is trained (+) or not (-)."""
+    out = format_preferences(preference_pairs(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+    def mask(c: str):
+        return F.array_join(F.transform(c, lambda s: F.concat(F.length(s["text"]).cast("string"), F.when(s["train"], "+").otherwise("-"))), " ")
+
+    return out.select(
+        "conv_id", "chosen_id", "kind", "n_shared", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha256"),
+        *[F.sha2(rendered(F.col(f"{c}_segments")).cast("binary"), 256).alias(f"{c}_sha256") for c in ("chosen", "rejected")],
+        *[mask(f"{c}_segments").alias(f"{c}_mask") for c in ("chosen", "rejected")])
+
+
 @query("op2_license_scan")
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
