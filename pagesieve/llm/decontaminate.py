@@ -97,7 +97,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
         pairs = F.broadcast(pairs)
     texts = docs.select("doc_id", version, "text")
     held = texts.join(pairs, (F.col("version") == F.col("_version")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_version")
-    joined = held.join(items, "item_id")
+    named = items.withColumnRenamed("item_id", "named_id")
+    joined = held.join(named, held["item_id"].eqNullSafe(named["named_id"]))
     own = F.coalesce(*[F.when(F.col("size") == n, _all_grams(F.col("text"), [n], _text)) for n in sizes])
     share = F.size(F.array_intersect("shingles", own)) / F.col("n")
     return joined.select("doc_id", "version", "item_id", share.alias("containment")).filter(
@@ -107,6 +108,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """docs without the documents that hold an item; the columns are those of docs."""
     hit = contaminated(docs, benchmark, containment).select(
-        F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    same = (F.xxhash64("text") == F.col("_version")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version")).distinct()
+    same = (F.xxhash64(docs["text"]) == hit["hit_version"]) & docs["doc_id"].eqNullSafe(hit["hit_id"])
     return docs.join(hit, same, "left_anti")

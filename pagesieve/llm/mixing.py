@@ -131,7 +131,9 @@ def plan_mixture(
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with n_copies, the times that a document is read (documents never read go), and the slots
-    at which it is read, in order. Rows that share a doc_id share these numbers."""
-    plan = plan_mixture(docs, **options).groupBy(F.col("doc_id").alias("_planned")).agg(
+    at which it is read, in order. Rows that share a doc_id share these numbers. Columns of these two
+    names are replaced."""
+    plan = plan_mixture(docs, **options).groupBy(F.col("doc_id").alias("planned_id")).agg(
         F.count(F.lit(1)).alias("n_copies"), F.array_sort(F.collect_list("slot")).alias("slots"))
-    return docs.drop("n_copies", "slots").join(plan, F.col("doc_id").eqNullSafe(F.col("_planned"))).drop("_planned")
+    rest = docs.drop("n_copies", "slots")
+    return rest.join(plan, rest["doc_id"].eqNullSafe(plan["planned_id"])).drop(plan["planned_id"])

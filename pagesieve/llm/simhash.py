@@ -201,5 +201,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id (rows with a null
     doc_id stay too). Columns are those of docs."""
-    kept = near_duplicates(docs, radius).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return skewable_join(docs, kept, ["doc_id"], "left_anti")
+    gone = near_duplicates(docs, radius).filter(F.col("doc_id") != F.col("component_id")).select(
+        F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
