@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagesieve.functions.common import let
-from pagesieve.llm.util import WORD_CLASS
 from pagesieve.operators.skew import skewable_join
 from pagesieve.session import materialize
 
-SYMBOLS = "#*$%&|<>"
+BLANKS, BLANK_RUN = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 COMMON_WORDS, COMMON_LENGTH = 30, 5  # words of a reference, and their largest length
 # A histogram is judged only when it counts as many characters or words.
@@ -21,15 +20,14 @@ CLASSES = ["upper", "digit", "mark", "symbol", "blank", "letter"]
 
 def _repeated_words(ws: Column) -> Column:
     """Words that lie in a 3-word window whose words come together twice or more in the text."""
-    last = F.size(ws) - 3
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+    after = F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
 
     def count(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def of_sorted(s: Column) -> Column:
             same = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-            return let(F.array_sort(F.transform(same, lambda x: x["i"])), covered)
+            return let(F.sort_array(F.transform(same, lambda x: x["i"])), covered)
 
         def covered(at: Column) -> Column:
             steps = F.transform(at, lambda i, k: F.least(F.coalesce(F.get(at, k + 1) - i, F.lit(3)), F.lit(3)))
@@ -37,26 +35,30 @@ def _repeated_words(ws: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(placed, of_sorted))
 
-    return F.when(last < 1, F.lit(0)).otherwise(let(windows, count))
+    return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(F.slice(after, F.lit(1), F.size(ws) - 2), count))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """docs with version (a hash of the text), the base counts and a count of each character class."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    # Most of a text is lower-case words; the classes are counted in what is left without them.
     with_words = docs.select(
-        "doc_id", "text", F.xxhash64("text").alias("version"), F.regexp_extract_all(text, F.lit(WORD_CLASS), F.lit(0)).alias("ws"))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        "doc_id", F.xxhash64("text").alias("version"), text.alias("text"),
+        F.when(trimmed == "", F.expr("array()").cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN)).alias("ws"),
+        F.regexp_replace(text, r"[\p{Ll}\x20\x09-\x0D]+", "").alias("rest"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = with_words.select(
         "doc_id", "version",
         F.size("ws").cast("bigint").alias("n_words"),
         F.length(F.array_join("ws", "")).cast("bigint").alias("word_chars"),
-        F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace("rest", "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         _repeated_words(F.col("ws")).cast("bigint").alias("n_repeat_words"),
-        F.length(text).cast("bigint").alias("n_chars"),
-        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("bigint").alias("upper"),
-        F.regexp_count(text, F.lit(r"[0-9]")).cast("bigint").alias("digit"),
-        F.regexp_count(text, F.lit("[!-\"'-),-/:;=?@\\[-`{}~]")).cast("bigint").alias("mark"),
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.regexp_count("rest", F.lit(r"\p{Lu}")).cast("bigint").alias("upper"),
+        F.regexp_count("rest", F.lit(r"[0-9]")).cast("bigint").alias("digit"),
+        F.regexp_count("rest", F.lit("[!-\"'-),-/:;=?@\\[-`{}~]")).cast("bigint").alias("mark"),
     )
     return counted.withColumns({"symbol": F.col("n_symbols"), "blank": F.col("n_chars") - F.col("word_chars")}).withColumn(
         "letter", F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("symbol"))
@@ -67,10 +69,9 @@ def base_failed() -> Column:
 
 
 def _short_words(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each word of up to COMMON_LENGTH characters, lower-cased, marks at its end cut."""
-    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[.,;:!?]+(?=[\x20\x09-\x0D]|$)", "")
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: (F.length(w) <= COMMON_LENGTH) & (w != ""))
-    return docs.select(*keep, F.explode(words).alias("word"))
+    """A row for each word of up to COMMON_LENGTH characters."""
+    words = docs.select(*keep, F.explode(F.split("text", BLANK_RUN)).alias("word"))
+    return words.filter(F.length("word").between(1, COMMON_LENGTH))
 
 
 def _term(p: Column, q: Column) -> Column:
