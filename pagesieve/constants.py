@@ -149,6 +149,9 @@ SEARCH_MAX_RESULTS = 10
 
 RELAY_SWITCH = "WEBSEARCH_ENABLE_EXTERNAL_RELAYS"
 TIER3_SWITCH = "WEBSEARCH_ENABLE_UNSAFE_TIER3_BROWSER"
+# Texts of a request for which no tier may run.
+NO_TIERS = "No tiers available to run"
+ENABLE_TIER3 = f"Set {TIER3_SWITCH}=1 to enable Tier 3 browser"
 
 # --- fixed values: address blocks that are not globally reachable (IANA registries) ---------
 IPV4_PRIVATE = [

@@ -8,19 +8,21 @@ kept, in which order regions are preferred and how they are joined is decided in
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.entities import html5
 
-# One alternative per kind of markup: comment, declaration, end tag, start tag, text.
+# One alternative per kind of markup: comment, declaration, end tag, beginning of a start tag, text.
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
-    r"|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>"""
+    r"|</([a-zA-Z])|<([a-zA-Z])"
     r"|([^<]+|<)",
     re.S,
 )
+_NAME_END = re.compile(r"[\s/>]")
 _ENTITY = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([a-zA-Z][a-zA-Z0-9.-]*));?")
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+# A name is only looked for where one begins, so a long run without `=` is read once.
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/>"'])([^\s=/>"']++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 # Elements without content, and elements whose strings are not page text.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
          "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"}
@@ -50,20 +52,77 @@ def _character(m: re.Match) -> str:
     return chr(code) if 0 < code < 0x110000 else "�"
 
 
+class _Tags:
+    """Where the tags of a page end, worked out once: every quote and `>` is looked at a fixed number of times,
+    however many tags lie before it."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.marks = [m.start() for m in re.finditer("[\"'>]", html)]
+        n = len(self.marks)
+        # ends[i]: the first `>` outside quotes for a tag that is outside quotes at mark i, else -1
+        self.ends = [-1] * (n + 1)
+        following = {'"': -1, "'": -1}
+        for i in range(n - 1, -1, -1):
+            c = html[self.marks[i]]
+            if c == ">":
+                self.ends[i] = self.marks[i]
+            else:
+                if following[c] >= 0:
+                    self.ends[i] = self.ends[following[c] + 1]
+                following[c] = i
+        # ending[i]: the last mark up to i from which a tag ends
+        self.ending, last = [-1] * n, -1
+        for i in range(n):
+            last = i if self.ends[i] >= 0 else last
+            self.ending[i] = last
+        self.name_end = -1
+
+    def end_of_name(self, at: int) -> int:
+        if self.name_end < at:
+            m = _NAME_END.search(self.html, at)
+            self.name_end = m.start() if m else len(self.html)
+        return self.name_end
+
+    def start_tag(self, at: int) -> tuple[str, str, int] | None:
+        """Name, attributes and end of the start tag whose name begins at `at`. A quoted `>` does
+        not end it, unless the quotes do not work out; then the next `>` does. Quotes within the name count as its
+        letters if they can."""
+        stop = self.end_of_name(at + 1)
+        mark = bisect_left(self.marks, stop)
+        if self.ends[mark] < 0:
+            inner = self.ending[mark - 1] if mark else -1
+            if inner < 0 or self.marks[inner] <= at:
+                end = self.html.find(">", stop)
+                return (self.html[at:stop], self.html[stop:end], end + 1) if end >= 0 else None
+            mark, stop = inner, self.marks[inner]
+        end = self.ends[mark]
+        return self.html[at:stop], self.html[stop:end], end + 1
+
+    def end_tag(self, at: int) -> tuple[str, int] | None:
+        stop = self.end_of_name(at + 1)
+        end = self.html.find(">", stop)
+        return (self.html[at:stop], end + 1) if end >= 0 else None
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes); kind is open, close, empty or text. Neighbouring text
-    pieces come as one, comments and declarations split them."""
+    pieces come as one, comments and declarations split them. Time is linear in the page."""
     pending: list[str] = []
     at, size, last = 0, len(html), html.rfind(">")
+    tags = _Tags(html)
     while at <= size:
         m = _TOKEN.match(html, at) if at < size else None
         if at > last and m and not html.startswith("<!--", at):
             pending.append(html[at:])  # no tag can end here any more
             at = size
             continue
-        if m and m[6] is not None:
-            pending.append(m[6])
-            at = m.end()
+        close = tags.end_tag(m.start(1)) if m and m[1] else None
+        start = tags.start_tag(m.start(2)) if m and m[2] else None
+        if m and (m[3] is not None or (m[1] and not close) or (m[2] and not start)):
+            piece = m[3] if m[3] is not None else "<"
+            pending.append(piece)
+            at += len(piece)
             continue
         if pending:
             text = "".join(pending)
@@ -72,10 +131,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         if m is None:
             return
         at = m.end()
-        if m[1]:
-            yield "close", m[1].lower(), ""
-        elif m[2] or m[4]:
-            name, attributes = (m[2] or m[4]).lower(), m[3] if m[2] else m[5]
+        if close:
+            name, at = close
+            yield "close", name.lower(), ""
+        elif start:
+            name, attributes, at = start
+            name = name.lower()
             if name in _VOID or attributes.endswith("/"):
                 yield "empty", name, attributes
             else:
@@ -145,6 +206,8 @@ _EFFECTS = {
     **dict.fromkeys((*_HEADINGS, "td", "th"), ("one line",)), **dict.fromkeys(("code", "kbd", "samp"), ("literal",)),
     "pre": ("literal", "pre"), "li": ("item",), **dict.fromkeys(("template", "rt", "rp"), ("hidden",)),
 }
+_LINED = ("li", "blockquote")
+MAX_DEPTH, MAX_LINE_DEPTH = 50, 20
 _ROWS = ("ul", "ol", "table", "tr", "thead", "tbody", "tfoot")
 _BREAKS = re.compile(r"[\t ]*[\r\n][\t \r\n]*")
 _BLANKS = re.compile(r"\t[\t ]*| [\t ]+")
@@ -195,6 +258,10 @@ class _Markdown:
         self.render(element, self.stack[-1])
         return element.name
 
+    def close(self, name: str) -> None:
+        while self.pop() != name:
+            pass
+
     def nearest(self, *names: str) -> _Element | None:
         return next((e for e in reversed(self.stack) if e.name in names), None)
 
@@ -280,18 +347,28 @@ class _Markdown:
 
 
 def to_markdown(html: str, drop: frozenset[str]) -> str:
-    """Markdown with # headings and - bullets; link targets are dropped, their text is kept."""
+    """Markdown with # headings and - bullets; link targets are dropped, their text is kept.
+
+    An element's text is copied once for each element around it, and its lines are taken apart for
+    each item or quote, so their numbers are bounded: beyond MAX_DEPTH open elements, or
+    MAX_LINE_DEPTH items and quotes, one more ends an open one of the same name, or else adds
+    nothing but its content. Time is linear in the page."""
     page = _Markdown()
     dropped: list[str] = []  # open elements from the outermost dropped one inwards
+    within: dict[str, int] = {}
     for kind, name, attributes in tokens(html):
         if dropped:
             if kind == "open":
                 dropped.append(name)
-            elif kind == "close" and name in dropped:
-                while dropped.pop() != name:
-                    pass
+                within[name] = within.get(name, 0) + 1
+            elif kind == "close" and within.get(name):
+                top = ""
+                while top != name:
+                    top = dropped.pop()
+                    within[top] -= 1
             elif kind == "close" and page.open.get(name):
                 dropped.clear()  # an ancestor ends, and the dropped element with it
+                within.clear()
             if dropped or kind != "close" or not page.open.get(name):
                 continue
         if kind == "text":
@@ -299,13 +376,18 @@ def to_markdown(html: str, drop: frozenset[str]) -> str:
         elif kind == "open":
             if name in drop:
                 dropped.append(name)
+                within[name] = within.get(name, 0) + 1
             else:
+                lined = name in _LINED and sum(page.open.get(n, 0) for n in _LINED) >= MAX_LINE_DEPTH
+                if lined or len(page.stack) > MAX_DEPTH:
+                    if not page.open.get(name):
+                        continue
+                    page.close(name)
                 page.push(name, attributes)
         elif kind == "empty":
             page.void(name, attributes)
         elif page.open.get(name):
-            while page.pop() != name:
-                pass
+            page.close(name)
     while len(page.stack) > 1:
         page.pop()
     return "".join(page.stack[0].parts)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from pagesieve import constants as C
+from pagesieve.functions.common import let
 
 # Every code point that counts as whitespace when stripping (as a pattern and as
 # characters), and every line break.
@@ -12,6 +15,8 @@ SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 SPACE_CHARS = "".join(map(chr, [
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]))
+# A code point that no text may use stands for an opening without an end.
+_NO_END = chr(0xFDD0)
 LINE_BREAK = r"\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
@@ -33,11 +38,31 @@ def strip_tags_regex(c: Column) -> Column:
     return strip(collapse_newlines(F.concat(F.regexp_replace(tagged, "<[^>]+>", " "), tail)))
 
 
+def _without_end(c: Column, opening: str, closing: str) -> Column:
+    """Mark each `opening` that no `closing` follows on its line, so that no pattern looks for one: of
+    the parts between closings, the last has none after it, nor has what lies before a line's end."""
+    marked = opening[0] + _NO_END + opening[1:]
+
+    def mark(parts: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            tail = F.when(i == F.size(parts) - 1, F.lit("")).otherwise(F.substring_index(p, "\n", -1))
+            head = F.substring(p, F.lit(1), F.length(p) - F.length(tail))
+            return F.concat(F.replace(head, F.lit(opening), F.lit(marked)), tail)
+
+        return F.array_join(F.transform(parts, one), closing)
+
+    return F.when(F.contains(c, F.lit(opening)), let(F.split(c, re.escape(closing), -1), mark)).otherwise(c)
+
+
 def clean_markdown(c: Column) -> Column:
-    """Drop images, unwrap links, collapse newlines; null gives an empty string."""
+    """Drop images, unwrap links, collapse newlines; null gives an empty string. Time is linear:
+    openings without an end are marked before, and all `[` before one `]` are read together."""
+    text = F.coalesce(c, F.lit(""))
+    images = _without_end(_without_end(text, "](", ")"), "![", "](")
     # (?d): only \n ends a line, so that `.` also crosses \r and the Unicode separators.
-    no_images = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?d)!\[.*?\]\(.*?\)", "")
-    return strip(collapse_newlines(F.regexp_replace(no_images, r"(?d)\[([^\]]*)\]\(.*?\)", "$1")))
+    no_images = F.replace(F.regexp_replace(images, r"(?d)!\[.*?\]\([^\n)]*+\)", ""), F.lit(_NO_END), F.lit(""))
+    links = F.regexp_replace(_without_end(no_images, "](", ")"), r"\[([^\]]*+)\]\([^\n)]*+\)|(\[[^\]]*+\]?)", "$1$2")
+    return strip(collapse_newlines(F.replace(links, F.lit(_NO_END), F.lit(""))))
 
 
 def normalize_chunks(c: Column) -> Column:
@@ -73,6 +98,17 @@ def thousands(c: Column) -> Column:
 
 
 def seconds_text(ms: Column) -> Column:
-    """Milliseconds as seconds with one decimal; exact halves go to the even digit."""
-    tenths = F.bround(ms.cast("decimal(20,3)") / F.lit(1000).cast("decimal(5,0)"), 1)
-    return tenths.cast("decimal(20,1)").cast("string")
+    """Milliseconds as seconds with one decimal, as the binary number nearest to ms / 1000 rounds.
+
+    Only ms that end in 50 are in doubt: the nearest binary number lies above or below them, or is the
+    same and goes to the even digit. Its last place is 2^(j - 52), with j the exponent, so the
+    remainder of ms * 2^(52 - j) by 1000 tells which.
+    """
+    ms = ms.cast("bigint")
+    exponent = F.floor(F.log2(F.greatest(ms, F.lit(1)) / 1000)).cast("int")
+    power = F.get(F.array(*[F.lit(pow(2, k, 1000)) for k in range(64)]), 52 - exponent)
+    rest = (ms % 1000) * power % 1000
+    tenths, over = F.floor(ms / 100).cast("bigint"), ms % 100
+    up = (over > 50) | ((over == 50) & ((rest > 500) | ((rest == 0) & (tenths % 2 == 1))))
+    rounded = tenths + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))

@@ -16,6 +16,7 @@ from pagesieve import constants as C
 from pagesieve.functions.gates import access_restriction, sparse_warning
 from pagesieve.operators.skew import skewable_join
 
+SLOT_IDS = 1024  # neighbouring attempt ids that are ranked together
 ATTEMPT_FIELDS = ["attempt_id", "tier", "success", "content_length", "elapsed_ms", "error"]
 
 
@@ -44,7 +45,8 @@ def union_attempts(*logs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)
 
 
-def _apply_caps(attempts: DataFrame) -> DataFrame:
+def _apply_caps(attempts: DataFrame, keep_silent: bool = False) -> DataFrame:
+    """keep_silent: a handler's timeout that no report shows stays as a failed attempt."""
     started = F.col("started_ms") if "started_ms" in attempts.columns else F.lit(0)
     cap = F.when(F.lit(False), F.lit(0))
     text = F.when(F.lit(False), F.lit(""))
@@ -61,7 +63,7 @@ def _apply_caps(attempts: DataFrame) -> DataFrame:
     if "content" in attempts.columns:
         changes["content"] = F.when(~late, F.col("content"))
     silent = late & _by_handler() & (F.col("tier") != C.LOGGED_HANDLER)
-    return attempts.filter(~silent).withColumns(changes)
+    return (attempts if keep_silent else attempts.filter(~silent)).withColumns(changes)
 
 
 def _in_time(attempts: DataFrame) -> DataFrame:
@@ -73,6 +75,13 @@ def apply_deadlines(attempts: DataFrame) -> DataFrame:
     return _in_time(_apply_caps(attempts))
 
 
+def fail_late(attempts: DataFrame) -> DataFrame:
+    """The same, with the attempts past the global deadline kept as failed ones, so that a request
+    whose attempts all end late is still there."""
+    in_time = F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS
+    return _apply_caps(attempts, keep_silent=True).withColumn("success", F.col("success") & in_time)
+
+
 def global_timeouts(attempts: DataFrame) -> DataFrame:
     """request_ids still waiting at the global deadline: some attempt ended later and no good
     result had ended the race before. Takes the log before apply_deadlines."""
@@ -126,19 +135,20 @@ def truncate_after_winner(attempts: DataFrame) -> DataFrame:
 def completion_order(attempts: DataFrame) -> DataFrame:
     """Adds position, the 1-based rank by completion time within a request.
 
-    The rank inside one millisecond is a window over (request, millisecond); the attempts of
-    earlier milliseconds are added from a running count. No window holds all rows of a request:
-    the running count sees one row per distinct millisecond.
+    Attempts are ranked within a slot: a request, a millisecond and a run of SLOT_IDS attempt ids, so
+    even attempts that all time out in the same millisecond are ranked in many tasks. What
+    comes in earlier slots is added from a running count, which sees one row per slot.
     """
-    slot = ["request_id", "elapsed_ms"]
-    counts = attempts.groupBy(*slot).agg(F.count("*").alias("n"))
+    slot = ["request_id", "elapsed_ms", "id_run"]
+    slotted = attempts.withColumn("id_run", F.floor(F.col("attempt_id") / SLOT_IDS))
+    counts = slotted.groupBy(*slot).agg(F.count("*").alias("n"))
     earlier = F.sum("n").over(
-        Window.partitionBy("request_id").orderBy("elapsed_ms").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("request_id").orderBy("elapsed_ms", "id_run").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = counts.select(*slot, F.coalesce(earlier, F.lit(0)).alias("earlier"))
     rank = F.row_number().over(Window.partitionBy(*slot).orderBy("attempt_id"))
-    ranked = attempts.withColumn("rank", rank).join(offsets, slot)
-    return ranked.withColumn("position", (F.col("earlier") + F.col("rank")).cast("bigint")).drop("rank", "earlier")
+    ranked = slotted.withColumn("rank", rank).join(offsets, slot)
+    return ranked.withColumn("position", (F.col("earlier") + F.col("rank")).cast("bigint")).drop("rank", "earlier", "id_run")
 
 
 def _ordered_attempts() -> Column:
@@ -154,15 +164,14 @@ def collect_attempts(attempts: DataFrame) -> DataFrame:
 
 
 def failed_tiers(attempts: DataFrame) -> DataFrame:
-    """The failure text of each request without a success."""
+    """The failure text of each request without a success. Which requests those are is found first; only
+    their tiers are listed."""
+    won = F.max(_good() | (F.col("success") & ~_by_handler()))
+    lost = attempts.groupBy("request_id").agg(won.alias("won")).filter(~F.coalesce("won", F.lit(False))).select("request_id")
     shown = F.when(_listed(), F.struct("elapsed_ms", "attempt_id", "tier"))  # nulls are not collected
     names = F.transform(F.array_sort(F.collect_list(shown)), lambda a: a["tier"])
-    won = F.max(_good() | (F.col("success") & ~_by_handler()))
-    return (
-        attempts.groupBy("request_id").agg(won.alias("any_success"), names.alias("tiers"))
-        .filter(~F.col("any_success"))
-        .select("request_id", _failure_text(F.col("tiers")).alias("warning"))
-    )
+    failed = skewable_join(attempts.select("request_id", "attempt_id", "tier", "success", "elapsed_ms", "error"), lost, ["request_id"], "left_semi")
+    return failed.groupBy("request_id").agg(names.alias("tiers")).select("request_id", _failure_text(F.col("tiers")).alias("warning"))
 
 
 def _failure_text(tiers: Column) -> Column:
@@ -197,18 +206,22 @@ def scrape_result(
     restricted = F.col("restriction.flag")
     failed = ~F.col("success")
     tiers = F.transform("attempts", lambda a: a["tier"])
+    # A forced tier that is not allowed leaves nothing to run.
+    barred = failed & F.col("attempts").isNull() & F.coalesce(F.col("force_tier") == 3, F.lit(False)) & F.lit(not allow_tier3)
+    failed_run = failed & ~barred
     warnings = F.array_compact(F.array(
         F.col("timeout"),
         F.when(F.col("success"), sparse_warning(F.col("content_length"))),
         F.when(restricted, F.concat(F.lit("Access restriction detected: "), F.array_join("restriction.signals", ", "))),
-        F.when(failed, _failure_text(tiers)),
+        F.when(barred, F.lit(C.NO_TIERS)).otherwise(F.when(failed, _failure_text(tiers))),
     ))
     suggestions = F.array_compact(F.array(
         F.when(restricted, F.lit(f"Try external relays ({C.RELAY_SWITCH}=1)")),
         F.when(restricted, F.lit("Try archive fallback for paywalled content")),
-        F.when(failed & F.lit(not allow_relays), F.lit(f"Enable external relays: {C.RELAY_SWITCH}=1")),
-        F.when(failed & F.lit(not allow_tier3), F.lit(f"Enable Tier 3 browser: {C.TIER3_SWITCH}=1")),
-        F.when(failed & F.col("force_tier").isNotNull(), F.lit("Try without force_tier to allow auto-escalation")),
+        F.when(barred, F.lit(C.ENABLE_TIER3)),
+        F.when(failed_run & F.lit(not allow_relays), F.lit(f"Enable external relays: {C.RELAY_SWITCH}=1")),
+        F.when(failed_run & F.lit(not allow_tier3), F.lit(f"Enable Tier 3 browser: {C.TIER3_SWITCH}=1")),
+        F.when(failed_run & F.col("force_tier").isNotNull(), F.lit("Try without force_tier to allow auto-escalation")),
     ))
     last_ms = F.array_max(F.transform("attempts", lambda a: a["elapsed_ms"]))
     total = F.when(F.col("timeout").isNotNull(), F.lit(C.GLOBAL_DEADLINE_MS).cast("bigint")).otherwise(

@@ -115,12 +115,12 @@ def plan_tiers(requests: DataFrame, allow_tier3: bool) -> DataFrame:
         F.when(run, F.struct(F.lit(name).alias("tier"), F.lit(C.TIER_CAPS_MS[name]).alias("cap_ms")))
         for name, run in wanted.items()
     ]))
-    hint = F.when((forced == 3) & F.lit(not allow_tier3), F.lit(f"Set {C.TIER3_SWITCH}=1 to enable Tier 3 browser"))
+    hint = F.when((forced == 3) & F.lit(not allow_tier3), F.lit(C.ENABLE_TIER3))
     hint = hint.otherwise(F.lit(f"Enable tier 3 with {C.TIER3_SWITCH}=1"))
     planned = requests.select("*", F.posexplode_outer(tiers).alias("position", "planned"))
     none = F.col("planned").isNull()
     return planned.select(
         *[c for c in planned.columns if c not in ("planned",)],
         F.col("planned.tier").alias("planned_tier"), F.col("planned.cap_ms").alias("cap_ms"),
-        F.when(none, F.lit("No tiers available to run")).alias("warning"), F.when(none, hint).alias("suggestion"),
+        F.when(none, F.lit(C.NO_TIERS)).alias("warning"), F.when(none, hint).alias("suggestion"),
     )

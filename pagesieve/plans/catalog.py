@@ -623,17 +623,18 @@ _RESULT = {
     "facts": f"""SELECT j.request_id, j.url, j.mode, j.force_tier, coalesce(w.success AND w.content <> '', FALSE) AS ok, w.content, w.content_length, w.winning_tier, l.ts,
         late.request_id IS NOT NULL AS timed_out, coalesce(CASE WHEN late.request_id IS NOT NULL THEN 12000 ELSE l.last_ms END, 0) AS total_ms
         FROM jobs j LEFT JOIN won w USING (request_id) LEFT JOIN listing l USING (request_id) LEFT JOIN late USING (request_id)""",
-    "judged": f"SELECT *, CASE WHEN ok THEN {D.signals('content')} ELSE [] END AS sig FROM facts",
+    "judged": f"SELECT *, CASE WHEN ok THEN {D.signals('content')} ELSE [] END AS sig, coalesce(NOT ok AND ts IS NULL AND force_tier = 3, FALSE) AS barred FROM facts",
     "result": f"""SELECT *, len(sig) > 0 AS restricted, ok AND content_length < 500 AS sparse,
         list_filter([CASE WHEN timed_out THEN 'Global timeout (12.0s) reached' END,
             CASE WHEN ok AND content_length < 500 THEN 'Sparse content extracted (' || content_length || ' chars < 500)' END,
             CASE WHEN len(sig) > 0 THEN 'Access restriction detected: ' || array_to_string(sig, ', ') END,
-            CASE WHEN NOT ok AND ts IS NULL THEN 'All tiers failed' WHEN NOT ok THEN 'All tiers failed: ' || array_to_string(list_transform(ts, lambda t: t.tier), ', ') END], lambda x: x IS NOT NULL) AS warnings,
+            CASE WHEN NOT ok AND ts IS NULL AND force_tier = 3 THEN '{C.NO_TIERS}' WHEN NOT ok AND ts IS NULL THEN 'All tiers failed' WHEN NOT ok THEN 'All tiers failed: ' || array_to_string(list_transform(ts, lambda t: t.tier), ', ') END], lambda x: x IS NOT NULL) AS warnings,
         list_filter([CASE WHEN len(sig) > 0 THEN 'Try external relays ({C.RELAY_SWITCH}=1)' END,
             CASE WHEN len(sig) > 0 THEN 'Try archive fallback for paywalled content' END,
-            CASE WHEN NOT ok THEN 'Enable external relays: {C.RELAY_SWITCH}=1' END,
-            CASE WHEN NOT ok THEN 'Enable Tier 3 browser: {C.TIER3_SWITCH}=1' END,
-            CASE WHEN NOT ok AND force_tier IS NOT NULL THEN 'Try without force_tier to allow auto-escalation' END], lambda x: x IS NOT NULL) AS suggestions
+            CASE WHEN barred THEN '{C.ENABLE_TIER3}' END,
+            CASE WHEN NOT ok AND NOT barred THEN 'Enable external relays: {C.RELAY_SWITCH}=1' END,
+            CASE WHEN NOT ok AND NOT barred THEN 'Enable Tier 3 browser: {C.TIER3_SWITCH}=1' END,
+            CASE WHEN NOT ok AND NOT barred AND force_tier IS NOT NULL THEN 'Try without force_tier to allow auto-escalation' END], lambda x: x IS NOT NULL) AS suggestions
         FROM judged""",
 }
 
@@ -776,30 +777,32 @@ def _(spark, sf):
     return ST.run_available(done.select("page_id", "method", "text"), "extracted")
 
 
+def attempt_log(spark: SparkSession, sf: str) -> DataFrame:
+    finished = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("request_id") * 20_000 + F.col("elapsed_ms"))
+    started = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("request_id") * 20_000)
+    return table(spark, sf, "attempts").withColumns({"finished_at": finished, "started_at": started})
+
+
 def attempt_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The attempts log as a stream of files, closed by one row that ends after every deadline."""
-    finished = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("request_id") * 20_000 + F.col("elapsed_ms"))
-    log = table(spark, sf, "attempts").withColumn("finished_at", finished)
+    log = attempt_log(spark, sf)
     folder = new_folder(spark, "attempt-log")
     log.write.parquet(folder)
     end = log.agg(F.max("finished_at").alias("end")).select(
         F.lit(-1).cast("bigint").alias("request_id"), F.lit(-1).cast("bigint").alias("attempt_id"), F.lit("").alias("tier"),
         F.lit(False).alias("success"), F.lit(0).cast("bigint").alias("content_length"),
         F.lit(0).cast("bigint").alias("elapsed_ms"), F.lit(None).cast("string").alias("error"),
-        (F.col("end") + F.expr("INTERVAL 1 HOUR")).alias("finished_at"))
+        (F.col("end") + F.expr("INTERVAL 1 HOUR")).alias("finished_at"), (F.col("end") + F.expr("INTERVAL 1 HOUR")).alias("started_at"))
     end.write.mode("append").parquet(folder)
     return spark.readStream.schema(log.schema).parquet(folder)
 
 
-_RACED = {"timed": "SELECT * FROM attempts WHERE elapsed_ms <= 12000", "winners": _WINNERS}
-
-
-@query("st2_stream_race", _WINNER_SQL, ["attempts"], _RACED)
+@query("st2_stream_race", _WINNER_SQL, ["attempts"], _WIN)
 def _(spark, sf):
     return ST.run_available(ST.stream_race(attempt_stream(spark, sf)), "race")
 
 
-@query("st2_stream_race_early", _WINNER_SQL, ["attempts"], _RACED)
+@query("st2_stream_race_early", _WINNER_SQL, ["attempts"], _WIN)
 def _(spark, sf):
     log = attempt_stream(spark, sf)
     early = ST.run_updates(ST.stream_race_early(log), "race-early", "request_id")
@@ -817,10 +820,30 @@ def _(spark, sf):
     return ST.run_available(stream.select("host", "scheme", "port"), "verdict-keys")
 
 
-@query("st4_late_attempts", "SELECT tier, count(*) AS kept FROM attempts WHERE elapsed_ms <= 12000 GROUP BY tier", ["attempts"])
-def _(spark, sf):
-    kept = attempt_stream(spark, sf).filter((F.col("request_id") >= 0) & (F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS))
-    return ST.run_available(kept.select("tier", "attempt_id"), "kept").groupBy("tier").agg(F.count("*").alias("kept"))
+_LATE_SPLIT = "(SELECT CAST(max(request_id) AS BIGINT) // 2 FROM attempts) AS half"
+
+
+@query("st4_late_attempts", f"""SELECT tier, count(*) AS kept FROM (SELECT *, {_LATE_SPLIT} FROM attempts)
+    WHERE request_id % 2 = 0 AND request_id <= half
+        OR ((1704067200000 + request_id * 20000 + elapsed_ms) // 60000 + 1) * 60000 > (SELECT max(1704067200000 + request_id * 20000 + elapsed_ms) FROM (SELECT *, {_LATE_SPLIT} FROM attempts)
+            WHERE request_id % 2 = 0 AND request_id <= half) - 600000
+    GROUP BY tier""", ["attempts"])
+def _(spark, sf):
+    """Even requests of the first half arrive in order; the others later, in files of their own. Those
+    in minutes that ended ten minutes before the newest row are late, and dropped by the watermark."""
+    log = attempt_log(spark, sf).filter("request_id >= 0")
+    half = log.agg(F.floor(F.max("request_id") / 2).alias("half")).first()["half"]
+    on_time = (F.col("request_id") % 2 == 0) & (F.col("request_id") <= half)
+    newest = log.filter(on_time).agg(F.max("finished_at").alias("end")).first()["end"]
+    tick = log.filter(on_time & (F.col("finished_at") == F.lit(newest))).limit(1).withColumn("tier", F.lit(""))
+    close = tick.withColumn("finished_at", F.col("finished_at") + F.expr("INTERVAL 3650 DAYS"))
+    folder = new_folder(spark, "late-log")
+    for part in (log.filter(on_time), tick, log.filter(~on_time), close):  # one file and one batch each
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    counted = ST.count_in_time(stream, "finished_at", "10 minutes", "1 minute", "tier")
+    kept = ST.run_available(counted, "late")
+    return kept.filter("tier <> ''").groupBy("tier").agg(F.sum("n").alias("kept"))
 
 
 def _user_extractor(html: str, mode: str) -> str | None:

@@ -121,10 +121,8 @@ def newlines(e: str) -> str:
 
 
 def seconds(ms: str) -> str:
-    """One decimal, exact halves to the even digit, in whole-number arithmetic."""
-    up = f"CASE WHEN {ms} % 100 > 50 OR ({ms} % 100 = 50 AND ({ms} // 100) % 2 = 1) THEN 1 ELSE 0 END"
-    tenths = f"({ms} // 100 + {up})"
-    return f"(({tenths} // 10) || '.' || ({tenths} % 10))"
+    """One decimal of the binary number nearest to ms / 1000."""
+    return f"format('{{:.1f}}', {ms} / 1000.0::DOUBLE)"
 
 
 def without(html: str, tags: list[str]) -> str:

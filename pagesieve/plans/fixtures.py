@@ -8,7 +8,6 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagesieve.functions.text import strip_tags_regex
-from pagesieve.sources.readers import spread
 
 # name: (relations used, SQL)
 FIXTURES: dict[str, tuple[list[str], str]] = {
@@ -29,7 +28,10 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         SELECT DISTINCT request_id, concat('https://example.org/r/', CAST(request_id AS VARCHAR(20))) AS url,
                CASE WHEN request_id % 2 = 0 THEN 'precision' ELSE 'full' END AS mode,
                CASE WHEN request_id % 5 = 0 THEN 1 END AS force_tier
-        FROM {attempts}"""),
+        FROM {attempts}
+        UNION ALL
+        SELECT DISTINCT -1 - request_id AS request_id, 'https://example.org/barred' AS url, 'full' AS mode, CASE WHEN request_id % 2 = 0 THEN 3 END AS force_tier
+        FROM {attempts} WHERE request_id % 7 = 0"""),
     "targets": (["pages"], """
         SELECT page_id, url, (page_id * 3 + 1) % (SELECT count(*) FROM {pages}) AS target FROM {pages}"""),
     "hops": (["targets"], """
@@ -172,7 +174,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _build(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name in _BASE:
-        return spread(spark.read.schema(_BASE[name]).parquet(f"{sf}/{name}.parquet"))
+        return spark.read.schema(_BASE[name]).parquet(f"{sf}/{name}.parquet")
     if name == "plain":
         pages = table(spark, sf, "pages")
         return pages.withColumn("text", strip_tags_regex(F.col("html")))

@@ -10,16 +10,11 @@ PAGES = "page_id bigint, url string, html string"
 REQUESTS = "url string, mode string, tier string"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core a share of a table stored in fewer splits than there are cores, as a
-    single small file is. A table of many splits, so any large one, is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages. Columns a query does not use are not read."""
-    return spread(spark.read.schema(PAGES).parquet(path))
+def read_pages(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """Stored pages, split as Spark plans it. Columns a query does not use are not read. `tasks` deals
+    the rows out anew, for a caller with many cores and one small file."""
+    pages = spark.read.schema(PAGES).parquet(path)
+    return pages if tasks is None else pages.repartition(tasks)
 
 
 def stream_pages(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pagesieve import constants as C
 from pagesieve.functions.gates import has_js_wall
 from pagesieve.functions.urls import url_scheme_port
-from pagesieve.operators.attempts import winner_aggregates, winner_columns
+from pagesieve.operators.attempts import fail_late, winner_aggregates, winner_columns
 from pagesieve.operators.extract import extract
 from pagesieve.operators.validate import validate_url_syntax
 from pagesieve.session import new_folder
@@ -19,34 +19,48 @@ def stream_extract(pages: DataFrame, mode: str = "precision") -> DataFrame:
     return extract(passed, mode, min_pages=None)
 
 
-def stream_validate_once(urls: DataFrame, event_time: str = "seen_at", keep: str = "1 hour") -> DataFrame:
+def stream_validate_once(urls: DataFrame, event_time: str = "seen_at", keep: str = "1 hour", parts: int = 256) -> DataFrame:
     """The first URL of each (host, scheme, port) within the watermark: the ones to look up.
-    Memory is bounded by time. Duplicates go in two steps, so that the URLs of a host that is
-    everywhere are first thinned out by many tasks."""
+    Memory is bounded by time. Duplicates go in two steps: first within `parts` parts that the rows of a
+    host fall into by their time, so one URL that is everywhere is thinned out by as many tasks; then among
+    the parts' first ones."""
     port = url_scheme_port(F.col("url"))["port"]
     keyed = validate_url_syntax(urls).filter(F.col("error").isNull()).withColumn("port", port)
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(32))).withWatermark(event_time, keep)
+    part = F.pmod(F.xxhash64(F.unix_micros(event_time), "url"), F.lit(parts))
+    salted = keyed.withColumn("salt", part).withWatermark(event_time, keep)
     thinned = salted.dropDuplicatesWithinWatermark(["host", "scheme", "port", "salt"]).drop("salt")
     return thinned.dropDuplicatesWithinWatermark(["host", "scheme", "port"])
 
 
-def _deadline_ms() -> Column:
-    return F.unix_millis("finished_at") - F.col("elapsed_ms") + C.GLOBAL_DEADLINE_MS
+def count_in_time(rows: DataFrame, event_time: str, lateness: str, width: str, *keys: str) -> DataFrame:
+    """n rows per window of `width` and keys, given when the watermark has passed it (append mode).
+    Rows of a window that had ended `lateness` before the newest row are dropped."""
+    return rows.withWatermark(event_time, lateness).groupBy(F.window(event_time, width), *keys).agg(
+        F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def _started(attempts: DataFrame) -> Column:
+    if "started_at" in attempts.columns:
+        return F.unix_millis("started_at")
+    return F.unix_millis("finished_at") - F.col("elapsed_ms")
 
 
 def _race(attempts: DataFrame, lateness_ms: int) -> DataFrame:
     delay = f"{C.GLOBAL_DEADLINE_MS + lateness_ms} milliseconds"
-    timed = attempts.withColumn("deadline", F.timestamp_millis(_deadline_ms())).withWatermark("deadline", delay)
-    in_time = timed.filter(F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS)
-    return in_time.groupBy("request_id", "deadline").agg(*winner_aggregates())
+    deadline = F.timestamp_millis(_started(attempts) + C.GLOBAL_DEADLINE_MS)
+    timed = fail_late(attempts.withColumn("deadline", deadline).withWatermark("deadline", delay))
+    return timed.groupBy("request_id", "deadline").agg(*winner_aggregates())
 
 
 def stream_race(attempts: DataFrame, lateness_ms: int = 5_000) -> DataFrame:
     """One winner per request when its deadline has passed (append mode): the batch aggregates,
-    reduced on the map side, so a request with very many attempts stays cheap. Attempts that
-    end after the deadline, or come later than the watermark, are ignored. attempts also has
-    finished_at (timestamp).
+    reduced on the map side, so a request with very many attempts stays cheap. Tier caps hold as
+    in batch. Attempts that end after the deadline count as failed, so a request
+    whose attempts all do has a row without a winner; those that come later than the watermark are dropped.
 
+    attempts also has started_at, the time at which its request began, the same in all its attempts, whatever
+    the clocks say that timed their ends. Without that column it is finished_at less elapsed_ms,
+    and attempts of a request whose clocks disagree are then raced apart.
     The watermark runs on the deadline, which lies up to one deadline ahead of an attempt's end.
     """
     return _race(attempts, lateness_ms).select(*winner_columns())
@@ -59,11 +73,12 @@ def stream_race_early(attempts: DataFrame, lateness_ms: int = 5_000) -> DataFram
     return _race(attempts, lateness_ms).filter(F.col("good").isNotNull()).select(*winner_columns())
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Process what is there now into the shared folder and return the stored result. The file
-    sink and the checkpoint make a restart continue where it stopped."""
+def run_available(stream: DataFrame, label: str, out: str | None = None, progress: str | None = None) -> DataFrame:
+    """Process what is there now and return all results so far. With the same folders for results
+    (`out`) and progress, a later call continues where the last one stopped, also after a failure, and
+    adds no row twice. Without them, fresh ones in the shared folder are used, and all is read."""
     spark = stream.sparkSession
-    out, progress = new_folder(spark, label), new_folder(spark, label + "-progress")
+    out, progress = out or new_folder(spark, label), progress or new_folder(spark, label + "-progress")
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", out)
         .option("checkpointLocation", progress).trigger(availableNow=True).start()
@@ -72,11 +87,11 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_updates(stream: DataFrame, label: str, key: str) -> DataFrame:
+def run_updates(stream: DataFrame, label: str, key: str, out: str | None = None, progress: str | None = None) -> DataFrame:
     """As run_available for an update-mode stream: the newest row per key. A batch run again
     after a failure overwrites its own folder."""
     spark = stream.sparkSession
-    out, progress = new_folder(spark, label), new_folder(spark, label + "-progress")
+    out, progress = out or new_folder(spark, label), progress or new_folder(spark, label + "-progress")
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -87,7 +102,7 @@ def run_updates(stream: DataFrame, label: str, key: str) -> DataFrame:
         .option("checkpointLocation", progress).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")  # there may be no batch at all
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")  # there may be no batch at all
     rows = spark.read.schema(schema).parquet(out)
     newest = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
     return newest.select("row.*")
