@@ -99,7 +99,7 @@ def test_site_handlers(spark):
 
 
 def test_result_of_request_without_attempts(spark):
-    requests = spark.createDataFrame([(1, "http://h/", "precision", 3)], "request_id long, url string, mode string, force_tier int")
+    requests = spark.createDataFrame([(1, "http://h/", "precision", 2)], "request_id long, url string, mode string, force_tier int")
     attempts = spark.createDataFrame([], SCHEMA + ", content string")
     row = AT.scrape_result(requests, attempts).first()
     assert (row.success, row.content, row.tier_attempts, row.warnings) == (False, None, [], ["All tiers failed"])
@@ -129,21 +129,60 @@ def test_aqe_splits_a_hot_key(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def stream_of(spark, tmp_path, rows):
-    finished = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("request_id") * 20_000 + F.col("elapsed_ms"))
-    df = spark.createDataFrame(rows + [(10_000, -1, "end", False, 0, 0, None)], SCHEMA).withColumn("finished_at", finished)
+def stream_of(spark, tmp_path, rows, jitter=0):
+    """jitter: milliseconds by which the clock of an attempt's end may be off."""
+    start = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("request_id") * 20_000)
+    off = F.pmod(F.xxhash64("attempt_id"), F.lit(2 * jitter + 1)) - jitter
+    df = spark.createDataFrame(rows + [(10_000, -1, "end", False, 0, 0, None)], SCHEMA).withColumns(
+        {"started_at": start, "finished_at": F.timestamp_millis(F.unix_millis(start) + F.col("elapsed_ms") + off)})
     df.write.parquet(str(tmp_path / "log"))
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))
 
 
-def test_stream_race_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("jitter", [0, 50])
+def test_stream_race_equals_batch(spark, tmp_path, jitter):
     rows = log(5, 60)
-    got = {tuple(r) for r in ST.run_available(ST.stream_race(stream_of(spark, tmp_path, rows)), "race").collect()}
-    timed = spark.createDataFrame([r for r in rows if r[5] <= 12000], SCHEMA)
-    expected = {tuple(r) for r in AT.pick_winner(timed).collect()}
+    got = {tuple(r) for r in ST.run_available(ST.stream_race(stream_of(spark, tmp_path, rows, jitter)), "race").collect()}
+    expected = {tuple(r) for r in AT.pick_winner(AT.fail_late(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert got == expected
 
 
+def test_stream_keeps_requests_that_end_late(spark, tmp_path):
+    rows = [(1, 1, "a", True, 9000, 12_001, None), (1, 2, "a", True, 9000, 13_000, None), (2, 3, "tier1_curl", True, 9000, 9000, None)]
+    got = {r.request_id: (r.attempt_id, r.success) for r in ST.run_available(ST.stream_race(stream_of(spark, tmp_path, rows)), "late").collect()}
+    assert got == {1: (None, False), 2: (None, False)}  # the second is over its tier's cap
+
+
+def test_stream_continues_in_given_folders(spark, tmp_path):
+    from pagesieve.sources import readers as R
+
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    rows = spark.createDataFrame([(i, f"http://h/{i}", "<p>x</p>") for i in range(6)], R.PAGES)
+    for part, total in (("page_id < 2", 2), ("page_id >= 2", 6), ("false", 6)):
+        rows.filter(part).write.mode("append").parquet(source)
+        stream = R.stream_pages(spark, source).select("page_id")
+        assert ST.run_available(stream, "again", out, progress).count() == total
+
+
+def test_order_of_many_ties(spark):
+    """A third of all attempts time out in one millisecond of one request: they share no window."""
+    rows = [(0 if i % 3 == 0 else i, i, "a", False, 0, 7000 if i % 3 == 0 else i, None) for i in range(9000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.attempt_id: r.position for r in AT.completion_order(df).filter("request_id = 0").collect()}
+    assert got == {i: n + 1 for n, i in enumerate(range(0, 9000, 3))}
+    slots = df.groupBy("request_id", "elapsed_ms", F.floor(F.col("attempt_id") / AT.SLOT_IDS)).count()
+    assert slots.agg(F.max("count")).first()[0] <= AT.SLOT_IDS
+
+
+def test_barred_tier(spark):
+    jobs = spark.createDataFrame([(1, "u", "full", 3), (2, "u", "full", 1), (3, "u", "full", None)], "request_id long, url string, mode string, force_tier int")
+    log_ = spark.createDataFrame([], SCHEMA).withColumn("content", F.lit(""))
+    got = {r.request_id: (r.warnings, len(r.suggestions)) for r in AT.scrape_result(jobs, log_).collect()}
+    assert got == {1: (["No tiers available to run"], 1), 2: (["All tiers failed"], 3), 3: (["All tiers failed"], 2)}
+    allowed = {r.request_id: r.warnings for r in AT.scrape_result(jobs, log_, allow_tier3=True).collect()}
+    assert allowed[1] == ["All tiers failed"]
+
+
 def test_early_winner_does_not_wait(spark, tmp_path):
     """Without a closing row the early job gives the decided request, the other job none."""
     rows = [(1, 1, "a", True, 6000, 10, None), (2, 2, "a", True, 600, 10, None)]

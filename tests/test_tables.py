@@ -166,6 +166,28 @@ def test_text_files(spark, tmp_path):
     assert "Scraped : 2024-01-02T03:04:05\nChars   : 4\n" + "-" * 60 + "\n\nbody" in back.first().body
 
 
+def test_pages_are_read_as_planned(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "h")], R.PAGES).coalesce(1).write.parquet(str(tmp_path / "p"))
+    assert "Exchange" not in R.read_pages(spark, str(tmp_path / "p"))._jdf.queryExecution().executedPlan().toString()
+    assert R.read_pages(spark, str(tmp_path / "p"), tasks=3).rdd.getNumPartitions() == 3
+
+
+def test_large_host_is_written_by_many_tasks(spark, tmp_path):
+    """A third of the rows share a host; none of its files holds all of them."""
+    saved = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        n = 3000
+        df = spark.range(0, n, 1, 6).select(
+            F.concat(F.lit("http://h"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("string"), F.lit(".org/")).alias("url"),
+            F.lit("same.md").alias("file_name"), F.sha2(F.col("id").cast("string"), 512).alias("body"))
+        W.write_text(df, str(tmp_path / "hot"), by_host=True)
+        files = list((tmp_path / "hot" / "host_safe=h0.org").glob("*.parquet"))
+        assert len(files) > 1 and spark.read.parquet(str(tmp_path / "hot")).count() == n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes") if saved is None else spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", saved)
+
+
 def test_truncation_bound(spark):
     df = spark.createDataFrame([(1, "x" * 10), (2, "x" * 11)], "i int, text string")
     got = {r.i: (r.truncated, r.output) for r in RP.truncate_output(df, 10).collect()}
