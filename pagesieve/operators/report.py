@@ -19,19 +19,25 @@ def safe_host(url: Column) -> Column:
     return F.regexp_replace(F.when(host == "", F.lit("output")).otherwise(host), r"[^\p{L}\p{N}_.-]", "_")
 
 
-def with_output_name(df: DataFrame, ts: datetime, ocr: bool = False) -> DataFrame:
-    """Adds file_name from url, label and mode; OCR results are always .txt."""
+def _time(ts: datetime | Column) -> Column:
+    return ts if isinstance(ts, Column) else F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def with_output_name(df: DataFrame, ts: datetime | Column, ocr: bool = False) -> DataFrame:
+    """Adds file_name from url, label, mode and the time of the scrape, a timestamp column or one time for
+    all rows; OCR results are always .txt."""
     full = F.lit(False) if ocr else F.coalesce(normalize_mode(F.col("mode")) == "full", F.lit(False))
-    stamp = F.lit(ts.strftime("%Y%m%d_%H%M%S"))
+    stamp = F.date_format(_time(ts), "yyyyMMdd_HHmmss")
     extension = F.when(full, ".md").otherwise(".txt")
     name = F.concat(safe_host(F.col("url")), F.lit("_"), F.col("label"), F.lit("_"), stamp, extension)
     return df.withColumn("file_name", name)
 
 
-def with_file_header(df: DataFrame, ts: datetime, ocr: bool = False) -> DataFrame:
-    """Adds body: a header with the facts about the result, a rule and the content."""
+def with_file_header(df: DataFrame, ts: datetime | Column, ocr: bool = False) -> DataFrame:
+    """Adds body: a header with the facts about the result and the time of its scrape, a rule and the content."""
     line = [F.concat(F.lit("URL     : "), F.col("url")), F.concat(F.lit("Method  : "), F.col("label"))]
-    scraped = F.lit(f"Scraped : {ts.isoformat()}")
+    micros = F.date_format(_time(ts), ".SSSSSS")
+    scraped = F.concat(F.lit("Scraped : "), F.date_format(_time(ts), "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != ".000000", micros).otherwise(""))
     if ocr:
         line += [scraped, F.lit("─" * 60)]
     else:

@@ -372,9 +372,9 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------------------- extraction
-@query("x1_extract_markdown", f"SELECT page_id, CASE WHEN length(t) > 100 THEN t END AS text FROM (SELECT page_id, {D.markdown('html')} AS t FROM simple_pages)", ["simple_pages"])
+@query("x1_extract_markdown", f"SELECT page_id, CASE WHEN length(t) > 100 THEN t END AS text FROM (SELECT page_id, {D.markdown('html')} AS t FROM pages)")
 def _(spark, sf):
-    return EX.extract_markdown(table(spark, sf, "simple_pages")).select("page_id", "text")
+    return EX.extract_markdown(pages(spark, sf)).select("page_id", "text")
 
 
 @query("x2_extract_stripped", f"SELECT page_id, {D.stripped('html')} AS text FROM pages")
@@ -445,9 +445,9 @@ def _(spark, sf):
     return EX.extract(pages(spark, sf), "precision").select("page_id", "method", "text")
 
 
-@query("x9_extract_full", f"{_ladder_sql(_FULL := '''WHEN length(md) > 100 THEN 'markdown' ''')} FROM (SELECT page_id, html, {D.markdown('html')} AS md, {D.strip(D.article('html'))} AS m FROM simple_pages)", ["simple_pages"])
+@query("x9_extract_full", f"{_ladder_sql(_FULL := '''WHEN length(md) > 100 THEN 'markdown' ''')} FROM (SELECT page_id, html, {D.markdown('html')} AS md, {D.strip(D.article('html'))} AS m FROM pages)")
 def _(spark, sf):
-    return EX.extract(table(spark, sf, "simple_pages"), "full", min_pages=None).select("page_id", "method", "text")
+    return EX.extract(pages(spark, sf), "full", min_pages=None).select("page_id", "method", "text")
 
 
 @query("x10_collapse_newlines", f"SELECT doc_id, {D.collapse('t')} AS text FROM (SELECT doc_id, replace(text, '. ', '.' || repeat(chr(10), CAST(doc_id % 5 AS INT))) AS t FROM documents)")
@@ -877,7 +877,7 @@ _SCRAPE = {
         CASE WHEN p.safe AND CASE p.tier WHEN 'tier1_curl' THEN r.status = 200 AND length(r.html) > 500 AND NOT {D.js_wall('r.html')} ELSE NOT {D.js_wall('r.html')} AND r.html <> '' END
              THEN CASE WHEN p.mode = 'full' AND length(x.md) > 100 THEN x.md WHEN length(x.m) > 100 THEN x.m ELSE x.st END END AS text
         FROM planned p LEFT JOIN responses r ON r.url = p.url AND r.tier = p.tier
-        LEFT JOIN (SELECT url, {D.markdown('html')} AS md, {D.strip(D.article('html'))} AS m, {D.stripped('html')} AS st FROM simple_pages) x ON x.url = p.url""",
+        LEFT JOIN (SELECT url, {D.markdown('html')} AS md, {D.strip(D.article('html'))} AS m, {D.stripped('html')} AS st FROM pages) x ON x.url = p.url""",
     "logged": f"""SELECT request_id, attempt_id, tier, text IS NOT NULL AND elapsed_ms <= {_CAPS} AS success, CASE WHEN elapsed_ms > {_CAPS} THEN 0 ELSE length(text) END AS n,
         least(elapsed_ms, {_CAPS}) AS elapsed_ms, text FROM (SELECT request_id, attempt_id, tier, elapsed_ms, CASE WHEN tier = 'tier2_camoufox' AND length(text) <= 100 THEN NULL ELSE text END AS text FROM tried)""",
     "valid": "SELECT * FROM logged WHERE elapsed_ms <= 12000",
@@ -893,7 +893,7 @@ _SCRAPE = {
         CAST(CASE WHEN c.refused IS NOT NULL THEN 0 WHEN t.request_id IS NOT NULL THEN 1200 ELSE coalesce(e.ms // 10 + CASE WHEN e.ms % 10 > 5 OR (e.ms % 10 = 5 AND (e.ms // 10) % 2 = 1) THEN 1 ELSE 0 END, 0) END AS DOUBLE) / 100 AS elapsed_time,
         CASE WHEN c.refused IS NOT NULL THEN c.refused WHEN w.text IS NULL THEN {D.quote(RP.EXHAUSTED)} END AS error
     FROM checked c LEFT JOIN best b USING (request_id) LEFT JOIN valid w ON w.request_id = b.request_id AND w.attempt_id = b.attempt_id
-    LEFT JOIN ends e ON e.request_id = c.request_id LEFT JOIN timeouts t ON t.request_id = c.request_id""", ["asked", "responses", "dns", "simple_pages"], _SCRAPE)
+    LEFT JOIN ends e ON e.request_id = c.request_id LEFT JOIN timeouts t ON t.request_id = c.request_id""", ["asked", "responses", "dns"], _SCRAPE)
 def _(spark, sf):
     return SC.scrape_stored(table(spark, sf, "asked"), table(spark, sf, "responses"), table(spark, sf, "dns"), allow_tier3=True)
 

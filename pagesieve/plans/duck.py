@@ -169,11 +169,15 @@ def article(html: str) -> str:
 
 
 def markdown(html: str) -> str:
-    """Markdown of pages without inline emphasis."""
+    """Markdown of pages whose only inline emphasis is <b>, never closed before its article."""
     e = without(html, ["script", "style", "head"])
     e = replace_all(e, r"\A.*?<html", "'<html'")
     e = replace_all(e, r"[\t ]+", "' '")
     e = replace_all(e, r"([*_])", r"'\\\1'")
+    # An open <b> ends with the article: its mark comes after the last text in it.
+    bold = f"CAST((length({html}) - length(replace({html}, '<b>', ''))) // 3 AS INT)"
+    e = f"regexp_replace({e}, '(?i)(?:</p>|<br>|[\\t \\n])*</article>', repeat('**', {bold}) || '</article>')"
+    e = f"replace({e}, '<b>', '**')"
     for pattern, by in [
         (r"(?i)<br></article>", "'</article>'"), (r"(?i)[\t \n]+(</(?:h1|p|li|article)>)", r"'\1'"), (r"(?i)<br>", "'  ' || chr(10)"), (r"(?i)<h1>", "chr(10) || chr(10) || '# '"), (r"(?i)<li>", "'- '"),
         (r"(?i)</li>", "chr(10)"), (r"(?i)</?(?:p|ul|nav|div|article|footer|h1|body)(?:\s[^>]*)?>", "chr(10) || chr(10)"),

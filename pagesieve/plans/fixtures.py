@@ -110,8 +110,6 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
                WHEN 0 THEN '<div class="x ad-container">' WHEN 1 THEN '<div id="nav">' WHEN 2 THEN '<div class=modal>'
                ELSE '<div class="ad">' END) AS html
         FROM {pages}"""),
-    "simple_pages": (["pages"], """
-        SELECT page_id, url, replace(html, '<b>', '') AS html FROM {pages}"""),
     "snapshots": (["pages"], """
         SELECT url, (page_id * 37) % 365 AS captured_at, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status, html FROM {pages}
         UNION ALL
@@ -141,14 +139,14 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         FROM {pages}"""),
     "responses": (["pages"], """
         SELECT url, 'tier1_curl' AS tier, CASE WHEN page_id % 9 = 8 THEN 403 ELSE 200 END AS status,
-               CASE page_id % 8 WHEN 2 THEN concat('JavaScript is disabled. ', html) WHEN 7 THEN '' ELSE replace(html, '<b>', '') END AS html,
+               CASE page_id % 8 WHEN 2 THEN concat('JavaScript is disabled. ', html) WHEN 7 THEN '' ELSE html END AS html,
                (page_id * 37) % 9000 AS elapsed_ms FROM {pages}
         UNION ALL
         SELECT url, 'tier2_camoufox' AS tier, 200 AS status,
-               CASE WHEN page_id % 10 = 3 THEN concat('Enable JavaScript ', html) ELSE replace(html, '<b>', '') END AS html,
+               CASE WHEN page_id % 10 = 3 THEN concat('Enable JavaScript ', html) ELSE html END AS html,
                1500 + (page_id * 53) % 11000 AS elapsed_ms FROM {pages}
         UNION ALL
-        SELECT url, 'tier3_nodriver' AS tier, 200 AS status, CASE WHEN page_id % 6 <> 1 THEN replace(html, '<b>', '') END AS html,
+        SELECT url, 'tier3_nodriver' AS tier, 200 AS status, CASE WHEN page_id % 6 <> 1 THEN html END AS html,
                1500 + (page_id * 71) % 12000 AS elapsed_ms FROM {pages}"""),
     "search_queries": (["documents"], """
         SELECT min(doc_id) AS query_id,

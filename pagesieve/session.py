@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,14 +56,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder name in the shared folder (not created)."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what operators called within it have written to the shared folder. Write or
+    collect their results inside: DataFrames that read those folders are of no use later."""
+    kept = len(_FOLDERS)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for folder in _FOLDERS[kept:]:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _FOLDERS[kept:]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: work done once, lineage cut, columns
-    pruned on each later read, and nothing lost with an executor."""
+    pruned on each later read, and nothing lost with an executor. `intermediates` deletes it."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
