@@ -75,7 +75,11 @@ def _sample(labels: DataFrame, bound: int) -> DataFrame:
     """At most `bound` rows of each class, those with the smallest hashes of doc_id."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         "doc_id", "toxic", F.xxhash64("doc_id").alias("order"))
-    parts = [known.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(bound) for c in (0, 1)]
+    return _first(known, bound)
+
+
+def _first(rows: DataFrame, bound: int) -> DataFrame:
+    parts = [rows.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(bound) for c in (0, 1)]
     return parts[0].unionByName(parts[1]).select("doc_id", "toxic", "order")
 
 
@@ -157,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("toxic").cast(pa.int32()), pa.array([f[f != 65535].tobytes() for f in found], pa.binary())], ["toxic", "kept"])
 
-    parts = [rows.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(MAX_FITTED) for c in (0, 1)]
-    fitted = parts[0].unionByName(parts[1]).select("text", "toxic").mapInArrow(encode, "toxic int, kept binary")
+    fitted = rows.join(F.broadcast(_first(sample, MAX_FITTED).select("doc_id").distinct()), "doc_id", "left_semi").select(
+        "text", "toxic").mapInArrow(encode, "toxic int, kept binary")
     w, bias = _fit_weights([(r["toxic"], r["kept"]) for r in fitted.toLocalIterator()], ratios)
     weights[chosen] = w * ratios
     return Model(bias, weights)
