@@ -346,8 +346,11 @@ class _Markdown:
         return "|" + cells.strip("\n") + "\n" + rule
 
 
-def to_markdown(html: str, drop: frozenset[str]) -> str:
-    """Markdown with # headings and - bullets; link targets are dropped, their text is kept.
+def to_markdown(
+    html: str, drop: frozenset[str], classes: frozenset[str] = frozenset(), ids: frozenset[str] = frozenset()
+) -> str:
+    """Markdown with # headings and - bullets; link targets are dropped, their text is kept. Left out are
+    elements named in `drop` and those with one of the classes or ids.
 
     An element's text is copied once for each element around it, and its lines are taken apart for
     each item or quote, so their numbers are bounded: beyond MAX_DEPTH open elements, or
@@ -374,7 +377,7 @@ def to_markdown(html: str, drop: frozenset[str]) -> str:
         if kind == "text":
             page.text(name)
         elif kind == "open":
-            if name in drop:
+            if name in drop or (attributes and (classes or ids) and _matches(attributes, classes, ids)):
                 dropped.append(name)
                 within[name] = within.get(name, 0) + 1
             else:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pagesieve import constants as C
 from pagesieve.functions import dom
-from pagesieve.functions.text import collapse_newlines, normalize_chunks, strip
+from pagesieve.functions.text import clean_markdown, collapse_newlines, normalize_chunks, strip
 from pagesieve.functions.urls import url_host
 from pagesieve.operators.segments import drop_repeated_segments
 from pagesieve.session import materialize
@@ -27,7 +27,8 @@ def _small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def parse_pages(
-    pages: DataFrame, nodes: bool = True, markdown: bool = False, selectors: Sequence[str] = (), mode: str | None = None
+    pages: DataFrame, nodes: bool = True, markdown: bool = False, selectors: Sequence[str] = (), mode: str | None = None,
+    md_tags: Sequence[str] = C.MARKDOWN_DROP_TAGS,
 ) -> DataFrame:
     """Adds `nodes` (text nodes with the elements around them), `found` (content regions of the
     page) and `md` (Markdown) as asked. The html column goes in and does not come back. Filter
@@ -35,7 +36,7 @@ def parse_pages(
     Markdown is rendered only for the rows in full mode."""
     classes = frozenset(s[1:] for s in selectors if s.startswith("."))
     ids = frozenset(s[1:] for s in selectors if s.startswith("#"))
-    region_drop, md_drop = dom.mask(C.ARTICLE_DROP_TAGS), frozenset(C.MARKDOWN_DROP_TAGS)
+    region_drop, md_drop = dom.mask(C.ARTICLE_DROP_TAGS), frozenset(md_tags)
     kept = [f for f in pages.schema.fields if f.name != "html"]
     names, fields = [f.name for f in kept], list(kept)
     if nodes:
@@ -62,7 +63,7 @@ def parse_pages(
                 columns += [pa.array(regions, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)]
             if markdown:
                 full = [m == "full" for m in batch.column(mode).to_pylist()] if mode else [True] * len(html)
-                rendered = [dom.to_markdown(page, md_drop) if f else None for page, f in zip(html, full)]
+                rendered = [dom.to_markdown(page, md_drop, classes, ids) if f else None for page, f in zip(html, full)]
                 columns.append(pa.array(rendered, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
@@ -125,6 +126,14 @@ def drop_noise(
     return parse_pages(pages, selectors=selectors).withColumn("text", text).drop("nodes", "found")
 
 
+def noise_free_markdown(
+    pages: DataFrame, tags: Sequence[str] = C.NOISE_TAGS_SHORT, selectors: Sequence[str] = C.NOISE_SELECTORS_SHORT
+) -> DataFrame:
+    """Adds text: cleaned Markdown of the page without the given tags and elements matching a selector."""
+    rendered = parse_pages(pages, nodes=False, markdown=True, selectors=selectors, md_tags=[*C.MARKDOWN_DROP_TAGS, *tags])
+    return rendered.withColumn("text", clean_markdown(markdown_text(F.col("md")))).drop("md")
+
+
 def extract_main(pages: DataFrame, min_pages: int = 3, key: str = "page_id") -> DataFrame:
     """Adds text: the main content without lines repeated across the host's pages, null unless
     longer than the acceptance bound."""

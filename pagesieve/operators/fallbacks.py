@@ -30,7 +30,9 @@ def latest_snapshot(urls: DataFrame, snapshots: DataFrame) -> DataFrame:
 def latest_snapshot_text(urls: DataFrame, snapshots: DataFrame, mode: str = "precision") -> DataFrame:
     """The extracted text of the newest capture where it is long enough for an archived copy."""
     texts = extract(latest_snapshot(urls, snapshots), mode, min_pages=None)
-    return texts.select("url", "captured_at", "text").filter(F.length("text") > _MIN_TEXT)
+    # A filter on text would be moved below the extraction, which would then be computed twice.
+    long = F.filter(F.array("text"), lambda t: F.length(t) > _MIN_TEXT)
+    return texts.select("url", "captured_at", F.explode(long).alias("text"))
 
 
 def first_passing_mirror(mirrors: DataFrame) -> DataFrame:

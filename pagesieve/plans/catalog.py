@@ -423,6 +423,11 @@ def _(spark, sf):
 _CLEAN_MD = D.strip(D.collapse(D.replace_all(D.replace_all("coalesce(md, '')", r"!\[.*?\]\(.*?\)"), r"\[([^\]]*)\]\(.*?\)", r"'\1'")))
 
 
+@query("x6_noise_free_markdown", f"SELECT page_id, {_CLEAN_MD} AS text FROM (SELECT page_id, {D.markdown(_NOISELESS)} AS md FROM noisy_pages)", ["noisy_pages"])
+def _(spark, sf):
+    return EX.noise_free_markdown(table(spark, sf, "noisy_pages"), C.NOISE_TAGS_LONG, C.NOISE_SELECTORS_LONG).select("page_id", "text")
+
+
 @query("x7_clean_markdown", f"SELECT page_id, {_CLEAN_MD} AS text FROM markdown_docs", ["markdown_docs"])
 def _(spark, sf):
     return table(spark, sf, "markdown_docs").select("page_id", X.clean_markdown(F.col("md")).alias("text"))
