@@ -24,7 +24,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = local_session(cpus, "bench", **{"spark.pagesieve.tasks": cpus})
     spark.sparkContext.setLogLevel("ERROR")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm up

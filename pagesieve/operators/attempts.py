@@ -89,8 +89,19 @@ def global_timeouts(attempts: DataFrame) -> DataFrame:
     waiting = _apply_caps(attempts).groupBy("request_id").agg(
         F.max(late).alias("late"), F.max(_good() & ~late).alias("won")
     )
-    text = F.lit(f"Global timeout ({C.GLOBAL_DEADLINE_MS / 1000:.1f}s) reached")
-    return waiting.filter(F.col("late") & ~F.col("won")).select("request_id", text.alias("warning"))
+    return waiting.filter(F.col("late") & ~F.col("won")).select("request_id", _global_text().alias("warning"))
+
+
+def _global_text() -> Column:
+    return F.lit(f"Global timeout ({C.GLOBAL_DEADLINE_MS / 1000:.1f}s) reached")
+
+
+def _summary(attempts: DataFrame) -> DataFrame:
+    """Of each request the first good result, the longest success and whether an attempt ended late,
+    in one aggregate over the log as it is."""
+    in_time = F.col("elapsed_ms") <= C.GLOBAL_DEADLINE_MS
+    capped = _apply_caps(attempts).withColumn("success", F.col("success") & in_time)
+    return capped.groupBy("request_id").agg(*winner_aggregates(), F.max(~in_time).alias("late"))
 
 
 def _hit() -> Column:
@@ -125,9 +136,11 @@ def pick_winner(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("request_id").agg(*winner_aggregates()).select(*winner_columns())
 
 
-def truncate_after_winner(attempts: DataFrame) -> DataFrame:
-    """Keep each request's attempts up to and including its first good result."""
-    hits = attempts.groupBy("request_id").agg(_hit().alias("hit")).filter(F.col("hit").isNotNull())
+def truncate_after_winner(attempts: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Keep each request's attempts up to and including its first good result. hits(request_id, hit) is
+    found in the attempts if it is not given."""
+    if hits is None:
+        hits = attempts.groupBy("request_id").agg(_hit().alias("hit")).filter(F.col("hit").isNotNull())
     joined = skewable_join(attempts, hits, ["request_id"])
     return joined.filter(F.col("hit").isNull() | (_order() <= F.col("hit"))).drop("hit")
 
@@ -156,10 +169,10 @@ def _ordered_attempts() -> Column:
     return F.transform(F.array_sort(F.collect_list(packed)), lambda a: a["row"])
 
 
-def collect_attempts(attempts: DataFrame) -> DataFrame:
+def collect_attempts(attempts: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """request_id and its attempts in completion order, ending with an early winner. A request
     becomes one cell here by definition, so this is the report's shape, not an intermediate."""
-    shown = truncate_after_winner(_in_time(attempts)).filter(_listed())
+    shown = truncate_after_winner(_in_time(attempts), hits).filter(_listed())
     return shown.groupBy("request_id").agg(_ordered_attempts().alias("attempts"))
 
 
@@ -186,16 +199,19 @@ def scrape_result(
 ) -> DataFrame:
     """The full result per request(request_id, url, mode, force_tier) from the raw attempts log
     (with content): winner, attempts, warnings and suggestions in their fixed order."""
-    timed = apply_deadlines(attempts)
-    winner = pick_winner(timed).withColumnRenamed("elapsed_ms", "won_at_ms")
-    content = timed.select("request_id", "attempt_id", "content")
-    winner = winner.join(content, ["request_id", "attempt_id"], "left").drop("attempt_id")
     slim = attempts.drop("content")
-    listed = collect_attempts(apply_deadlines(slim))
-    timeouts = global_timeouts(slim).select("request_id", F.col("warning").alias("timeout"))
+    summary = _summary(slim)
+    hits = summary.filter(F.col("good").isNotNull()).select(
+        "request_id", F.struct("good.elapsed_ms", "good.attempt_id").alias("hit"))
+    waited = F.col("late") & F.col("good").isNull()
+    winner = summary.select(*winner_columns(), F.when(waited, _global_text()).alias("timeout")).withColumnRenamed("elapsed_ms", "won_at_ms")
+    listed = collect_attempts(apply_deadlines(slim), hits)
+    # Contents are looked up for winners only, by keys as narrow as can be.
+    won = winner.filter(F.col("attempt_id").isNotNull()).select("request_id", "attempt_id")
+    content = attempts.select("request_id", "attempt_id", "content").join(won, ["request_id", "attempt_id"]).drop("attempt_id")
     joined = (
-        requests.join(winner, "request_id", "left").join(listed, "request_id", "left")
-        .join(timeouts, "request_id", "left")
+        requests.join(winner.drop("attempt_id"), "request_id", "left").join(content, "request_id", "left")
+        .join(listed, "request_id", "left")
     )
     success = F.coalesce("success", F.lit(False)) & (F.coalesce("content", F.lit("")) != "")
     # A handler's result is returned as it is, without the assessment.

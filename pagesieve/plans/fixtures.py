@@ -172,7 +172,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _build(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name in _BASE:
-        return spark.read.schema(_BASE[name]).parquet(f"{sf}/{name}.parquet")
+        base = spark.read.schema(_BASE[name]).parquet(f"{sf}/{name}.parquet")
+        # A local run may ask for more tasks than a single small file is split into.
+        tasks = spark.conf.get("spark.pagesieve.tasks", None)
+        return base.repartition(int(tasks)) if tasks else base
     if name == "plain":
         pages = table(spark, sf, "pages")
         return pages.withColumn("text", strip_tags_regex(F.col("html")))
