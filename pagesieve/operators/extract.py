@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pagesieve import constants as C
 from pagesieve.functions import dom
+from pagesieve.functions.common import let
 from pagesieve.functions.text import clean_markdown, collapse_newlines, normalize_chunks, strip
 from pagesieve.functions.urls import url_host
 from pagesieve.operators.segments import drop_repeated_segments
@@ -87,7 +88,8 @@ def article_text(nodes: Column, found: Column, noise: bool = False) -> Column:
     region = F.when(F.lit(False), F.lit(0))
     for name in ("article", "main", "body"):
         region = region.when(found.bitwiseAND(dom.TAG_BITS[name]) != 0, F.lit(dom.TAG_BITS[name]))
-    text = _texts(nodes, lambda inside: (inside.bitwiseAND(region) != 0) & (inside.bitwiseAND(drop) == 0))
+    # The region is worked out once per page, not once per node.
+    text = let(region, lambda r: _texts(nodes, lambda inside: (inside.bitwiseAND(r) != 0) & (inside.bitwiseAND(drop) == 0)))
     return F.when(region.isNotNull(), collapse_newlines(normalize_chunks(text)))
 
 

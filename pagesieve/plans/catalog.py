@@ -142,6 +142,13 @@ def _(spark, sf):
     return spark.read.schema("host_safe string, file_name string, body string").parquet(out)
 
 
+@query("k3_write_text_by_host", f"SELECT {_safe_host_sql('url')} AS host_safe, {_NAME_SQL} AS file_name, {_BODY_SQL} AS body FROM labelled", ["plain"], {"labelled": _LABELLED})
+def _(spark, sf):
+    out = new_folder(spark, "texts-by-host")
+    W.write_text(RP.with_file_header(RP.with_output_name(labelled(spark, sf), TS), TS), out, by_host=True)
+    return spark.read.schema("host_safe string, file_name string, body string").parquet(out)
+
+
 # ---------------------------------------------------------------------------- URLs
 @query("u1_url_host", f"SELECT page_id, {D.host('url')} AS host FROM odd_urls", ["odd_urls"])
 def _(spark, sf):
@@ -455,6 +462,11 @@ def _(spark, sf):
     return EX.extract(pages(spark, sf), "full", min_pages=None).select("page_id", "method", "text")
 
 
+@query("x9_extract_full_deduped", f"{_ladder_sql(_FULL)} FROM (SELECT page_id, html, t AS m, {D.markdown('html')} AS md FROM pages JOIN (SELECT page_id, t FROM {_TRIMMED}) USING (page_id))", extra=_dedup_sql(_MAIN_DOCS, "page_id", 3))
+def _(spark, sf):
+    return EX.extract(pages(spark, sf), "full").select("page_id", "method", "text")
+
+
 @query("x10_collapse_newlines", f"SELECT doc_id, {D.collapse('t')} AS text FROM (SELECT doc_id, replace(text, '. ', '.' || repeat(chr(10), CAST(doc_id % 5 AS INT))) AS t FROM documents)")
 def _(spark, sf):
     spread = table(spark, sf, "documents").select("doc_id", F.expr("replace(text, '. ', concat('.', repeat('\n', CAST(doc_id % 5 AS INT))))").alias("t"))
