@@ -11,7 +11,8 @@ from pagesieve.session import materialize
 
 BLANKS, BLANK_RUN = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-COMMON_WORDS, COMMON_LENGTH = 30, 5  # words of a reference, and their largest length
+COMMON_WORDS = 30  # words of a reference
+END_MARKS = ".,;:!?"
 # A histogram is judged only when it counts as many characters or words.
 GUARD_CHARS, GUARD_WORDS = 200, 100
 MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.07, 0.15  # Jensen-Shannon, in bits
@@ -39,17 +40,18 @@ def _repeated_words(ws: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs with version (a hash of the text), the base counts and a count of each character class."""
+    """docs with version (a hash of the text), the base counts, a count of each character class and
+    the words (ws), so that later steps need not split the text again."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(BLANKS))
     # Most of a text is lower-case words; the classes are counted in what is left without them.
     with_words = docs.select(
-        "doc_id", F.xxhash64("text").alias("version"), text.alias("text"),
+        "doc_id", "lang", F.xxhash64("text").alias("version"), text.alias("text"),
         F.when(trimmed == "", F.expr("array()").cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN)).alias("ws"),
         F.regexp_replace(text, r"[\p{Ll}\x20\x09-\x0D]+", "").alias("rest"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = with_words.select(
-        "doc_id", "version",
+        "doc_id", "lang", "version", "ws",
         F.size("ws").cast("bigint").alias("n_words"),
         F.length(F.array_join("ws", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("rest", "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
@@ -68,10 +70,10 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def _short_words(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each word of up to COMMON_LENGTH characters."""
-    words = docs.select(*keep, F.explode(F.split("text", BLANK_RUN)).alias("word"))
-    return words.filter(F.length("word").between(1, COMMON_LENGTH))
+def _plain_words(stats: DataFrame, *keep: str) -> DataFrame:
+    """A row for each word, lower-cased, marks at its end cut."""
+    words = stats.select(*keep, F.explode("ws").alias("raw"))
+    return words.select(*keep, F.rtrim(F.lower("raw"), F.lit(END_MARKS)).alias("word")).filter(F.col("word") != "")
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -80,16 +82,14 @@ def _term(p: Column, q: Column) -> Column:
     return (F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)) / 2
 
 
-def references(docs: DataFrame, stats: DataFrame) -> tuple[dict[str, list[float]], list[tuple[str, str, float]]]:
+def references(stats: DataFrame) -> tuple[dict[str, list[float]], list[tuple[str, str, float]]]:
     """Per language, the shares of the character classes in the documents that pass the base rules;
-    and (lang, word, share of all words) of its most common short words. Rows by language only."""
-    sound = skewable_join(
-        docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("text").alias("version")),
-        stats.filter(~base_failed()).dropDuplicates(["doc_id", "version"]), ["doc_id", "version"], "inner")
+    and (lang, word, share of all words) of their most common words. Rows by language only."""
+    sound = stats.filter(F.col("lang").isNotNull() & ~base_failed())
     totals = sound.groupBy("lang").agg(*[F.sum(c).alias(c) for c in [*CLASSES, "n_words"]]).collect()
     chars = {r["lang"]: [r[c] / max(1, sum(r[k] for k in CLASSES)) for c in CLASSES] for r in totals if r["n_words"]}
     n_words = {r["lang"]: r["n_words"] for r in totals}
-    counts = _short_words(docs.filter(F.col("lang").isNotNull()), "lang").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = _plain_words(stats.filter(F.col("lang").isNotNull()), "lang").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(
         F.col("rank") <= COMMON_WORDS).collect()
     common = [(r["lang"], r["word"], r["n"] / max(n_words.get(r["lang"], 0), r["n"])) for r in top if r["lang"] in chars]
@@ -105,16 +105,16 @@ def _char_divergence(chars: dict[str, list[float]]) -> Column:
         F.zip_with(p, q, _term), F.lit(0.0), lambda a, x: a + x))))
 
 
-def _word_divergence(docs: DataFrame, stats: DataFrame, common: list[tuple[str, str, float]]) -> DataFrame:
+def _word_divergence(stats: DataFrame, common: list[tuple[str, str, float]]) -> DataFrame:
     """doc_id, version, word_divergence: the smallest from a language's common words; a bin holds all
     other words. Bins that a document lacks add half the reference's share."""
-    spark = docs.sparkSession
+    spark = stats.sparkSession
     table = spark.createDataFrame(common, "lang string, word string, q double")
     rest = {}
     for lang, _, q in common:
         rest[lang] = rest.get(lang, 0.0) + q
     hits = (
-        _short_words(docs, "doc_id", F.xxhash64("text").alias("version"))
+        _plain_words(stats.filter(F.col("n_words") >= GUARD_WORDS), "doc_id", "version")
         .join(F.broadcast(table.select("word").distinct()), "word")  # COMMON_WORDS a language at most
         .groupBy("doc_id", "version", "word").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -143,13 +143,13 @@ def judge(docs: DataFrame) -> DataFrame:
     language; nothing else is broadcast.
     """
     stats = materialize(statistics(docs), "statistics")
-    chars, common = references(docs, stats)
+    chars, common = references(stats)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     if not chars or not common:
         empty = F.lit(None).cast("double")
         return stats.select(*columns, base_failed().alias("base_failed"), (~base_failed()).alias("kept"),
                             empty.alias("char_divergence"), empty.alias("word_divergence"))
-    words = _word_divergence(docs, stats, common).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
+    words = _word_divergence(stats, common).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
     joined = stats.join(words, (F.col("version") == F.col("_version")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     n_chars = F.col("n_chars") >= GUARD_CHARS
     by_chars = F.when(n_chars, _char_divergence(chars))
