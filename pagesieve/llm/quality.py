@@ -89,10 +89,10 @@ def references(stats: DataFrame) -> tuple[dict[str, list[float]], list[tuple[str
     totals = sound.groupBy("lang").agg(*[F.sum(c).alias(c) for c in [*CLASSES, "n_words"]]).collect()
     chars = {r["lang"]: [r[c] / max(1, sum(r[k] for k in CLASSES)) for c in CLASSES] for r in totals if r["n_words"]}
     n_words = {r["lang"]: r["n_words"] for r in totals}
-    counts = _plain_words(stats.filter(F.col("lang").isNotNull()), "lang").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = _plain_words(sound, "lang").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(
         F.col("rank") <= COMMON_WORDS).collect()
-    common = [(r["lang"], r["word"], r["n"] / max(n_words.get(r["lang"], 0), r["n"])) for r in top if r["lang"] in chars]
+    common = [(r["lang"], r["word"], r["n"] / n_words[r["lang"]]) for r in top if r["lang"] in chars]
     return chars, sorted(common)
 
 

@@ -1,6 +1,10 @@
 """Which words the references of op7 count, and in which documents."""
 
 import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from pagesieve.llm import quality
 
@@ -23,3 +27,21 @@ def test_case_marks_and_length_of_common_words(spark):
     assert got[100] < quality.MAX_WORD_DIVERGENCE and got[101] == got[102] == got[103] == got[100]
     _, common = quality.references(quality.statistics(docs))
     assert set(COMMON) <= {w for _, w, _ in common}
+
+
+@pytest.fixture(scope="module")
+def spammed(spark):
+    rows = [(i, clean(i), "en") for i in range(40)] + [(100 + i, "buy cheap pills now here " * 40, "en") for i in range(20)]
+    return spark.createDataFrame(rows, SCHEMA), [t for i, t, _ in rows if i < 100]
+
+
+def test_references_count_passing_documents_only(spammed):
+    """Numerator and denominator of a share cover the documents that pass the base rules."""
+    docs, sound = spammed
+    stats = quality.statistics(docs)
+    assert stats.filter(quality.base_failed()).count() == 20
+    _, common = quality.references(stats)
+    counts = Counter(w for t in sound for w in t.split())
+    assert "pills" not in {w for _, w, _ in common} and sum(q for _, _, q in common) < 1
+    assert all(abs(q - counts[w] / sum(counts.values())) < 1e-12 for _, w, q in common)
+    assert quality.judge(docs).filter("doc_id < 100").agg(F.min("kept")).first()[0]
