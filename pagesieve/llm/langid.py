@@ -13,7 +13,10 @@ from pagesieve.llm.util import slices
 
 DIMENSIONS, SEED = 2048, 20240
 UNKNOWN = "und"
-MIN_SCORE = 0.4  # a share of 0.25 is chance among four languages
+# A text is recognised when its trigrams agree with the language's profile at least so well, as a share of how
+# well those of the learned documents do, and by so many standard deviations of chance agreement.
+MIN_SHARE, MIN_DEVIATIONS = 0.5, 4.0
+MIN_TRIGRAMS = 20  # with fewer distinct ones a text is too short, or repeats too few words, to be rejected by that
 IDS = 2048  # letters up to U+03FF have an id of their own, later ones share 1,024
 CACHED = 1 << 15
 
@@ -68,18 +71,23 @@ def space(dimensions: int, seed: int) -> Space:
     return _spaces[dimensions, seed]
 
 
-def train(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
+def train(
+    docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, trigrams: dict[str, int] | None = None,
+) -> dict[str, np.ndarray]:
     """Bundle all texts of each non-null lang; the sums of tasks are added in Spark, and one
-    vector per language comes back. Documents without letters add nothing."""
+    vector per language comes back. Documents without letters add nothing. `trigrams` receives
+    the number of trigrams of each language."""
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = space(dimensions, seed)
         totals: dict[str, dict[int, int]] = {}
         sums: dict[str, np.ndarray] = {}
+        sizes: dict[str, int] = {}
 
         def flush(lang: str) -> None:
             counted = totals.pop(lang)
             codes = np.fromiter(counted, np.int64, len(counted))
+            sizes[lang] = sizes.get(lang, 0) + sum(counted.values())
             sums[lang] = sums.get(lang, 0) + own.bundle(codes, np.fromiter(counted.values(), np.int64, len(counted)))
 
         for batch in batches:
@@ -100,7 +108,8 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> di
             flush(lang)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * dimensions), pa.array(np.arange(dimensions)), pa.array(total)], ["lang", "at", "value"])
+                [pa.array([lang] * (dimensions + 1)), pa.array(np.arange(-1, dimensions)), pa.array(np.append(sizes[lang], total))],
+                ["lang", "at", "value"])
 
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     summed = known.mapInArrow(bundles, "lang string, at bigint, value bigint").groupBy("lang", "at").agg(
@@ -108,6 +117,10 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> di
     # Rows by number of languages and dimensions, whatever the number of documents.
     found: dict[str, np.ndarray] = {}
     for row in summed.toLocalIterator():
+        if row["at"] < 0:
+            if trigrams is not None:
+                trigrams[row["lang"]] = row["value"]
+            continue
         found.setdefault(row["lang"], np.zeros(dimensions))[row["at"]] = row["value"]
     return {lang: found[lang] for lang in sorted(found) if found[lang].any()}
 
@@ -123,10 +136,14 @@ def _prototypes(profiles: dict[str, np.ndarray]) -> np.ndarray:
 
 def predict(
     docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED,
-    keep: float | None = None,
+    keep: dict[str, float] | None = None,
 ) -> DataFrame:
     """docs(doc_id, text, ...) to doc_id, lang_pred, score; with `keep`, instead the rows of docs
-    that have a language and at least that score, unchanged.
+    that have a language and agree with its profile at least as well as `keep` says, unchanged.
+    Agreement is the mean product of a trigram's vector with the profile as a unit vector: it depends
+    neither on other languages nor, but for chance, on the text's length. By chance it is normal
+    around 0, and has to exceed MIN_DEVIATIONS of its standard deviations. Texts of fewer than
+    MIN_TRIGRAMS distinct trigrams stay when their cosine with the best prototype is positive.
 
     A document's vector is the bundle of its trigrams' vectors; the language whose prototype has
     the largest cosine with it wins (ties: the first in order of name). score is that cosine as
@@ -136,17 +153,21 @@ def predict(
     learned, give `und` and 0.
     """
     langs, prototypes = list(profiles), _prototypes(profiles)
+    n_langs = len(langs)
+    if keep is not None:
+        least = np.array([keep[lang] for lang in langs])
+        prototypes = np.concatenate([prototypes, np.stack([v / np.linalg.norm(v) for v in profiles.values()])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = space(dimensions, seed)
-        known, dots = np.zeros(0, np.int64), np.zeros((0, len(langs)))
+        known, dots = np.zeros(0, np.int64), np.zeros((0, len(prototypes)))
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
                 found = [own.trigrams(t) for t in texts]
                 fresh = np.setdiff1d(np.concatenate([c for c, _ in found]), known)
                 if len(known) + len(fresh) > CACHED:
-                    known, dots = np.zeros(0, np.int64), np.zeros((0, len(langs)))
+                    known, dots = np.zeros(0, np.int64), np.zeros((0, len(prototypes)))
                     fresh = np.unique(np.concatenate([c for c, _ in found]))
                 new = [own.vectors(fresh[i:i + 4096]).astype(np.float32) @ prototypes.T.astype(np.float32)
                        for i in range(0, len(fresh), 4096)]
@@ -154,19 +175,24 @@ def predict(
                     codes = np.concatenate((known, fresh))
                     order = np.argsort(codes)
                     known, dots = codes[order], np.concatenate((dots, *new))[order]
-                preds, scores = [], []
+                preds, scores, stays = [], [], []
                 for codes, counts in found:
                     if not len(codes) or not langs:
                         preds.append(UNKNOWN)
                         scores.append(0.0)
+                        stays.append(False)
                         continue
-                    cosines = counts @ dots[np.searchsorted(known, codes)]
+                    products = counts @ dots[np.searchsorted(known, codes)]
+                    cosines = products[:n_langs]
                     best = int(cosines.argmax())
                     positive = np.maximum(cosines, 0)
                     preds.append(langs[best])
                     scores.append(float(positive[best] / positive.sum()) if positive[best] > 0 else 0.0)
+                    if keep is not None:
+                        chance = np.sqrt(np.square(counts, dtype=np.float64).sum())
+                        agrees = products[n_langs + best] >= max(least[best] * counts.sum(), MIN_DEVIATIONS * chance)
+                        stays.append(bool(agrees if len(codes) >= MIN_TRIGRAMS else positive[best] > 0))
                 if keep is not None:
-                    stays = [p != UNKNOWN and s >= keep for p, s in zip(preds, scores)]
                     yield part.filter(pa.array(stays, pa.bool_()))
                     continue
                 yield pa.RecordBatch.from_arrays(
@@ -178,13 +204,16 @@ def predict(
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs whose text has a recognised language with a score of at least `min_score`; profiles are
+def keep_identified(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """docs whose text has a recognised language: it agrees with the language's profile at least
+    `min_share` as well as the learned documents do on average, and more than by chance, or is too short to tell; profiles are
     learned from docs as in `identify`. When docs has no lang to learn from, all with letters stay."""
-    profiles = train(docs.filter(~held_out(F.col("doc_id"))))
+    trigrams: dict[str, int] = {}
+    profiles = train(docs.filter(~held_out(F.col("doc_id"))), trigrams=trigrams)
     if not profiles:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return predict(docs, profiles, keep=min_score)
+    # The mean agreement of a language's own trigrams is the length of their sum by their number.
+    return predict(docs, profiles, keep={lang: min_share * float(np.linalg.norm(v)) / trigrams[lang] for lang, v in profiles.items()})
 
 
 def identify(docs: DataFrame) -> DataFrame:
