@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagesieve.llm import toxicity
+from pagesieve.llm import toxicity, whitening
 from pagesieve.llm.decontaminate import contaminated
 from pagesieve.llm.langid import identify
 from pagesieve.llm.licenses import scan_licenses
@@ -207,3 +207,11 @@ FROM (
 """)
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact deviation as a long; null where it is none."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = whitening.whiten(rows, whitening.fit(rows))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
