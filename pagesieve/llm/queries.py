@@ -16,6 +16,7 @@ from pagesieve.llm.preferences import format_preferences, preference_pairs, rend
 from pagesieve.llm.quality import judge
 from pagesieve.llm.simhash import near_duplicates
 from pagesieve.llm.suffixes import remove_repeats
+from pagesieve.llm.trie import conversation_trie
 from pagesieve.llm.util import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +210,35 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@query("op12_conversation_trie", r"""
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (  -- crc32 bit by bit: each byte is followed by seven zeros
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 4 AS h FROM turns
+), rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(b.ts, [])[:c.h], c.ts[c.h + 1:]) AS ts
+  FROM heads c LEFT JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 20
+), nodes AS MATERIALIZED (
+  SELECT ts[:d] AS path, d AS depth, count(*) AS n, min(conv_id) AS conv_id,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(ts) = d) AS ends, bool_and(len(ts) = d) AS leaf
+  FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM rebuilt) GROUP BY 1, 2
+), spread AS (
+  SELECT path[:a] AS path, a AS depth, count(*) FILTER (WHERE depth = a + 1) AS n_children, count(*) FILTER (WHERE leaf) AS n_leaves,
+    sum(CASE WHEN depth = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM nodes) GROUP BY 1, 2
+)
+SELECT nodes.conv_id, nodes.depth, parent.conv_id AS parent_conv_id, nodes.n AS n_convs, n_children, n_leaves, saved_tokens,
+  sha256(coalesce(nodes.ends, '')) AS ends_sha256
+FROM nodes JOIN spread ON spread.depth = nodes.depth AND spread.path = nodes.path
+LEFT JOIN nodes parent ON parent.depth = nodes.depth - 1 AND parent.path = nodes.path[:nodes.depth - 1]
+""")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 @query("op13_embedding_whitening")
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact deviation as a long; null where it is none."""
