@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagesieve.llm import toxicity, whitening
+from pagesieve.llm.cminhash import similar_classes
 from pagesieve.llm.decontaminate import contaminated
 from pagesieve.llm.langid import identify
 from pagesieve.llm.licenses import scan_licenses
@@ -210,6 +211,11 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@query("op11_minhash_near_dedup")
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op12_conversation_trie", r"""
 WITH turns AS MATERIALIZED (
   SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''),
