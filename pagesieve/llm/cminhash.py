@@ -18,7 +18,7 @@ from pagesieve.session import materialize
 SHINGLE, PERCENT = 4, 80
 # Two sets with similarity 0.8 agree in no band in 3 of a million cases; more similar ones in fewer.
 BANDS, ROWS = 32, 5
-TILE, TILE_SHINGLES = 512, 1 << 21  # sets that a task compares at once, and their shingles
+TILE, TILE_SHINGLES = 1024, 1 << 21  # sets that a task compares at once, and their shingles
 COLUMNS = 4096  # shingles that a task compares at once
 # A side of at most so many narrow rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -140,10 +140,11 @@ def _compare(percent: int):
 
 
 def bucket_members(distinct: DataFrame) -> DataFrame:
-    """distinct(id, n, bands) to (key, id, n, first): the sets that share a band's key with others, `first` being
-    the smallest of them with its size."""
+    """distinct(id, n, bands) to (key, id, n, first, last): the sets that share a band's key with others, and the
+    smallest and largest id among them, with its size."""
     keyed = distinct.select(F.explode("bands").alias("key"), "id", "n")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("first")).filter("m > 1").drop("m")
+    whole = F.struct("id", "n")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(whole).alias("first"), F.max(whole).alias("last")).filter("m > 1").drop("m")
     return skewable_join(keyed, shared, ["key"], "inner")
 
 
@@ -152,9 +153,10 @@ def _may_be_similar(a: Column, b: Column, percent: int) -> Column:
 
 
 def star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of the sets of a bucket with its first one, confirmed on the whole sets."""
-    pairs = members.filter((F.col("id") != F.col("first.id")) & _may_be_similar(F.col("n"), F.col("first.n"), percent)).select(
-        F.col("id").alias("u"), F.col("first.id").alias("v")).distinct()
+    """Links (u, v) of the sets of a bucket with its first and last one, confirmed on the whole sets."""
+    centres = members.select("id", "n", F.explode(F.array("first", "last")).alias("centre"))
+    one, two = F.least("id", "centre.id"), F.greatest("id", "centre.id")
+    pairs = centres.filter((one != two) & _may_be_similar(F.col("n"), F.col("centre.n"), percent)).select(two.alias("u"), one.alias("v")).distinct()
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
     both = skewable_join(pairs.join(left, "u"), right, ["v"], "inner")
@@ -166,14 +168,21 @@ def open_tiles(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
     """(tile, id) for all sets of buckets that the stars left in several classes, so that each similar pair of
     different classes meets in a tile.
 
-    Two sets can only be that similar if they share one of their rarest shingles (as many as they may differ in,
+    All that is linked over such buckets is a tile if it is no larger than one. Within a larger group,
+    two sets can only be that similar if they share one of their rarest shingles (as many as they may differ in,
     and one more), whatever the order of rarity. Sets with such a shingle in common, and of more
     than one class, are a tile; equal tiles count once. A group of more than `tile` sets, or too many shingles, is cut
     by class, size and hash into parts, and pairs of parts are tiles; parts of one large class don't meet.
     """
     classed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("root", "id"))
     undecided = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a != b").select("key")
-    ids = materialize(skewable_join(classed, undecided, ["key"], "inner").select("id", "n", "class").distinct(), "open")
+    rows = materialize(skewable_join(classed, undecided, ["key"], "inner").select("id", "n", "class", F.col("first.id").alias("first")).distinct(), "open")
+    group = connected_components(rows.select(F.col("id").alias("u"), F.col("first").alias("v"))).withColumnsRenamed({"node": "id", "root": "group"})
+    ids = materialize(rows.select("id", "n", "class").distinct().join(group, "id"), "open")
+    sizes = ids.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight")).select(
+        "group", ((F.col("m") <= tile) & (F.col("weight") <= TILE_SHINGLES)).alias("fits"))
+    whole = skewable_join(ids, sizes.filter("fits").select("group"), ["group"], "inner").select(F.xxhash64("group").alias("tile"), "id")
+    ids = skewable_join(ids, sizes.filter("not fits").select("group"), ["group"], "inner").select("id", "n", "class")
     tokens = sets.join(ids, "id").select("id", "n", "class", F.explode("shingles").alias("token"))
     seen = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
     # a shingle seen once leads the order, but no other set has it
@@ -201,7 +210,7 @@ def open_tiles(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
     one, two = F.struct("kind", "step", "part"), F.struct(F.col("kind2").alias("kind"), F.col("step2").alias("step"), F.col("part2").alias("part"))
     near = mine.join(other, "token").filter(
         (F.abs(F.col("step") - F.col("step2")) <= 1) & ((F.col("kind") != F.col("kind2")) | (F.col("kind") == F.lit(b""))))
-    return small.unionByName(near.select(F.xxhash64("token", F.least(one, two), F.greatest(one, two)).alias("tile"), "id"))
+    return whole.unionByName(small).unionByName(near.select(F.xxhash64("token", F.least(one, two), F.greatest(one, two)).alias("tile"), "id"))
 
 
 def similar_classes(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -209,7 +218,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -
 
     Two documents are linked when 100 * common >= percent * all distinct shingles of four words; component_id is
     the smallest doc_id reachable over links, itself included. Documents with equal sets are taken
-    together first. Candidates share a band of the signature. Each is compared with the first of its
+    together first. Candidates share a band of the signature. Each is compared with the first and the last of its
     bucket; sets that this leaves unconnected are compared with all they may be similar to. Every link is confirmed
     on the whole sets (of 64-bit shingle hashes), and no pair of a bucket is left undecided.
 
