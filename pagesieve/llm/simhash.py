@@ -179,6 +179,17 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = B
     return tiles.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius), "u bigint, v bigint")
 
 
+def _classes(marked: DataFrame, radius: int) -> DataFrame:
+    """Adds component_id, the smallest doc_id reachable, to rows with doc_id and fp."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_fp = skewable_join(named, lowest, ["root"], "inner").select("fp", "component_id")
+    return skewable_join(marked, by_fp, ["fp"], "inner")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs(doc_id, text) to doc_id, fingerprint (16 hex digits), component_id.
 
@@ -187,20 +198,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows are returned as often as they come; a null doc_id never names a component, so a
     component of such rows only has a null one. An empty table gives no rows.
     """
-    marked = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = skewable_join(named, lowest, ["root"], "inner").select("fp", "component_id")
-    return skewable_join(marked, by_fp, ["fp"], "inner").select(
+    return _classes(materialize(fingerprints(docs), "fingerprints"), radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (rows with a null
-    doc_id stay too). Columns are those of docs."""
-    gone = near_duplicates(docs, radius).filter(F.col("doc_id") != F.col("component_id")).select(
-        F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One document of each component stays: the one with the smallest doc_id. Columns are those of docs.
+
+    Rows with a null doc_id stay; so do repeated rows of a document that stays. Of rows that share a
+    doc_id but not the text, each goes or stays with its own text's component.
+    """
+    version = F.xxhash64("text")
+    keyed = docs.select(F.struct("doc_id", version.alias("version")).alias("doc_id"), "text")
+    marked = materialize(map_texts(keyed, lambda ids, texts: (ids, [fingerprint(t) for t in texts]),
+                                   "doc struct<doc_id:bigint,version:bigint>, fp bigint").select("doc.*", "fp"), "fingerprints")
+    gone = _classes(marked, radius).filter(F.col("doc_id") != F.col("component_id")).select(
+        F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct()
+    same = (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_version"])
+    return docs.join(gone, same, "left_anti")

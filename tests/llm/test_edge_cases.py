@@ -124,6 +124,14 @@ def test_filters_keep_rows_and_columns(docs, clashing, benchmark):
     assert mix_documents(docs, max_repeats=50.0).filter(F.col("doc_id").isNull()).count() in (0, 1)
 
 
+def test_near_duplicates_go_by_text(spark):
+    """Of rows that share a doc_id, each goes with its own text; repeated rows of what stays stay."""
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (2, text.upper()), (3, text), (3, "quite another text stands here"), (None, text), (4, None), (5, " "), (6, "")]
+    out = drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, text), (1, text), (3, "quite another text stands here"), (None, text), (4, None)], key=str)
+
+
 @pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, docs, clashing, benchmark, tmp_path, stage):
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
