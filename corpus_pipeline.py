@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagesieve.llm.copies import drop_near_copies
 from pagesieve.llm.decontaminate import drop_contaminated
 from pagesieve.llm.langid import keep_identified
 from pagesieve.llm.lines import drop_shared_lines
 from pagesieve.llm.mixing import mix_documents
+from pagesieve.llm.simhash import drop_near_duplicates
 from pagesieve.llm.util import table
 from pagesieve.session import materialize
 
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard similarity 0.8) stays."""
-    return drop_near_copies(docs)
+    """One document of each class of SimHash fingerprints (three words, two bits) stays."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
