@@ -206,20 +206,21 @@ _EFFECTS = {
     **dict.fromkeys((*_HEADINGS, "td", "th"), ("one line",)), **dict.fromkeys(("code", "kbd", "samp"), ("literal",)),
     "pre": ("literal", "pre"), "li": ("item",), **dict.fromkeys(("template", "rt", "rp"), ("hidden",)),
 }
-_LINED = ("li", "blockquote")
-MAX_DEPTH, MAX_LINE_DEPTH = 50, 20
+# Quotes and items deeper than this print the marks of this many around them; their text and all else stays as it is.
+MAX_MARKS = 100
 _ROWS = ("ul", "ol", "table", "tr", "thead", "tbody", "tfoot")
 _BREAKS = re.compile(r"[\t ]*[\r\n][\t \r\n]*")
 _BLANKS = re.compile(r"\t[\t ]*| [\t ]+")
 _EMPHASIS = re.compile(r"([*_])")
 _GAPS = re.compile(r"\n{3,}")
+_END = ("end", "")
 
 
 class _Element:
-    __slots__ = ("name", "attributes", "parts", "count")
+    __slots__ = ("name", "attributes", "start", "body", "count")
 
-    def __init__(self, name: str, attributes: str = ""):
-        self.name, self.attributes, self.parts, self.count = name, attributes, [], 0
+    def __init__(self, name: str, attributes: str = "", start: int = 0, body: int = 0):
+        self.name, self.attributes, self.start, self.body, self.count = name, attributes, start, body, 0
 
     def attribute(self, wanted: str) -> str:
         for name, *values in _ATTRIBUTE.findall(self.attributes):
@@ -227,44 +228,99 @@ class _Element:
                 return _ENTITY.sub(_character, "".join(values))
         return ""
 
-    def add_block(self, text: str) -> None:
-        """Append a block with an empty line on each side; blanks before it go."""
-        while self.parts and not self.parts[-1].strip(" "):
-            self.parts.pop()
-        if self.parts:
-            self.parts[-1] = self.parts[-1].rstrip(" ")
-        self.parts.append(f"\n\n{text}\n\n")
-
 
 class _Markdown:
-    """The open elements of a page, each collecting its rendered children."""
+    """A page's output as one list of pieces, in which an open element is a position: closing it trims the ends of
+    what came since, and puts a mark at its front, but copies nothing.
+
+    A piece is a string, a pair that begins or ends a quote or an item, or a number: the position up to which
+    nothing follows. What quotes and items put before their lines is added when the whole is printed."""
 
     def __init__(self) -> None:
+        self.out: list = []
         self.stack = [_Element("")]
         self.open: dict[str, int] = {}
+        self.lists: list[_Element] = []
+        self.tables: list[_Element] = []
         self.effects = {"one line": 0, "literal": 0, "pre": 0, "item": 0, "hidden": 0}
 
     def push(self, name: str, attributes: str) -> None:
-        self.stack.append(_Element(name, attributes))
+        start = len(self.out)
+        if name in _INLINE_WRAP or name in _BLOCK or name in _HEADINGS or name in ("li", "td", "th", "tr"):
+            self.out += ("", "") if name == "blockquote" else ("",)
+        element = _Element(name, attributes, start, len(self.out))
+        self.stack.append(element)
         self.open[name] = self.open.get(name, 0) + 1
         for effect in _EFFECTS.get(name, ()):
             self.effects[effect] += 1
+        if name in ("ul", "ol"):
+            self.lists.append(element)
+        elif name == "table":
+            self.tables.append(element)
 
     def pop(self) -> str:
         element = self.stack.pop()
         self.open[element.name] -= 1
         for effect in _EFFECTS.get(element.name, ()):
             self.effects[effect] -= 1
-        self.render(element, self.stack[-1])
+        if element.name in ("ul", "ol"):
+            self.lists.pop()
+        elif element.name == "table":
+            self.tables.pop()
+        self.render(element)
         return element.name
 
     def close(self, name: str) -> None:
         while self.pop() != name:
             pass
 
-    def nearest(self, *names: str) -> _Element | None:
-        return next((e for e in reversed(self.stack) if e.name in names), None)
-
+    # -------------------------------------------------------------- the ends of what an element holds
+    def trim_end(self, floor: int, chars: str | None = None) -> None:
+        """Drop blanks (or chars) at the end, down to position floor."""
+        out = self.out
+        while len(out) > floor:
+            last = out[-1]
+            if type(last) is str and (last := last.rstrip(chars)):
+                out[-1] = last
+                return
+            if type(last) is tuple:
+                return
+            out.pop()
+
+    def trim_front(self, at: int, chars: str | None = None) -> None:
+        """Drop blanks from position `at` on; the emptied pieces are jumped over from then on."""
+        out, first = self.out, at
+        while at < len(out):
+            piece = out[at]
+            if type(piece) is int:
+                at = piece
+            elif type(piece) is tuple:
+                break
+            elif piece := piece.lstrip(chars):
+                out[at] = piece
+                break
+            else:
+                out[at] = ""
+                at += 1
+        if at > first + 1:
+            out[first] = at
+
+    def trim_before(self, at: int) -> None:
+        """Drop spaces in front of a block that begins at `at`, within the element around it."""
+        out, floor = self.out, self.stack[-1].body
+        while at > floor:
+            at -= 1
+            if type(out[at]) is str:
+                out[at] = out[at].rstrip(" ")
+                if out[at]:
+                    return
+            elif type(out[at]) is tuple:
+                return
+
+    def blank(self, floor: int) -> bool:
+        return all(type(p) is int or type(p) is str and (not p or p.isspace()) for p in reversed_from(self.out, floor))
+
+    # -------------------------------------------------------------- pieces
     def text(self, text: str) -> None:
         if self.effects["hidden"]:
             return
@@ -275,75 +331,182 @@ class _Markdown:
             text = _BLANKS.sub(" ", text)
             if ("*" in text or "_" in text) and not self.effects["literal"]:
                 text = _EMPHASIS.sub(r"\\\1", text)
-            if top.parts and top.parts[-1].endswith("\n\n"):
+            if len(self.out) > top.body and type(self.out[-1]) is str and self.out[-1].endswith("\n\n"):
                 text = text.lstrip()
         if text and not (text.isspace() and top.name in _ROWS):
-            top.parts.append(text)
+            self.out.append(text)
 
     def void(self, name: str, attributes: str) -> None:
-        top, one_line = self.stack[-1], self.effects["one line"]
+        one_line = self.effects["one line"]
         if name == "br":
-            top.parts.append(" " if one_line else "  \n")
+            self.out.append(" " if one_line else "  \n")
         elif name == "hr":
-            top.add_block("---")
+            self.trim_before(len(self.out))
+            self.out.append("\n\n---\n\n")
         elif name == "img":
             image = _Element(name, attributes)
             alt, title = image.attribute("alt"), image.attribute("title")
             title = f' "{title}"' if title else ""
-            top.parts.append(alt if one_line else f"![{alt}]({image.attribute('src')}{title})")
-
-    def render(self, element: _Element, outer: _Element) -> None:
-        name, text = element.name, "".join(element.parts)
-        body = text.strip()
-        one_line = self.effects["one line"]
-        if name == "li":
-            outer.parts.append(self.item(body))
-        elif name in ("td", "th"):
-            outer.parts.append(f" {' '.join(text.split())} |")
-            outer.count += 1
+            self.out.append(alt if one_line else f"![{alt}]({image.attribute('src')}{title})")
+
+    def one_line(self, element: _Element) -> str:
+        """What an outermost heading or cell holds, as one line."""
+        line = " ".join("".join(p for p in self.out[element.body:] if type(p) is str).split())
+        del self.out[element.body:]
+        return line
+
+    def render(self, element: _Element) -> None:
+        out, name, start, body, one_line = self.out, element.name, element.start, element.body, self.effects["one line"]
+        heading = name in _HEADINGS
+        if name in ("td", "th"):
+            self.stack[-1].count += 1
+            if one_line:
+                self.trim_end(body)
+                self.trim_front(body)
+                out[start] = " "
+                out.append(" |")
+            else:
+                out[start] = f" {self.one_line(element)} |"
         elif name == "tr":
-            outer.parts.append(self.row(element, text))
-        elif not body and (name in _INLINE_WRAP or name in _BLOCK or name in _HEADINGS):
+            self.row(element)
+        elif name == "li":
+            self.item(element)
+        elif body == start:
             pass
-        elif name in _INLINE_WRAP and not self.effects["pre"]:
-            mark = _INLINE_WRAP[name]
-            lead, trail = " " * text[:1].isspace(), " " * text[-1:].isspace()
-            outer.parts.append(f"{lead}{mark}{body}{mark}{trail}")
-        elif one_line and (name in _BLOCK or name in _HEADINGS):
-            outer.parts.append(f" {body} ")
-        elif name in _HEADINGS:
-            outer.add_block(f"{'#' * int(name[1])} {' '.join(text.split())}")
+        elif self.blank(body):
+            del out[start:]
+        elif name in _INLINE_WRAP:
+            if not self.effects["pre"]:
+                self.wrap(element, _INLINE_WRAP[name])
+        elif one_line:
+            self.trim_end(body)
+            self.trim_front(body)
+            out[start] = " "
+            out.append(" ")
+        elif heading:
+            line = self.one_line(element)
+            self.trim_before(start)
+            out[start] = f"\n\n{'#' * int(name[1])} {line}\n\n"
         elif name in ("ul", "ol") and self.effects["item"]:
-            while outer.parts and not outer.parts[-1].strip(" "):
-                outer.parts.pop()
-            outer.parts.append("\n" + text.strip("\n ") + "\n")
-        elif name == "blockquote":
-            outer.add_block("\n".join(f"> {line}".rstrip() for line in _GAPS.sub("\n\n", body).split("\n")))
+            self.trim_end(body, "\n ")
+            self.trim_front(body, "\n ")
+            self.trim_before(start)
+            out[start] = "\n"
+            out.append("\n")
         elif name == "pre":
-            outer.add_block(f"```\n{text}\n```")
-        elif name in _BLOCK:
-            outer.add_block(body)
+            self.trim_before(start)
+            out[start] = "\n\n```\n"
+            out.append("\n```\n\n")
         else:
-            outer.parts.append(text)
-
-    def item(self, body: str) -> str:
-        owner, bullet = self.nearest("ul", "ol"), "-"
+            self.trim_end(body)
+            self.trim_front(body)
+            self.trim_before(start)
+            out[start] = "\n\n"
+            if name == "blockquote":
+                out[start + 1] = ("quote", "")
+                out.append(_END)
+            out.append("\n\n")
+
+    def wrap(self, element: _Element, mark: str) -> None:
+        out, last = self.out, next(p for p in reversed_from(self.out, element.body) if type(p) is not int and p)
+        trail = " " * (type(last) is str and last[-1].isspace())
+        at = element.body
+        while type(out[at]) is int or not out[at]:
+            at = out[at] if type(out[at]) is int else at + 1
+        lead = " " * (type(out[at]) is str and out[at][0].isspace())
+        self.trim_end(element.body)
+        self.trim_front(element.body)
+        out[element.start] = lead + mark
+        out.append(mark + trail)
+
+    def item(self, element: _Element) -> None:
+        owner, bullet = self.lists[-1] if self.lists else None, "-"
         if owner is not None:
             if owner.name == "ol":
                 start = owner.attribute("start")
                 bullet = f"{(int(start) if start.isdigit() else 1) + owner.count}."
             owner.count += 1
-        first, *rest = _GAPS.sub("\n\n", body).split("\n")
-        indent = " " * (len(bullet) + 1)
-        return "\n".join([f"{bullet} {first}", *(indent + line if line else line for line in rest)]) + "\n"
+        self.trim_end(element.body)
+        self.trim_front(element.body)
+        if self.effects["one line"] or len(self.out) == element.body:
+            self.out[element.start] = f"{bullet} "
+        else:
+            self.out[element.start] = ("item", bullet)
+            self.out.append(_END)
+        self.out.append("\n")
 
-    def row(self, element: _Element, cells: str) -> str:
-        table = self.nearest("table") or self.stack[-1]
+    def row(self, element: _Element) -> None:
+        table = self.tables[-1] if self.tables else self.stack[-1]
         table.count += 1
         if not element.count:
-            return ""
-        rule = "|" + " --- |" * element.count + "\n" if table.count == 1 else ""
-        return "|" + cells.strip("\n") + "\n" + rule
+            del self.out[element.start:]
+            return
+        self.trim_end(element.body, "\n")
+        self.trim_front(element.body, "\n")
+        self.out[element.start] = "|"
+        self.out.append("\n" + ("|" + " --- |" * element.count + "\n" if table.count == 1 else ""))
+
+    # -------------------------------------------------------------- printing
+    def printed(self) -> str:
+        """The pieces in order, each line behind the marks of the quotes and items around it. A quote marks empty lines
+        too and cuts blanks at a line's end; an item puts its bullet before its first line."""
+        done: list[str] = []
+        marks = [("", "", False)]  # before a line, before an empty one, within a quote
+        fresh, run = True, []
+
+        def flush() -> None:
+            nonlocal fresh
+            text = "".join(run)
+            run.clear()
+            before, empty, quoted = marks[-1]
+            if len(marks) > 1:
+                text = _GAPS.sub("\n\n", text)
+            lines = text.split("\n") if before or empty else [text]
+            for n, line in enumerate(lines):
+                ends = n + 1 < len(lines)
+                if quoted and ends:
+                    line = line.rstrip()
+                if line:
+                    done.append(before + line if fresh else line)
+                    fresh = False
+                elif ends and fresh:
+                    done.append(empty)
+                if ends:
+                    if quoted and not line and done:
+                        done[-1] = done[-1].rstrip(" ")
+                    done.append("\n")
+                    fresh = True
+            if len(lines) == 1 and text:
+                fresh = text.endswith("\n")
+
+        for piece in self.out:
+            if type(piece) is str:
+                run.append(piece)
+            elif type(piece) is tuple:
+                flush()
+                kind, bullet = piece
+                before, empty, quoted = marks[-1]
+                if kind == "end":
+                    marks.pop()
+                    continue
+                if kind == "item":
+                    done.append((before if fresh else "") + bullet + " ")
+                    fresh = False
+                elif not fresh:
+                    done.append("> ")
+                if len(marks) > MAX_MARKS:
+                    marks.append(marks[-1])
+                elif kind == "item":
+                    marks.append((before + " " * (len(bullet) + 1), empty, quoted))
+                else:
+                    marks.append((before + "> ", before + ">", True))
+        flush()
+        return "".join(done)
+
+
+def reversed_from(pieces: list, floor: int) -> Iterator:
+    """The pieces from the last one down to position floor."""
+    return (pieces[i] for i in range(len(pieces) - 1, floor - 1, -1))
 
 
 def to_markdown(
@@ -352,10 +515,7 @@ def to_markdown(
     """Markdown with # headings and - bullets; link targets are dropped, their text is kept. Left out are
     elements named in `drop` and those with one of the classes or ids.
 
-    An element's text is copied once for each element around it, and its lines are taken apart for
-    each item or quote, so their numbers are bounded: beyond MAX_DEPTH open elements, or
-    MAX_LINE_DEPTH items and quotes, one more ends an open one of the same name, or else adds
-    nothing but its content. Time is linear in the page."""
+    Pages may be nested to any depth; time is linear in the page."""
     page = _Markdown()
     dropped: list[str] = []  # open elements from the outermost dropped one inwards
     within: dict[str, int] = {}
@@ -381,11 +541,6 @@ def to_markdown(
                 dropped.append(name)
                 within[name] = within.get(name, 0) + 1
             else:
-                lined = name in _LINED and sum(page.open.get(n, 0) for n in _LINED) >= MAX_LINE_DEPTH
-                if lined or len(page.stack) > MAX_DEPTH:
-                    if not page.open.get(name):
-                        continue
-                    page.close(name)
                 page.push(name, attributes)
         elif kind == "empty":
             page.void(name, attributes)
@@ -393,4 +548,4 @@ def to_markdown(
             page.close(name)
     while len(page.stack) > 1:
         page.pop()
-    return "".join(page.stack[0].parts)
+    return page.printed()

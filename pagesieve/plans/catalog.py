@@ -384,6 +384,13 @@ def _(spark, sf):
     return EX.extract_markdown(pages(spark, sf)).select("page_id", "text")
 
 
+@query("x1_deep_pages", f"SELECT page_id, CASE WHEN length(t) > 100 THEN t END AS text FROM (SELECT page_id, {D.markdown('html')} AS t FROM pages)")
+def _(spark, sf):
+    """All pages within 60 elements that print nothing, by the SQL for the pages as they are."""
+    wrapped = F.concat(F.repeat(F.lit("<div>"), F.lit(60)), "html", F.repeat(F.lit("</div>"), F.lit(60)))
+    return EX.extract_markdown(pages(spark, sf).withColumn("html", wrapped)).select("page_id", "text")
+
+
 @query("x2_extract_stripped", f"SELECT page_id, {D.stripped('html')} AS text FROM pages")
 def _(spark, sf):
     return EX.extract_stripped(pages(spark, sf)).select("page_id", "text")

@@ -1,5 +1,7 @@
 """Golden pages: one rule each."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,31 @@ MARKDOWN = [
 ]
 
 
+DEEP = "<h2>T</h2><ul><li><b>one</b> two</li><li>three<blockquote>q<ol start=4><li>r</li></ol></blockquote></li></ul><table><tr><th>a</th></tr><tr><td>b <i>c</i></td></tr></table><pre>x\n y</pre>"
+
+
+@pytest.mark.parametrize("around", ["div", "section", "span", "article", "font"])
+@pytest.mark.parametrize("depth", [1, 50, 400, 20_000])
+def test_markdown_at_any_depth(around, depth):
+    """Elements that print nothing of their own may stand around a page as often as they like."""
+    def markdown(html):
+        return re.sub("\n{3,}", "\n\n", dom.to_markdown(html, frozenset()).strip())
+
+    plain = "## T\n\n- **one** two\n- three\n\n  > q\n  > 4. r\n\n| a |\n| --- |\n| b *c* |\n\n```\nx\n y\n```"
+    assert markdown(DEEP) == markdown(f"<{around}>" * depth + DEEP + f"</{around}>" * depth) == markdown(f"<{around}>" * depth + DEEP) == plain
+
+
+def test_nested_items_and_quotes():
+    levels = dom.to_markdown("".join(f"<ul><li>{i}" for i in range(60)), frozenset()).strip().split("\n")
+    assert levels == [f"{'  ' * i}- {i}" for i in range(60)]
+    quotes = dom.to_markdown("<blockquote>a" * 40, frozenset()).strip().split("\n")
+    assert quotes[::2] == ["> " * (i + 1) + "a" for i in range(40)] and quotes[1] == ">"
+    # beyond the bound the marks stay as they are, the text goes on
+    deep = dom.to_markdown("".join(f"<blockquote>{i}" for i in range(150)), frozenset()).strip().split("\n")
+    assert [x.lstrip("> ") for x in deep[::2]] == [str(i) for i in range(150)]
+    assert deep[-1] == "> " * dom.MAX_MARKS + "149"
+
+
 def frame(spark, cases):
     return spark.createDataFrame([(i, "http://h/", html) for i, (html, _) in enumerate(cases)], "page_id long, url string, html string")
 
