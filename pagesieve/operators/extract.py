@@ -3,7 +3,13 @@ joining, thresholds and the fallback ladder are Spark columns."""
 
 from __future__ import annotations
 
+import os
+import pickle
+import select
+import signal
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager, suppress
+from time import monotonic, perf_counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -175,11 +181,89 @@ def extract(
     return accepted.select(*kept, method.alias("method"), F.coalesce("markdown", "main", "rest").alias("text"))
 
 
+class OverTime(BaseException):
+    """Ends a call over its limit; no `except Exception` of the called function holds it up."""
+
+
+@contextmanager
+def _limit(seconds: float | None) -> Iterator[None]:
+    """An interval timer that ends the block by OverTime. It fires again until the block is left, in case the
+    first one is swallowed."""
+    if seconds is None:
+        yield
+        return
+
+    def over(signum, frame):
+        raise OverTime
+
+    before = signal.signal(signal.SIGALRM, over)
+    try:
+        signal.setitimer(signal.ITIMER_REAL, seconds, 0.05)
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _guarded_call(fn: Callable, html: str, mode: str, seconds: float | None) -> tuple[object, str | None]:
+    """(result, error) of fn(html, mode)."""
+    try:
+        try:
+            with _limit(seconds):
+                result = fn(html, mode)
+            return result, C.NO_RESULT if result is None else None
+        except Exception as exc:  # the caller's function may fail in any way
+            return None, str(exc)[:200]
+    except OverTime:
+        return None, f"Timeout after {seconds:.1f}s"
+
+
+def _in_child(fn: Callable, html: str, mode: str, seconds: float) -> tuple[object, str | None]:
+    """The same in a process of its own, for functions that no signal reaches (native code that does not return,
+    a blocked signal). It is killed when its time is over."""
+    receive, send = os.pipe()
+    child = os.fork()
+    if not child:
+        try:
+            os.close(receive)
+            with os.fdopen(send, "wb") as out:
+                result, error = _guarded_call(fn, html, mode, None)
+                pickle.dump((result[0] if isinstance(result, tuple) else result, error), out)
+        except BaseException:  # nothing of the child may run on as the worker
+            os._exit(1)
+        os._exit(0)
+    os.close(send)
+    said, deadline = bytearray(), monotonic() + seconds
+    try:
+        with os.fdopen(receive, "rb", buffering=0) as answer:
+            while (left := deadline - monotonic()) > 0 and select.select([answer], [], [], left)[0]:
+                piece = answer.read(1 << 16)
+                if not piece:
+                    return pickle.loads(said) if said else (None, "Extractor process died")
+                said += piece
+        return None, f"Timeout after {seconds:.1f}s"
+    finally:
+        with suppress(ProcessLookupError):
+            os.kill(child, signal.SIGKILL)
+        os.waitpid(child, 0)
+
+
 def apply_extractor(
-    df: DataFrame, fn: Callable[[str, str], str | tuple | None], name: str, mode: str = "precision"
+    df: DataFrame, fn: Callable[[str, str], str | tuple | None], name: str, mode: str = "precision",
+    limit_ms: int | None = None, isolate: bool = False,
 ) -> DataFrame:
     """Run a user extractor fn(html, mode) on every row and log it as an attempt: adds tier,
-    success, content, content_length, elapsed_ms and error. An exception becomes the error."""
+    success, content, content_length, elapsed_ms and error. An exception becomes the error.
+
+    limit_ms, by default the limit of the tier of that name if there is one, ends a call that takes longer
+    as a failed attempt, `Timeout after 7.0s`; the rows after it are not harmed. The limit is a timer
+    signal in the task's own process, which interrupts Python code and waiting calls. With
+    `isolate` each call has a process of its own, which is killed: for native code that never returns to Python.
+    """
+    limit = C.TIER_CAPS_MS.get(name, C.HANDLER_CAPS_MS.get(name)) if limit_ms is None else limit_ms
+    if isolate and limit is None:
+        raise ValueError("isolate needs a limit")
+    seconds = None if limit is None else limit / 1000
     kept = [f for f in df.schema.fields if f.name != "html"]
     schema = T.StructType(kept + [
         T.StructField("tier", T.StringType()), T.StructField("success", T.BooleanType()),
@@ -189,21 +273,17 @@ def apply_extractor(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from time import perf_counter
-
         for batch in _small_batches(batches):
             rows: list[tuple] = []
             for html in batch.column("html").to_pylist():
-                start, content, error = perf_counter(), None, None
-                try:
-                    result = fn(html, mode)
-                    content = result[0] if isinstance(result, tuple) else result
-                    if result is None:
-                        error = C.NO_RESULT
-                except Exception as exc:  # the caller's function may fail in any way
-                    error = str(exc)[:200]
+                start = perf_counter()
+                result, error = (_in_child if isolate else _guarded_call)(fn, html, mode, seconds)
+                took = round((perf_counter() - start) * 1000)
+                content = result[0] if isinstance(result, tuple) else result
                 chars = len(content) if content else 0
-                rows.append((name, chars > 0, content, chars, round((perf_counter() - start) * 1000), error))
+                if error and error.startswith("Timeout after") and limit is not None:
+                    took = max(took, limit)
+                rows.append((name, chars > 0, content, chars, took, error))
             new = list(zip(*rows)) if rows else [()] * 6
             types = [pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             columns = [batch.column(n) for n in names] + [pa.array(c, t) for c, t in zip(new, types)]

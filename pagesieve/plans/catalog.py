@@ -886,6 +886,19 @@ def _(spark, sf):
     return EX.apply_extractor(pages(spark, sf), _user_extractor, "custom").drop("url", "elapsed_ms")
 
 
+def _slow_extractor(html: str, mode: str) -> str | None:
+    """Never ends for some pages."""
+    while len(html) % 50 == 0:
+        pass
+    return html[:200]
+
+
+@query("d1_extractor_limits", """SELECT page_id, length(html) % 50 <> 0 AS success, CASE WHEN length(html) % 50 <> 0 THEN substr(html, 1, 200) END AS content,
+        CASE WHEN length(html) % 50 = 0 THEN 'Timeout after 0.1s' END AS error FROM pages""")
+def _(spark, sf):
+    return EX.apply_extractor(pages(spark, sf), _slow_extractor, "custom", limit_ms=100).select("page_id", "success", "content", "error")
+
+
 # ---------------------------------------------------------------------------- end to end
 _SCRAPE = {
     "verdicts": _VERDICTS,

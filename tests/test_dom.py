@@ -143,3 +143,48 @@ def test_user_extractor_errors(spark):
     row = EX.apply_extractor(df, fails, "mine").first()
     assert (row.success, row.content, row.content_length, len(row.error)) == (False, None, 0, 200)
     assert EX.apply_extractor(df, lambda h, m: ("text", h), "mine").first().content == "text"
+
+
+@pytest.mark.parametrize("isolate", [False, True])
+def test_extractors_over_their_time_end_as_attempts(spark, isolate):
+    def stubborn(html, mode):
+        """Sleeps, runs on for ever, swallows errors, or answers, as the page says."""
+        import signal
+        import time
+
+        if html == "sleep":
+            time.sleep(600)
+        while html == "endless":
+            pass
+        while html == "swallow":
+            try:
+                time.sleep(600)
+            except Exception:
+                pass
+        if html == "deaf":
+            signal.pthread_sigmask(signal.SIG_BLOCK, [signal.SIGALRM])
+            time.sleep(600)
+        if html == "dies":
+            import os
+            os._exit(3)
+        if html == "error":
+            raise ValueError("bad page")
+        return None if html == "none" else (html * 300_000 if html == "long" else html, html)
+
+    kinds = ["a", "sleep", "b", "endless", "error", "swallow", "none", "long", "c"] + ["deaf", "dies", "d"] * isolate
+    df = spark.createDataFrame([(i, "u", k) for i, k in enumerate(kinds)], "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r for r in EX.apply_extractor(df, stubborn, "mine", limit_ms=300, isolate=isolate).collect()}
+    for i, kind in enumerate(kinds):
+        row = got[i]
+        if kind in ("sleep", "endless", "swallow", "deaf"):
+            assert (row.success, row.content, row.content_length, row.error) == (False, None, 0, "Timeout after 0.3s") and 300 <= row.elapsed_ms < 3000
+        elif kind in ("error", "none", "dies"):
+            assert (row.success, row.content, row.error) == (False, None, {"error": "bad page", "none": C.NO_RESULT, "dies": "Extractor process died"}[kind])
+        else:
+            assert (row.success, row.error) == (True, None) and row.content == (kind * 300_000 if kind == "long" else kind)
+
+
+def test_extractor_limit_of_a_tier(spark):
+    assert EX.apply_extractor(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), lambda h, m: h, "tier1_curl").first().success
+    with pytest.raises(ValueError):
+        EX.apply_extractor(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), lambda h, m: h, "mine", isolate=True)
