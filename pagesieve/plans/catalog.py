@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagesieve import constants as C
 from pagesieve.functions import addresses as A, gates as G, text as X, urls as U
 from pagesieve.operators import attempts as AT, extract as EX, fallbacks as FB, ocr as OC, redirects as RD, report as RP
-from pagesieve.operators import scrape as SC, search as SE, segments as SG, tweets as TW, validate as V
+from pagesieve.operators import route as RO, scrape as SC, search as SE, segments as SG, tweets as TW, validate as V
 from pagesieve.plans import duck as D
 from pagesieve.plans.fixtures import table, with_ctes
 from pagesieve.session import configure, new_folder
@@ -935,6 +935,79 @@ def _(spark, sf):
     return SC.scrape_stored(table(spark, sf, "asked"), table(spark, sf, "responses"), table(spark, sf, "dns"), allow_tier3=True)
 
 
+_ROUTE_TABLES = ["route_asked", "route_responses", "route_dns", "route_hops", "route_tweets", "route_mirrors", "route_snapshots"]
+
+
+def _route_sql(relays: bool) -> dict[str, str]:
+    """The staged way, each stage as a relation; handlers of medium hosts only with relays."""
+    return {
+        "verdicts": _VERDICTS.replace("FROM dns", "FROM route_dns"),
+        "asked_pages": f"""SELECT request_id, a.url, mode, {D.guard_host('a.url')} AS host, CASE WHEN tier <> 'Auto' THEN CAST(tier AS INT) END AS forced
+            FROM route_asked a""",
+        "checked": """SELECT a.*, v.n IS NOT NULL AND v.bad IS NULL AS safe, forced IS NULL AND a.host = 'x.com' AS tw, """
+                   f"""forced IS NULL AND a.host = 'medium.com' AND {str(relays).lower()} AS med FROM asked_pages a LEFT JOIN verdicts v ON v.host = a.host""",
+        "bodies": f"SELECT url, {D.markdown('html')} AS md, {D.strip(D.article('html'))} AS m, {D.stripped('html')} AS st FROM route_urls",
+        "moded": """SELECT url, 'precision' AS mode, CASE WHEN length(m) > 100 THEN m ELSE st END AS text FROM bodies
+            UNION ALL SELECT url, 'full', CASE WHEN length(md) > 100 THEN md WHEN length(m) > 100 THEN m ELSE st END FROM bodies""",
+        "used": """SELECT r.url, mode, any_value(text) AS text, min(priority) FILTER (WHERE status = 200 AND length(html) > 500 AND length(text) > 300) AS used
+            FROM route_mirrors r JOIN moded USING (url) GROUP BY 1, 2""",
+        "mirrored": """SELECT u.url, mode, CASE WHEN used IS NOT NULL THEN any_value(u.text) END AS text, sum(latency_ms) FILTER (WHERE used IS NULL OR priority <= used)::BIGINT AS ms
+            FROM used u JOIN route_mirrors USING (url) GROUP BY u.url, mode, used""",
+        "archived": """SELECT s.url, mode, CASE WHEN status = 200 AND length(html) > 500 AND length(text) > 300 THEN text END AS text, latency_ms AS ms
+            FROM route_snapshots s JOIN moded USING (url) WHERE (s.url, captured_at) IN (SELECT (url, max(captured_at)) FROM route_snapshots GROUP BY url)""",
+        "one": """SELECT c.*, coalesce(t.latency_ms, 0) AS ms1, t.content AS text1, tw AND coalesce(t.latency_ms, 0) <= 7000 AND coalesce(length(t.content), 0) > 500 AS won1
+            FROM checked c LEFT JOIN route_tweets t ON t.url = c.url""",
+        "two": """SELECT o.*, CASE WHEN tw THEN least(ms1, 7000) ELSE 0 END AS at2, coalesce(x.ms, 0) AS ms2, x.text AS text2,
+            med AND coalesce(x.ms, 0) <= 7000 AND coalesce(length(x.text), 0) > 500 AS won2 FROM one o LEFT JOIN mirrored x ON x.url = o.url AND x.mode = o.mode""",
+        "three": """SELECT o.*, at2 + CASE WHEN med THEN least(ms2, 7000) ELSE 0 END AS at3, coalesce(x.ms, 0) AS ms3, x.text AS text3 FROM two o LEFT JOIN archived x ON x.url = o.url AND x.mode = o.mode""",
+        "handled": """SELECT *, med AND NOT won2 AND ms3 <= 7000 AND at3 + ms3 <= 12000 AND coalesce(length(text3), 0) > 500 AS won3,
+            at3 + CASE WHEN med AND NOT won2 THEN least(ms3, 7000) ELSE 0 END AS begin FROM three""",
+        "ends_at": """SELECT h.*, CASE WHEN NOT h.safe THEN NULL WHEN request_id % 4 <> 3 THEN h.url WHEN request_id % 16 IN (11, 15) THEN NULL
+            WHEN p.safe THEN p.url END AS final_url FROM handled h LEFT JOIN (SELECT request_id + 1 AS request_id, url, safe FROM checked) p USING (request_id)""",
+        "planned": f"""SELECT e.*, o.tier, row_number() OVER (PARTITION BY request_id ORDER BY o.no) - 1 AS attempt_id
+            FROM ends_at e JOIN (VALUES (1, 'tier1_curl'), (2, 'tier2_camoufox'), (3, 'tier3_nodriver')) o(no, tier)
+            ON coalesce(forced = o.no, NOT (o.no = 1 AND {D.one_of('host', C.JS_HOSTS)})) WHERE NOT (won1 OR won2 OR won3)""",
+        "tried": f"""SELECT p.request_id, p.attempt_id, p.tier, p.begin, coalesce(r.latency_ms, 0) AS ms, CASE WHEN p.tier = 'tier2_camoufox' AND length(x.text) <= 100 THEN NULL
+            WHEN CASE p.tier WHEN 'tier1_curl' THEN r.status = 200 AND length(r.html) > 500 AND NOT {D.js_wall('r.html')} ELSE NOT {D.js_wall('r.html')} AND r.html <> '' END
+            AND coalesce(r.latency_ms, 0) <= {_CAPS.replace('CASE tier', 'CASE p.tier')} THEN x.text END AS text
+            FROM planned p LEFT JOIN route_responses r ON r.url = p.final_url AND r.tier = p.tier LEFT JOIN moded x ON x.url = p.final_url AND x.mode = p.mode""",
+        "early": f"SELECT request_id, begin + least(ms, 7000) AS failed_ms FROM tried WHERE tier = 'tier1_curl' AND attempt_id = 0 AND coalesce(length(text), 0) = 0",
+        "logged": f"""SELECT t.*, coalesce(length(text), 0) AS n, CASE WHEN attempt_id = 0 THEN begin ELSE least(begin + 1500, coalesce(failed_ms, begin + 1500)) END + least(ms, {_CAPS}) AS elapsed_ms
+            FROM tried t LEFT JOIN early USING (request_id)""",
+        "valid": "SELECT * FROM logged WHERE elapsed_ms <= 12000",
+        "best": """SELECT request_id, coalesce(arg_min(attempt_id, (elapsed_ms, attempt_id)) FILTER (WHERE n >= 5000), arg_max(attempt_id, (n, -elapsed_ms, -attempt_id)) FILTER (WHERE n > 0)) AS attempt_id,
+            min((elapsed_ms, attempt_id)) FILTER (WHERE n >= 5000) AS hit FROM valid GROUP BY request_id""",
+        "ends": "SELECT v.request_id, max(v.elapsed_ms) AS ms FROM valid v JOIN best b USING (request_id) WHERE b.hit IS NULL OR (v.elapsed_ms, v.attempt_id) <= b.hit GROUP BY v.request_id",
+        "timeouts": "SELECT request_id FROM logged GROUP BY request_id HAVING bool_or(elapsed_ms > 12000) AND NOT bool_or(n >= 5000 AND elapsed_ms <= 12000)",
+        "answers": """SELECT h.request_id, CASE WHEN won1 THEN 'twitter_twikit' WHEN won2 THEN 'medium_freedium' WHEN won3 THEN 'medium_archive' ELSE w.tier END AS tier,
+            CASE WHEN won1 THEN text1 WHEN won2 THEN text2 WHEN won3 THEN text3 ELSE w.text END AS text,
+            CASE WHEN won1 THEN ms1 WHEN won2 THEN at2 + ms2 WHEN won3 THEN at3 + ms3 WHEN t.request_id IS NOT NULL THEN 12000 ELSE coalesce(e.ms, 0) END AS ms
+            FROM handled h LEFT JOIN best b USING (request_id) LEFT JOIN valid w ON w.request_id = b.request_id AND w.attempt_id = b.attempt_id
+            LEFT JOIN ends e ON e.request_id = h.request_id LEFT JOIN timeouts t ON t.request_id = h.request_id""",
+    }
+
+
+_ROUTE = f"""SELECT request_id, text IS NOT NULL AS success, CASE WHEN text IS NOT NULL THEN tier END AS tier_used, text AS content, coalesce(length(text), 0) AS char_count,
+    CAST(ms // 10 + CASE WHEN ms % 10 > 5 OR (ms % 10 = 5 AND (ms // 10) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100 AS elapsed_time,
+    CASE WHEN text IS NULL THEN {D.quote(RP.EXHAUSTED)} END AS error FROM answers"""
+
+
+def _route(spark: SparkSession, sf: str, relays: bool) -> DataFrame:
+    return RO.scrape_route(*[table(spark, sf, name) for name in _ROUTE_TABLES], allow_relays=relays, allow_tier3=True)
+
+
+@query("scrape_route", _ROUTE, ["route_urls", *_ROUTE_TABLES], _route_sql(False))
+def _(spark, sf):
+    """Posts, redirects and tiers, without relays."""
+    return _route(spark, sf, False)
+
+
+@query("scrape_route_relays", _ROUTE, ["route_urls", *_ROUTE_TABLES], _route_sql(True))
+def _(spark, sf):
+    """The same with mirrors and the archive."""
+    return _route(spark, sf, True)
+
+
 # ---------------------------------------------------------------------------- flagship
 @query("site_report", f"""
     SELECT host, site_type, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest, count(*) FILTER (WHERE len(sig) > 0) AS restricted

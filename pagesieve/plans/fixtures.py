@@ -148,6 +148,38 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         UNION ALL
         SELECT url, 'tier3_nodriver' AS tier, 200 AS status, CASE WHEN page_id % 6 <> 1 THEN html END AS html,
                1500 + (page_id * 71) % 12000 AS elapsed_ms FROM {pages}"""),
+    "route_urls": (["pages"], """
+        SELECT page_id, html, CASE page_id % 5 WHEN 1 THEN concat('https://x.com/u/status/', CAST(page_id AS VARCHAR(20)))
+               WHEN 2 THEN concat('https://medium.com/p', CAST(page_id AS VARCHAR(20))) ELSE url END AS url FROM {pages}"""),
+    "route_asked": (["route_urls"], """
+        SELECT page_id AS request_id, url, CASE page_id % 3 WHEN 1 THEN 'full' ELSE 'precision' END AS mode,
+               CASE page_id % 11 WHEN 3 THEN '1' WHEN 4 THEN '2' WHEN 5 THEN '3' ELSE 'Auto' END AS tier FROM {route_urls}"""),
+    "route_responses": (["route_urls"], """
+        SELECT url, 'tier1_curl' AS tier, CASE WHEN page_id % 9 = 8 THEN 403 ELSE 200 END AS status,
+               CASE page_id % 8 WHEN 2 THEN concat('JavaScript is disabled. ', html) WHEN 7 THEN '' ELSE html END AS html,
+               CASE WHEN page_id % 2 = 0 THEN (page_id * 37) % 1600 ELSE (page_id * 37) % 9000 END AS latency_ms FROM {route_urls}
+        UNION ALL
+        SELECT url, 'tier2_camoufox' AS tier, 200 AS status,
+               CASE WHEN page_id % 10 = 3 THEN concat('Enable JavaScript ', html) ELSE html END AS html, (page_id * 53) % 12000 AS latency_ms FROM {route_urls}
+        UNION ALL
+        SELECT url, 'tier3_nodriver' AS tier, 200 AS status, CASE WHEN page_id % 6 <> 1 THEN html END AS html, (page_id * 71) % 13000 AS latency_ms FROM {route_urls}"""),
+    "route_hops": (["route_urls"], """
+        SELECT p.url AS url, 302 AS status, CASE p.page_id % 16 WHEN 15 THEN 'http://10.0.0.1/' WHEN 11 THEN p.url ELSE q.url END AS location
+        FROM {route_urls} p JOIN {route_urls} q ON q.page_id = p.page_id - 1 WHERE p.page_id % 4 = 3"""),
+    "route_dns": (["dns"], """
+        SELECT host, ord, ip FROM {dns} UNION ALL SELECT 'x.com' AS host, 0 AS ord, '8.8.8.8' AS ip UNION ALL SELECT 'medium.com' AS host, 0 AS ord, '8.8.4.4' AS ip"""),
+    "route_tweets": (["route_urls"], """
+        SELECT url, CASE WHEN page_id % 15 <> 1 THEN substr(html, 1, CAST(300 + (page_id * 37) % 500 AS INT)) END AS content, (page_id * 91) % 9000 AS latency_ms
+        FROM {route_urls} WHERE page_id % 5 = 1"""),
+    "route_mirrors": (["route_urls"], """
+        SELECT url, 0 AS priority, CASE WHEN page_id % 3 = 0 THEN 500 ELSE 200 END AS status, html, (page_id * 41) % 4000 AS latency_ms FROM {route_urls} WHERE page_id % 5 = 2
+        UNION ALL
+        SELECT url, 1 AS priority, CASE WHEN page_id % 2 = 0 THEN 404 ELSE 200 END AS status, html, (page_id * 59) % 6000 AS latency_ms FROM {route_urls} WHERE page_id % 5 = 2"""),
+    "route_snapshots": (["route_urls"], """
+        SELECT url, 1 AS captured_at, 200 AS status, html, CAST(5 AS BIGINT) AS latency_ms FROM {route_urls} WHERE page_id % 5 = 2
+        UNION ALL
+        SELECT url, 2 AS captured_at, CASE WHEN page_id % 4 = 0 THEN 404 ELSE 200 END AS status, html, (page_id * 29) % 9000 AS latency_ms
+        FROM {route_urls} WHERE page_id % 5 = 2 AND page_id % 7 <> 0"""),
     "search_queries": (["documents"], """
         SELECT min(doc_id) AS query_id,
                concat(min(regexp_extract(text, '^([^ .,]+)', 1)), ' ', max(regexp_extract(text, '^([^ .,]+)', 1))) AS query
