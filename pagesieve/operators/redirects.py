@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pagesieve import constants as C
 from pagesieve.functions.urls import is_redirect, resolve_location
+from pagesieve.operators.skew import skewable_join
 from pagesieve.operators.validate import validate_urls_once
 from pagesieve.session import materialize
 
 
-def _is_open() -> Column:
-    return F.col("outcome").isNull()
-
-
 def hop_targets(hops: DataFrame, dns: DataFrame | None) -> DataFrame:
     """hops(url, status, location) as from_url, next_url, next_ok and next_known; next_url is
     null where the chain ends. Each target is validated and looked up here once, not once per
@@ -38,67 +35,61 @@ def _with_known(df: DataFrame, hops: DataFrame) -> DataFrame:
     return df.join(stored, "url", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def _longer(walks: DataFrame, jumps: DataFrame) -> DataFrame:
+    """walks(url, path, next_url, kind), gone on where they are open by the walk that starts at next_url, which
+    is as long as all of `jumps` are. Many walks may meet at one URL: a hot left key, which AQE splits."""
+    onward = jumps.select(F.col("url").alias("next_url"), F.col("path").alias("more"), F.col("next_url").alias("further"), F.col("kind").alias("end_kind"))
+    joined = skewable_join(walks.filter(F.col("kind").isNull()).drop("kind"), onward, ["next_url"], "inner")
+    gone_on = joined.select("url", F.concat("path", "more").alias("path"), F.col("further").alias("next_url"), F.col("end_kind").alias("kind"))
+    return walks.filter(F.col("kind").isNotNull()).unionByName(gone_on)
+
+
 def resolve_redirects(
     urls: DataFrame, hops: DataFrame, dns: DataFrame | None = None, max_requests: int = C.MAX_REDIRECT_REQUESTS
 ) -> DataFrame:
     """Adds final_url, requests and outcome: resolved, loop, exhausted, blocked or missing.
 
-    One inner equi join per request, over the chains still open only, so late rounds with few
-    chains can broadcast them (AQE measures) instead of shuffling the hops again. Each round is
-    written to the shared folder, which cuts the lineage and makes the round readable twice
-    (finished and open part) without computing it again; the loop stops when no chain is open.
-    `hops` holds one row per URL. Many chains meeting at one URL make a hot left key, which AQE
-    splits: the right side comes straight from a shuffle.
+    By pointer doubling: from the walks of one request, which the table of hops gives, come those of 2, 4 and more by
+    joining the table with itself, and the asked URLs take the last steps only. Eight requests cost two
+    joins of the table and two of the asked URLs; each table is written once to the shared folder. A
+    walk keeps the URLs it has asked, max_requests at most, and how it ended; one that comes
+    back to a URL has as many different ones as it has asked until then. `hops` holds one row per URL.
     """
-    edges = materialize(hop_targets(hops, dns), "hops")
+    edges = hop_targets(hops, dns)
+    kind = (
+        F.when(F.col("next_url").isNull(), "resolved").when(~F.col("next_ok"), "blocked").when(~F.col("next_known"), "missing")
+    )
+    walks = materialize(edges.select(
+        F.col("from_url").alias("url"), F.array("from_url").alias("path"), F.when(kind.isNull(), F.col("next_url")).alias("next_url"),
+        kind.alias("kind")), "walks")
+    length = 1
+    while length * 2 < max_requests:
+        walks, length = materialize(_longer(walks, walks), "walks"), length * 2
     start = urls.select("url").distinct()
     if dns is None:
         checked = start.withColumn("error", F.lit(None).cast("string"))
     else:
         checked = validate_urls_once(start, dns).select("url", "error")
-    outcome = F.when(F.col("error").isNotNull(), "blocked").when(~F.col("known"), "missing")
-    state = _with_known(checked, hops).select(
-        "url", F.col("url").alias("at"), F.array().cast("array<string>").alias("seen"),
-        F.when(outcome == "missing", F.lit(1)).otherwise(F.lit(0)).alias("requests"), outcome.alias("outcome"),
-    )
-    state, still_open = _store(state)
-    finished = [state.filter(~_is_open())]
-    for request in range(1, max_requests + 1):
-        if not still_open:
-            break
-        state, still_open = _store(_request(state.filter(_is_open()), edges, last=request == max_requests))
-        finished.append(state.filter(~_is_open()))
-    done = finished[0]
-    for part in finished[1:]:
-        done = done.unionByName(part)
-    final = F.when(F.col("outcome") == "resolved", F.col("at"))
-    return done.select("url", final.alias("final_url"), F.col("requests").cast("bigint").alias("requests"), "outcome")
-
-
-def _store(state: DataFrame) -> tuple[DataFrame, int]:
-    """Write a round; the number of open chains is counted while writing."""
-    counted = Observation()
-    stored = materialize(state.observe(counted, F.count_if(_is_open()).alias("open")), "chains")
-    return stored, counted.get["open"]
-
-
-def _request(state: DataFrame, edges: DataFrame, last: bool) -> DataFrame:
-    """Issue one request per open chain, all of which stand at a known URL, and step on."""
-    joined = state.join(edges, F.col("at") == F.col("from_url"))
-    repeated = F.array_contains("seen", F.col("at"))
+    found = checked.join(walks, "url", "left")
+    asked = found.filter(F.col("error").isNull() & F.col("path").isNotNull()).select("url", "path", "next_url", "kind")
+    if length < max_requests:
+        asked = _longer(asked, walks)
+    steps, different = F.size("path"), F.size(F.array_distinct("path"))
+    ended = F.col("kind").isNotNull() & (steps <= max_requests)
     outcome = (
-        F.when(repeated, "loop")
-        .when(F.col("next_url").isNull(), "resolved")
-        .when(~F.col("next_ok"), "blocked")
-        .when(F.lit(last), "exhausted")
-        .when(~F.col("next_known"), "missing")
+        F.when(ended & ~((F.col("kind") == "missing") & (steps == max_requests)), F.col("kind"))
+        .when(~ended & (different < F.least(steps, F.lit(max_requests))), "loop").otherwise("exhausted")
     )
+    done = asked.select("url", "path", outcome.alias("outcome"), different.alias("different"))
     # A missing next URL costs the request that fails.
-    asked = F.when(repeated, F.lit(0)).when(outcome == "missing", F.lit(2)).otherwise(F.lit(1))
-    return joined.select(
-        "url",
-        F.when(outcome.isNull(), F.col("next_url")).otherwise(F.col("at")).alias("at"),
-        F.concat("seen", F.array("at")).alias("seen"),
-        (F.col("requests") + asked).alias("requests"),
-        outcome.alias("outcome"),
+    requests = (
+        F.when(F.col("outcome") == "loop", F.col("different")).when(F.col("outcome") == "exhausted", F.lit(max_requests))
+        .otherwise(F.size("path") + F.when(F.col("outcome") == "missing", F.lit(1)).otherwise(F.lit(0)))
     )
+    final = F.when(F.col("outcome") == "resolved", F.element_at("path", -1))
+    walked = done.select("url", final.alias("final_url"), requests.cast("bigint").alias("requests"), "outcome")
+    refused = F.col("error").isNotNull()
+    rest = found.filter(refused | F.col("path").isNull()).select(
+        "url", F.lit(None).cast("string").alias("final_url"), F.when(refused, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("requests"),
+        F.when(refused, F.lit("blocked")).otherwise(F.lit("missing")).alias("outcome"))
+    return walked.unionByName(rest)

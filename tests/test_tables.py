@@ -60,6 +60,42 @@ def test_redirects_random_with_a_popular_target(spark):
     assert resolved(spark, urls, hops) == {u: walk(u, hops) for u in urls}
 
 
+@pytest.mark.parametrize("limit", [1, 2, 3, 5, 8, 9])
+def test_redirects_by_any_number_of_requests(spark, limit, monkeypatch):
+    """Random graphs with cycles, chains that merge, missing and blocked hops; few tables are written."""
+    rng = random.Random(limit)
+    urls = [f"http://h/{i}" for i in range(150)]
+    hops = {u: (200, None) if rng.random() < 0.06 else (302, urls[i + 1] if rng.random() < 0.8 else rng.choice([*urls, "http://10.0.0.1/", "http://gone/"]))
+            for i, u in enumerate(urls[:-4])}
+    hops |= {"http://l/a": (302, "http://l/b"), "http://l/b": (302, "http://l/a")}
+    dns = spark.createDataFrame([("h", 0, "8.8.8.8"), ("l", 0, "8.8.8.8"), ("gone", 0, "8.8.8.8")], "host string, ord int, ip string")
+    written = []
+    plain = RD.materialize
+    monkeypatch.setattr(RD, "materialize", lambda df, label: written.append(label) or plain(df, label))
+    got = resolved(spark, [*urls, "http://l/a", "http://gone/", "http://127.0.0.1/"], hops, dns=dns, max_requests=limit)
+
+    def guarded(start):
+        at, seen = start, set()
+        if start == "http://127.0.0.1/":
+            return None, 0, "blocked"
+        for asked in range(limit):
+            if at in seen:
+                return None, asked, "loop"
+            seen.add(at)
+            if at not in hops:
+                return None, asked + 1, "missing"
+            status, location = hops[at]
+            if status != 302:
+                return at, asked + 1, "resolved"
+            if location == "http://10.0.0.1/":
+                return None, asked + 1, "blocked"
+            at = location
+        return None, limit, "exhausted"
+
+    assert got == {u: guarded(u) for u in got} and len(got) == 153
+    assert len(written) <= 4 and {o[2] for o in got.values()} >= ({"blocked", "exhausted", "resolved", "missing"} | ({"loop"} if limit > 2 else set()))
+
+
 def test_guarded_redirects(spark):
     hops = {"http://a.org/": (302, "http://10.0.0.1/"), "http://b.org/": (302, "http://c.org/"), "http://c.org/": (200, None)}
     dns = spark.createDataFrame([("a.org", 0, "8.8.8.8"), ("b.org", 0, "8.8.4.4"), ("c.org", 0, "9.9.9.9")], "host string, ord int, ip string")
