@@ -8,15 +8,19 @@ may split, so that one request with very many logged attempts does not land in o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagesieve import constants as C
 from pagesieve.functions.gates import access_restriction, sparse_warning
 from pagesieve.operators.skew import skewable_join
+from pagesieve.session import materialize
 
-SLOT_IDS = 1024  # neighbouring attempt ids that are ranked together
 ATTEMPT_FIELDS = ["attempt_id", "tier", "success", "content_length", "elapsed_ms", "error"]
 
 
@@ -145,23 +149,41 @@ def truncate_after_winner(attempts: DataFrame, hits: DataFrame | None = None) ->
     return joined.filter(F.col("hit").isNull() | (_order() <= F.col("hit"))).drop("hit")
 
 
+def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by request: `rank` counts from 1 within a request, across batches."""
+    last, before = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        runs = pc.run_end_encode(batch.column("request_id"), run_end_type=pa.int64())
+        ends, values = runs.run_ends.to_numpy(), runs.values
+        starts = np.concatenate(([0], ends[:-1]))
+        rank = np.arange(1, batch.num_rows + 1) - np.repeat(starts, ends - starts)
+        if before and values[0].as_py() == last:
+            rank[:ends[0]] += before
+        last, before = values[-1].as_py(), int(rank[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rank)], batch.schema.names)
+
+
 def completion_order(attempts: DataFrame) -> DataFrame:
     """Adds position, the 1-based rank by completion time within a request.
 
-    Attempts are ranked within a slot: a request, a millisecond and a run of SLOT_IDS attempt ids, so
-    even attempts that all time out in the same millisecond are ranked in many tasks. What
-    comes in earlier slots is added from a running count, which sees one row per slot.
+    The log is cut by sampled ranges of (request, millisecond, attempt id), sorted and numbered within them, and written
+    once. So a request of any size lies in as many parts of equal size as it needs, whatever its attempt
+    ids are. A part goes on with one request of those before it at most, so the offsets to add are no more than
+    there are parts. Rows alike in all three columns keep positions of their own, in any order.
     """
-    slot = ["request_id", "elapsed_ms", "id_run"]
-    slotted = attempts.withColumn("id_run", F.floor(F.col("attempt_id") / SLOT_IDS))
-    counts = slotted.groupBy(*slot).agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(
-        Window.partitionBy("request_id").orderBy("elapsed_ms", "id_run").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = counts.select(*slot, F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    rank = F.row_number().over(Window.partitionBy(*slot).orderBy("attempt_id"))
-    ranked = slotted.withColumn("rank", rank).join(offsets, slot)
-    return ranked.withColumn("position", (F.col("earlier") + F.col("rank")).cast("bigint")).drop("rank", "earlier", "id_run")
+    key = ["request_id", "elapsed_ms", "attempt_id"]
+    columns = attempts.columns
+    sliced = attempts.repartitionByRange(*key).sortWithinPartitions(*key).select(
+        "*", F.spark_partition_id().cast("bigint").alias("_part"), F.lit(0).cast("bigint").alias("_rank"))
+    parts = materialize(sliced.mapInArrow(_number_runs, sliced.schema), "ranges")
+    held = parts.groupBy("request_id", "_part").agg(F.max("_rank").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("request_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.select(F.col("request_id").alias("_request"), F.col("_part").alias("_of"), earlier.alias("_earlier")).filter(F.col("_earlier") > 0)
+    same = F.col("request_id").eqNullSafe(F.col("_request")) & (F.col("_part") == F.col("_of"))
+    joined = parts.join(F.broadcast(offsets), same, "left")
+    return joined.select(*columns, (F.col("_rank") + F.coalesce("_earlier", F.lit(0))).alias("position"))
 
 
 def _ordered_attempts() -> Column:

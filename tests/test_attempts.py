@@ -170,8 +170,34 @@ def test_order_of_many_ties(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.attempt_id: r.position for r in AT.completion_order(df).filter("request_id = 0").collect()}
     assert got == {i: n + 1 for n, i in enumerate(range(0, 9000, 3))}
-    slots = df.groupBy("request_id", "elapsed_ms", F.floor(F.col("attempt_id") / AT.SLOT_IDS)).count()
-    assert slots.agg(F.max("count")).first()[0] <= AT.SLOT_IDS
+
+
+@pytest.mark.parametrize("where", ["first", "middle", "last"])
+def test_a_hot_request_with_random_ids_is_cut_into_equal_parts(spark, monkeypatch, where):
+    """A third of the log, in few milliseconds, with attempt ids from all over the 64 bits; also a null request."""
+    rng = random.Random(8)
+    hot = {"first": -1, "middle": 3000, "last": 10**6}[where]
+    rows = [(hot if i % 3 == 0 else None if i % 50 == 1 else i, rng.randrange(-2**63, 2**63), "a", False, 0, rng.randrange(3), None) for i in range(12_000)]
+    seen = []
+    plain = AT.materialize
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a log would be one part
+    monkeypatch.setattr(AT, "materialize", lambda df, label: seen.append(plain(df, label)) or seen[-1])
+    got = sorted(((r.request_id, r.elapsed_ms, r.attempt_id, r.position) for r in AT.completion_order(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    expected = []
+    for request in {r[0] for r in rows}:
+        own = sorted((r[5], r[1]) for r in rows if r[0] == request)
+        expected += [(request, ms, i, n) for n, (ms, i) in enumerate(own, 1)]
+    assert got == sorted(expected, key=str)
+    sizes = sorted(r["count"] for r in seen[0].groupBy("_part").count().collect())
+    assert len(sizes) >= 6 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert seen[0].filter(F.col("request_id") == hot).select("_part").distinct().count() >= 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_completion_order_of_repeated_rows_and_nothing(spark):
+    df = spark.createDataFrame([(1, 5, "a", False, 0, 7, None)] * 3 + [(1, 6, "a", False, 0, 6, None)], SCHEMA)
+    assert sorted((r.attempt_id, r.position) for r in AT.completion_order(df).collect()) == [(5, 2), (5, 3), (5, 4), (6, 1)]
+    assert AT.completion_order(df.limit(0)).count() == 0
 
 
 def test_barred_tier(spark):
