@@ -3,10 +3,12 @@ Column functions only."""
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagesieve.functions.common import let
-from pagesieve.operators.skew import skewable_join
 from pagesieve.session import materialize
 
 BLANKS, BLANK_RUN = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
@@ -15,7 +17,8 @@ COMMON_WORDS = 30  # words of a reference
 END_MARKS = ".,;:!?"
 # A histogram is judged only when it counts as many characters or words.
 GUARD_CHARS, GUARD_WORDS = 200, 100
-MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.07, 0.15  # Jensen-Shannon, in bits
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.265, 0.387  # Jensen-Shannon distances (roots of divergences in bits)
+WAY = 0.75  # from a language's documents to a text without its common words
 CLASSES = ["upper", "digit", "mark", "symbol", "blank", "letter"]
 
 
@@ -96,51 +99,96 @@ def references(stats: DataFrame) -> tuple[dict[str, list[float]], list[tuple[str
     return chars, sorted(common)
 
 
-def _char_divergence(chars: dict[str, list[float]]) -> Column:
-    """The smallest divergence of a document's character classes from those of a language."""
+def _divergence(p: Column, q: list[float]) -> Column:
+    """Jensen-Shannon divergence of shares p (an array) from q, bin by bin."""
+    return F.aggregate(F.zip_with(p, F.array(*[F.lit(float(x)) for x in q]), _term), F.lit(0.0), lambda a, x: a + x)
+
+
+def _distance(divergence: Column) -> Column:
+    return F.round(F.sqrt(F.greatest(divergence, F.lit(0.0))), 6)
+
+
+def _with_rest(q: list[float], p: Column) -> Column:
+    """The distance of shares p from q, each with one more bin for the rest."""
+    rest = F.greatest(1 - F.aggregate(p, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    return _distance(_divergence(F.concat(p, F.array(rest)), [*q, max(0.0, 1 - sum(q))]))
+
+
+def _char_distances(chars: dict[str, list[float]]) -> Column:
+    """For each language, in order, the distance of a document's character classes from its."""
     total = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
-    refs = F.array(*[F.array(*[F.lit(float(q)) for q in shares]) for _, shares in sorted(chars.items())])
     own = F.array(*[F.greatest(F.col(c) / total, F.lit(0.0)) for c in CLASSES])
-    return let(own, lambda p: F.array_min(F.transform(refs, lambda q: F.aggregate(
-        F.zip_with(p, q, _term), F.lit(0.0), lambda a, x: a + x))))
-
-
-def _word_divergence(stats: DataFrame, common: list[tuple[str, str, float]]) -> DataFrame:
-    """doc_id, version, word_divergence: the smallest from a language's common words; a bin holds all
-    other words. Bins that a document lacks add half the reference's share."""
-    spark = stats.sparkSession
-    table = spark.createDataFrame(common, "lang string, word string, q double")
-    rest = {}
-    for lang, _, q in common:
-        rest[lang] = rest.get(lang, 0.0) + q
-    hits = (
-        _plain_words(stats.filter(F.col("n_words") >= GUARD_WORDS), "doc_id", "version")
-        .join(F.broadcast(table.select("word").distinct()), "word")  # COMMON_WORDS a language at most
-        .groupBy("doc_id", "version", "word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    sizes = stats.filter(F.col("n_words") >= GUARD_WORDS).select("doc_id", "version", "n_words").distinct()
-    shares = skewable_join(hits, sizes, ["doc_id", "version"], "inner").withColumn("p", F.col("n") / F.col("n_words"))
-    by_lang = (
-        shares.join(F.broadcast(table), "word").groupBy("doc_id", "version", "lang")
-        .agg(F.sum(_term(F.col("p"), F.col("q"))).alias("seen"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    )
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(q)) for lang, q in rest.items()])
-    other_p, other_q = F.greatest(1 - F.col("p"), F.lit(0.0)), F.greatest(1 - share, F.lit(0.0))
-    divergence = F.col("seen") + (share - F.col("q")) / 2 + _term(other_p, other_q)
-    return by_lang.withColumn("d", divergence).groupBy("doc_id", "version").agg(F.min("d").alias("word_divergence"))
+
+    def distances(p: Column) -> Column:
+        return F.array(*[_distance(_divergence(p, q)) for _, q in sorted(chars.items())])
+
+    return let(own, distances)
+
+
+def word_counts(ws: Column, words: list[str]) -> Column:
+    """How often each of the sorted `words` stands in ws, as an array. The words themselves are added once and all
+    is sorted, so that each has a run, one longer than its count."""
+    known = F.array(*[F.lit(w) for w in words])
+    plain = F.filter(F.transform(ws, lambda w: F.rtrim(F.lower(w), F.lit(END_MARKS))), lambda w: w.isin(words))
+    last = len(words) - 1
+
+    def starts(s: Column) -> Column:
+        first = F.transform(s, lambda w, i: F.when((i == 0) | (w != F.get(s, i - 1)), i))
+        return let(F.concat(F.array_compact(first), F.array(F.size(s))), lengths)
+
+    def lengths(at: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.get(at, k + 1) - F.get(at, k) - 1)
+
+    return let(F.sort_array(F.concat(plain, known)), starts)
+
+
+def _word_distances(common: list[tuple[str, str, float]], languages: list[str]) -> Column:
+    """For each language the distance of a document's words from its common ones; one more bin holds all other words."""
+    words = sorted({w for _, w, _ in common})
+    place = {w: i for i, w in enumerate(words)}
+
+    def distances(counts: Column) -> Column:
+        out = []
+        for lang in languages:
+            own = [(place[w], q) for at, w, q in common if at == lang]
+            shares = F.transform(F.array(*[F.lit(i) for i, _ in own]), lambda i: F.get(counts, i) / F.col("n_words"))
+            out.append(let(shares, partial(_with_rest, [q for _, q in own])))
+        return F.array(*out)
+
+    return let(word_counts(F.col("ws"), words), distances)
+
+
+def without_common_words(q: list[float]) -> float:
+    """The distance of a text that has none of a language's common words."""
+    rest = max(0.0, 1 - sum(q))
+    m = (1 + rest) / 2
+    return math.sqrt((sum(q) + math.log2(1 / m) + (rest * math.log2(rest / m) if rest else 0.0)) / 2)
+
+
+def limits(measured: DataFrame, common: list[tuple[str, str, float]], languages: list[str]) -> dict[str, float]:
+    """Per language, the word distance up to which a text counts as near: the fixed limit, or less where a text
+    without common words would come near it; then a fixed part of the way from the mean of
+    its learned documents to such a text."""
+    own = F.coalesce(*[F.when(F.col("lang") == lang, F.get("words", F.lit(i))) for i, lang in enumerate(languages)])
+    learned = measured.filter(~F.col("base_failed") & F.col("words").isNotNull()).groupBy("lang").agg(F.avg(own).alias("mean")).collect()
+    mean = {r["lang"]: r["mean"] for r in learned if r["mean"] is not None}
+    out = {}
+    for lang in languages:
+        none = without_common_words([q for at, _, q in common if at == lang])
+        out[lang] = min(MAX_WORD_DISTANCE, mean.get(lang, 0.0) + WAY * (none - mean.get(lang, 0.0)))
+    return out
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang) to doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, char_divergence, word_divergence.
+    base_failed, kept, char_distance, word_distance (the smallest over all languages).
 
     References are learned from the documents with a lang; a document is compared with all of
     them, and the nearest counts, so a wrong or null lang does no harm. A document is kept if it does not fail
-    the base rules, and its histograms diverge by no more than the limits where they count enough
-    characters and words; a text without any common word diverges from all languages.
-    Null texts have no words and fail. Rows that share doc_id and text get equal results;
-    without any lang, the base rules decide alone. Spark joins the references, which have a few rows per
-    language; nothing else is broadcast.
+    the base rules, and where its histograms count enough characters and words, is within the
+    limits of some language. Null texts have no words and fail. Rows that share doc_id and text get equal results;
+    without any lang, the base rules decide alone. The references are literals, a few numbers per language; the
+    words are stored once with the statistics and counted in their row.
     """
     stats = materialize(statistics(docs), "statistics")
     chars, common = references(stats)
@@ -148,14 +196,14 @@ def judge(docs: DataFrame) -> DataFrame:
     if not chars or not common:
         empty = F.lit(None).cast("double")
         return stats.select(*columns, base_failed().alias("base_failed"), (~base_failed()).alias("kept"),
-                            empty.alias("char_divergence"), empty.alias("word_divergence"))
-    words = _word_divergence(stats, common).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    joined = stats.join(words, (F.col("version") == F.col("_version")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    n_chars = F.col("n_chars") >= GUARD_CHARS
-    by_chars = F.when(n_chars, _char_divergence(chars))
-    by_words = F.when(F.col("n_words") >= GUARD_WORDS, F.coalesce("word_divergence", F.lit(1.0)))
-    measured = joined.select(*columns, base_failed().alias("base_failed"), F.round(by_chars, 6).alias("char_divergence"),
-                             F.round(by_words, 6).alias("word_divergence"))
-    near = (F.coalesce("char_divergence", F.lit(0.0)) <= MAX_CHAR_DIVERGENCE) & (
-        F.coalesce("word_divergence", F.lit(0.0)) <= MAX_WORD_DIVERGENCE)
-    return measured.select(*columns, "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_divergence", "word_divergence")
+                            empty.alias("char_distance"), empty.alias("word_distance"))
+    languages = sorted({lang for lang, _, _ in common})
+    measured = materialize(stats.select(
+        *columns, "lang", base_failed().alias("base_failed"),
+        F.when(F.col("n_chars") >= GUARD_CHARS, F.array_min(_char_distances(chars))).alias("char_distance"),
+        F.when(F.col("n_words") >= GUARD_WORDS, _word_distances(common, languages)).alias("words")), "measured")
+    bounds = F.array(*[F.lit(x) for _, x in sorted(limits(measured, common, languages).items())])
+    near = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & F.coalesce(
+        F.exists(F.zip_with("words", bounds, lambda d, most: d <= most), lambda x: x), F.lit(True))
+    return measured.select(*columns, "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_distance",
+                           F.array_min("words").alias("word_distance"))
