@@ -80,9 +80,9 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
         del _FOLDERS[kept:]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: work done once, lineage cut, columns
     pruned on each later read, and nothing lost with an executor. `intermediates` deletes it."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
