@@ -43,18 +43,18 @@ def _repeated_words(ws: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs with version (a hash of the text), the base counts, a count of each character class and
-    the words (ws), so that later steps need not split the text again."""
+    """docs with the base counts, a count of each character class and the words in plain form, lower-cased
+    and without marks at their end, so that later steps need not split the text again."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(BLANKS))
     # Most of a text is lower-case words; the classes are counted in what is left without them.
     with_words = docs.select(
-        "doc_id", "lang", F.xxhash64("text").alias("version"), text.alias("text"),
+        "doc_id", "lang", text.alias("text"),
         F.when(trimmed == "", F.expr("array()").cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN)).alias("ws"),
         F.regexp_replace(text, r"[\p{Ll}\x20\x09-\x0D]+", "").alias("rest"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = with_words.select(
-        "doc_id", "lang", "version", "ws",
+        "doc_id", "lang", F.transform("ws", lambda w: F.rtrim(F.lower(w), F.lit(END_MARKS))).alias("plain"),
         F.size("ws").cast("bigint").alias("n_words"),
         F.length(F.array_join("ws", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("rest", "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
@@ -73,12 +73,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def _plain_words(stats: DataFrame, *keep: str) -> DataFrame:
-    """A row for each word, lower-cased, marks at its end cut."""
-    words = stats.select(*keep, F.explode("ws").alias("raw"))
-    return words.select(*keep, F.rtrim(F.lower("raw"), F.lit(END_MARKS)).alias("word")).filter(F.col("word") != "")
-
-
 def _term(p: Column, q: Column) -> Column:
     """A bin's part of the Jensen-Shannon divergence, in bits."""
     m = (p + q) / 2
@@ -92,7 +86,7 @@ def references(stats: DataFrame) -> tuple[dict[str, list[float]], list[tuple[str
     totals = sound.groupBy("lang").agg(*[F.sum(c).alias(c) for c in [*CLASSES, "n_words"]]).collect()
     chars = {r["lang"]: [r[c] / max(1, sum(r[k] for k in CLASSES)) for c in CLASSES] for r in totals if r["n_words"]}
     n_words = {r["lang"]: r["n_words"] for r in totals}
-    counts = _plain_words(sound, "lang").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = sound.select("lang", F.explode("plain").alias("word")).filter(F.col("word") != "").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(
         F.col("rank") <= COMMON_WORDS).collect()
     common = [(r["lang"], r["word"], r["n"] / n_words[r["lang"]]) for r in top if r["lang"] in chars]
@@ -125,11 +119,10 @@ def _char_distances(chars: dict[str, list[float]]) -> Column:
     return let(own, distances)
 
 
-def word_counts(ws: Column, words: list[str]) -> Column:
-    """How often each of the sorted `words` stands in ws, as an array. The words themselves are added once and all
+def word_counts(plain: Column, words: list[str]) -> Column:
+    """How often each of the sorted `words` stands in plain, as an array. The words themselves are added once and all
     is sorted, so that each has a run, one longer than its count."""
     known = F.array(*[F.lit(w) for w in words])
-    plain = F.filter(F.transform(ws, lambda w: F.rtrim(F.lower(w), F.lit(END_MARKS))), lambda w: w.isin(words))
     last = len(words) - 1
 
     def starts(s: Column) -> Column:
@@ -139,7 +132,7 @@ def word_counts(ws: Column, words: list[str]) -> Column:
     def lengths(at: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.get(at, k + 1) - F.get(at, k) - 1)
 
-    return let(F.sort_array(F.concat(plain, known)), starts)
+    return let(F.sort_array(F.concat(F.filter(plain, lambda w: w.isin(words)), known)), starts)
 
 
 def _word_distances(common: list[tuple[str, str, float]], languages: list[str]) -> Column:
@@ -155,7 +148,7 @@ def _word_distances(common: list[tuple[str, str, float]], languages: list[str])
             out.append(let(shares, partial(_with_rest, [q for _, q in own])))
         return F.array(*out)
 
-    return let(word_counts(F.col("ws"), words), distances)
+    return let(word_counts(F.col("plain"), words), distances)
 
 
 def without_common_words(q: list[float]) -> float:
@@ -190,7 +183,7 @@ def judge(docs: DataFrame) -> DataFrame:
     without any lang, the base rules decide alone. The references are literals, a few numbers per language; the
     words are stored once with the statistics and counted in their row.
     """
-    stats = materialize(statistics(docs), "statistics")
+    stats = materialize(statistics(docs), "statistics", "zstd")
     chars, common = references(stats)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     if not chars or not common:
