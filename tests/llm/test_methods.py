@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -50,8 +51,52 @@ def test_license_base_counts(spark):
         assert r["base_labels"] == ",".join(sorted({label for _, label in places})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
 
 
+def fuzzy_words(text, errors):
+    return regex.compile(rb"(?:^|(?<= ))(?=[^ ])(?:" + regex.escape(text.encode()) + rb"){e<=%d}(?<=[^ ])(?= |$)" % errors)
+
+
+def plain_errors(text, line):
+    """The fewest errors with which a notice stands between word borders, by edit distance from every place."""
+    codes = np.frombuffer(line, np.uint8)
+    blank = np.concatenate(([True], codes == 32, [True]))
+    place = np.arange(len(line) + 1, dtype=np.int32)
+    row = np.where(blank[:-1] & ~blank[1:], 0, 10_000).astype(np.int32)
+    for char in text.encode():
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (codes != char))
+        row = np.minimum.accumulate(new - place) + place
+    return row[~blank[:-1] & blank[1:]].min(initial=10_000)
+
+
+def test_notices_in_given_documents(spark):
+    texts = texts_of(spark, SMALL)
+    for r in QUERIES["op2_license_scan"](spark, SMALL).collect():
+        line = " ".join(brute_words(texts[r["doc_id"]])).encode()
+        hits = {label for text, label, errors in licenses.NOTICES if plain_errors(text, line) <= errors}
+        assert set(r["labels"].split(",")) - {""} == hits | set(r["base_labels"].split(",")) - {""}, r["doc_id"]
+
+
+def test_notices_stand_as_whole_words_and_come_as_a_parameter(spark):
+    scan = licenses.scan
+    assert scan(b"some small rights reserved here")[5] == "" and scan(b"the all rights reserved2 here")[5] == "reserved"
+    docs = spark.createDataFrame([(1, "Do not copy this, ever. Do not coppy this!"), (2, "all rights reserved")], "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(docs, [("do not copy this", "own", 2)]).collect()}
+    assert [(s["label"], s["first_word"], s["last_word"], s["errors"]) for s in out[1]["spans"]] == [("own", 0, 3, 0), ("own", 5, 8, 1)]
+    assert out[2]["labels"] == "" and out[2]["score"] == 0
+
+
+@pytest.mark.parametrize("fragment", [
+    "all rights reserved. ", "redistribution and use in ", "permission is hereby granted free of charge to any person obtaining a coppy ",
+    "redistribution nd use inn sourc and binary forms wth or wthout modificatin ", "license ", "a ", "all rights", "mit licens"])
+def test_license_scan_is_linear(fragment):
+    text = (fragment * (1 + 1_000_000 // len(fragment))).encode()
+    began = time.monotonic()
+    licenses.scan(text)
+    assert time.monotonic() - began < 5
+
+
 def test_seeds_lose_no_fuzzy_match():
-    """Every text in which the bounded-error pattern matches at all has a seed, and so a hit."""
+    """Every text in which the bounded-error pattern matches whole words has a seed, and so a hit."""
     draw = random.Random(1)
     for text, label, errors in licenses.NOTICES:
         notice = licenses.Notice(text, label, errors)
@@ -61,8 +106,8 @@ def test_seeds_lose_no_fuzzy_match():
                 at = draw.randrange(len(chars))
                 chars[at:at + 1] = draw.choice([[], [draw.choice("qzj")], [chars[at], "x"]])
             line = b"some words before " + "".join(chars).encode() + b" and after"
-            plain = regex.search(b"(?:" + regex.escape(text.encode()) + b"){e<=%d}" % errors, line)
-            hits = notice.search(line)
+            plain = fuzzy_words(text, errors).search(line)
+            hits = notice.search(licenses.Line(line))
             assert bool(hits) == bool(plain), (text, line)
             assert all(h.errors <= errors for h in hits)
     found = licenses.scan("Relased under the MTI-License; all rigths reserved".encode())
