@@ -34,8 +34,17 @@ def _text(*ws: Column) -> Column:
     return F.concat_ws(" ", *ws)
 
 
+def _whole_lines(text: Column, size: int, make) -> Column:
+    """make(word, ...) for each line of just `size` words."""
+    lines = F.filter(F.transform(F.split(text, "\n"), words), lambda ws: F.size(ws) == size)
+    return F.transform(lines, lambda ws: make(*[F.get(ws, F.lit(k)) for k in range(size)]))
+
+
 def _all_grams(text: Column, sizes: list[int], make) -> Column:
-    return let(words(text), lambda ws: F.concat(*[_grams(ws, n, make) for n in sizes]))
+    """What items of these sizes are compared with: shingles, for short items whole lines."""
+    short = [_whole_lines(text, n, make) for n in sizes if n < SHINGLE]
+    long = [let(words(text), lambda ws: _grams(ws, SHINGLE, make))] if SHINGLE in sizes else []
+    return F.concat(*short, *long)
 
 
 def _measured(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -46,7 +55,8 @@ def _measured(df: DataFrame, label: str) -> tuple[DataFrame, int]:
 
 def benchmark_items(items: DataFrame) -> DataFrame:
     """item_id, size (words of a shingle), shingles (distinct strings), n. Items of fewer than
-    five words are one shingle of all their words; items without words are left out."""
+    five words are one shingle of all their words, held only by a line of just these words; items
+    without words are left out."""
     ws = words(F.col("text"))
     sized = items.select("item_id", ws.alias("ws")).filter(F.size("ws") > 0).withColumn(
         "size", F.least(F.size("ws"), F.lit(SHINGLE)))
@@ -72,7 +82,8 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, version, item_id, containment: documents that hold at least `containment` of an
     item's distinct shingles of five words (A-Z and other letters lower-cased, punctuation
-    ignored; containment is exact). version is a hash of the text.
+    ignored; containment is exact). version is a hash of the text. An item of fewer words says too
+    little to be told from ordinary text: it counts as held where it is a whole line of the document.
 
     The search joins the hash of every shingle of every document with the items' sketches, which
     are broadcast when counted small. Candidates are then verified on the shingles themselves.

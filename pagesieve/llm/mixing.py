@@ -6,12 +6,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagesieve.llm.util import WORD_CLASS
+from pagesieve.llm.util import WORD_CLASS, hash128
 from pagesieve.operators.skew import skewable_join
 from pagesieve.session import materialize
 
 ENTROPY_SHARE, MAX_REPEATS = 0.97, 4.0
 BLOCK_TOKENS, SEED = 200_000, 17
+KEYS = ["doc_id", "source", "h1", "h2"]
+SLAB_BLOCKS = 10_000  # blocks that one window sums up
 STEPS, HALVINGS = 6, 5  # rounds of bisection, and halvings that one round decides
 
 
@@ -74,30 +76,33 @@ def find_exponent(
     return bisect(lambda _, repeats: repeats > max_repeats)[1]
 
 
-def plan_mixture(
-    docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS,
-    block_tokens: int = BLOCK_TOKENS, seed: int = SEED,
-) -> DataFrame:
-    """docs(doc_id, text, source) to doc_id, source, n_tokens, weight, epoch, block, slot: one row for
-    each time that a document is read. The budget is the number of tokens in docs.
-
-    A source's share of the budget is its weight; a source with a larger share than tokens is read
-    again, an epoch for each time. Documents belong to blocks of about `block_tokens` tokens, by a
-    hash. In each epoch the blocks of a source come in an order of their own; the last epoch takes
-    whole blocks while they fit, and from the block after them documents in hash order while they
-    fit. slot, from 0 to 1, is how far the source's share has been used before the
-    block; reading by slot mixes the sources evenly.
-
-    Sums are reduced before they are shuffled. The running sums are over the blocks of a source, and
-    over the documents of one block per source, so no task sees a source's documents.
-    A null source counts as the empty one; null and empty texts have no token and are
-    read with their block; rows that share a doc_id are planned one by one; without a token
-    in the table nothing is planned.
-    """
-    counted = materialize(docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("n_tokens"),
-        key_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash")), "tokens")
-    sources = materialize(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter(F.col("tokens") > 0), "sources")
+def _running(epochs: DataFrame) -> DataFrame:
+    """epochs with `before`, the tokens of a source's blocks that come earlier in its epoch. Blocks are
+    cut by their order into slabs of about SLAB_BLOCKS, and slabs into as few as there are of them, so
+    that no window holds all blocks of a source."""
+    epochs = epochs.withColumn("slab", F.floor(F.col("order") / F.lit(float(1 << 60)) * F.ceil(F.col("blocks") / SLAB_BLOCKS)).cast("bigint"))
+    within = Window.partitionBy("source", "epoch", "slab").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("source", "epoch").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    slabs = epochs.groupBy("source", "epoch", "slab").agg(F.sum("block_tokens").alias("slab_tokens")).withColumn(
+        "slab_before", F.coalesce(F.sum("slab_tokens").over(across), F.lit(0))).drop("slab_tokens")
+    placed = epochs.withColumn("inner_before", F.coalesce(F.sum("block_tokens").over(within), F.lit(0)))
+    return placed.join(slabs, ["source", "epoch", "slab"]).withColumn(
+        "before", F.col("epoch") * F.col("tokens") + F.col("slab_before") + F.col("inner_before")).drop("slab_before", "inner_before", "slab")
+
+
+def _identity(docs: DataFrame) -> list[Column]:
+    """doc_id, source and a 128-bit hash of the text: rows that agree in them are copies of one row."""
+    first, second = hash128(docs["text"])
+    return [docs["doc_id"], F.coalesce(docs["source"], F.lit("")).alias("source"), first, second]
+
+
+def _plan(docs: DataFrame, entropy_share: float, max_repeats: float, block_tokens: int, seed: int) -> DataFrame:
+    """The plan for rows without their copies: *KEYS, n_tokens, n_rows (copies), weight, epoch, block, slot."""
+    # rows without an id have none to be dealt by and go by their text
+    dealt = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("h1").cast("string")))
+    counted = docs.select(*_identity(docs), tokens(docs["text"]).alias("n_tokens")).groupBy(*KEYS, "n_tokens").agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = materialize(counted.withColumns({"hash": key_hash(F.lit(seed), dealt), "all_tokens": F.col("n_tokens") * F.col("n_rows")}), "tokens")
+    sources = materialize(counted.groupBy("source").agg(F.sum("all_tokens").alias("tokens")).filter(F.col("tokens") > 0), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     exponent = find_exponent(sources, float(total), entropy_share, max_repeats) if total else 1.0
     scale = sources.agg(F.sum(F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(exponent)))).first()[0] or 1.0
@@ -108,32 +113,63 @@ def plan_mixture(
     })
     in_block = skewable_join(counted, budgets.select("source", "blocks"), ["source"], "inner").withColumn(
         "block", F.pmod("hash", "blocks")).drop("blocks")
-    blocks = in_block.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
+    blocks = in_block.groupBy("source", "block").agg(F.sum("all_tokens").alias("block_tokens"))
     epochs = (
         blocks.join(budgets, "source").filter(F.col("epochs") > 0)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
         .withColumn("order", key_hash(F.lit(seed), F.col("source"), F.col("epoch"), F.col("block")))
     )
-    running = Window.partitionBy("source", "epoch").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = epochs.withColumn("before", F.col("epoch") * F.col("tokens") + F.coalesce(F.sum("block_tokens").over(running), F.lit(0)))
+    placed = _running(epochs)
     placed = placed.filter(F.col("before") < F.col("budget")).select(
         "source", "block", "epoch", "weight", F.col("before"), F.round(F.col("before") / F.col("budget"), 9).alias("slot"),
         (F.col("budget") - F.col("before")).alias("room"), (F.col("before") + F.col("block_tokens") > F.col("budget")).alias("partial"))
     placed = materialize(placed, "placed")
-    columns = ["doc_id", "source", "n_tokens", "weight", "epoch", "block", "slot"]
+    columns = [*KEYS, "n_tokens", "n_rows", "weight", "epoch", "block", "slot"]
     whole = skewable_join(in_block, placed.filter(~F.col("partial")), ["source", "block"], "inner").select(*columns)
     last = placed.filter("partial")
-    inside = Window.partitionBy("source", "block").orderBy("hash", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = in_block.join(last, ["source", "block"]).withColumn("used", F.sum("n_tokens").over(inside)).filter(
+    inside = Window.partitionBy("source", "block").orderBy("hash", "doc_id", "n_tokens", "h1", "h2").rowsBetween(Window.unboundedPreceding, 0)
+    cut = in_block.join(last, ["source", "block"]).withColumn("used", F.sum("all_tokens").over(inside)).filter(
         F.col("used") <= F.col("room")).select(*columns)
     return whole.unionByName(cut)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with n_copies, the times that a document is read (documents never read go), and the slots
-    at which it is read, in order. Rows that share a doc_id share these numbers. Columns of these two
-    names are replaced."""
-    plan = plan_mixture(docs, **options).groupBy(F.col("doc_id").alias("planned_id")).agg(
+def plan_mixture(
+    docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS,
+    block_tokens: int = BLOCK_TOKENS, seed: int = SEED,
+) -> DataFrame:
+    """docs(doc_id, text, source) to doc_id, source, n_tokens, weight, epoch, block, slot: one row for
+    each time that a document is read. The budget is the number of tokens in docs.
+
+    A source's share of the budget is its weight; a source with a larger share than tokens is read
+    again, an epoch for each time. Documents belong to blocks of about `block_tokens` tokens, by a
+    hash. In each epoch the blocks of a source come in an order of their own; the last epoch takes
+    whole blocks while they fit, and from the block after them documents in hash order while they
+    fit. slot, from 0 to 1, is how far the source's share has been used before the
+    block; reading by slot mixes the sources evenly.
+
+    Sums are reduced before they are shuffled. The running sums are over slabs of a source's blocks, over
+    the blocks of one slab, and over the documents of one block per source, so no task sees a source's documents.
+    A null source counts as the empty one; null and empty texts have no token and are read with their block. Rows that
+    share a doc_id are planned by their text, rows without one are dealt by it; copies of a row
+    (doc_id, source and text) are read equally often, so the last block takes all of them or none.
+    Without a token in the table nothing is planned.
+    """
+    plan = _plan(docs, entropy_share, max_repeats, block_tokens, seed)
+    each = plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))))
+    return each.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "slot")
+
+
+def mix_documents(
+    docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS,
+    block_tokens: int = BLOCK_TOKENS, seed: int = SEED,
+) -> DataFrame:
+    """docs with n_copies, the times that the row is read (rows never read go), and the slots at which
+    it is read, in order. Odd rows are treated as in plan_mixture: a row has its own numbers, whatever
+    other rows share its doc_id or have none, and copies of a row have equal ones. Columns of these two names are
+    replaced."""
+    plan = _plan(docs, entropy_share, max_repeats, block_tokens, seed).groupBy(*[F.col(k).alias(f"planned_{k}") for k in KEYS]).agg(
         F.count(F.lit(1)).alias("n_copies"), F.array_sort(F.collect_list("slot")).alias("slots"))
     rest = docs.drop("n_copies", "slots")
-    return rest.join(plan, rest["doc_id"].eqNullSafe(plan["planned_id"])).drop(plan["planned_id"])
+    # the hash of the text stands first, as an id may be null and a text may not be told by its source
+    same = [own.eqNullSafe(plan[f"planned_{k}"]) for own, k in zip(_identity(rest), KEYS)]
+    return rest.join(plan, same[2] & same[3] & same[0] & same[1]).drop(*[f"planned_{k}" for k in KEYS])

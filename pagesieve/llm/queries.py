@@ -134,8 +134,12 @@ WITH items AS (
 ), doc_words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL
 ), doc_grams AS (
-  SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS g
-  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM items))
+  SELECT DISTINCT doc_id, 5 AS k, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM doc_words)
+  UNION ALL  -- items of fewer than five words as whole lines
+  SELECT DISTINCT doc_id, len(ws) AS k, array_to_string(ws, ' ') AS g
+  FROM (SELECT doc_id, regexp_extract_all(unnest(string_split(lower(text), chr(10))), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL)
+  WHERE len(ws) < 5
 ), shared AS (
   SELECT doc_id, item_id, count(*) AS n FROM doc_grams JOIN item_grams USING (k, g) GROUP BY ALL
 )

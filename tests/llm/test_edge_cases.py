@@ -10,7 +10,7 @@ from pagesieve.llm.decontaminate import contaminated, drop_contaminated
 from pagesieve.llm.langid import identify
 from pagesieve.llm.licenses import scan_licenses
 from pagesieve.llm.lines import drop_shared_lines
-from pagesieve.llm.mixing import mix_documents, plan_mixture
+from pagesieve.llm.mixing import _running, mix_documents, plan_mixture
 from pagesieve.llm.preferences import format_preferences, preference_pairs
 from pagesieve.llm.quality import judge
 from pagesieve.llm.simhash import drop_near_duplicates, near_duplicates
@@ -124,6 +124,40 @@ def test_filters_keep_rows_and_columns(docs, clashing, benchmark):
     assert mix_documents(docs, max_repeats=50.0).filter(F.col("doc_id").isNull()).count() in (0, 1)
 
 
+def test_rows_without_id_have_slots_of_their_own(spark):
+    """300 rows without an id, others that share one, and copies of a row: each row has its own plan."""
+    rows = [(None, f"text {i} of a row without a name", "a") for i in range(300)] + [(7, f"other text {i}", "a") for i in range(50)]
+    rows += [(8, "a copied row", "b")] * 40 + [(None, "a copied row without a name", "b")] * 40 + [(9, "one more", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = plan_mixture(docs, block_tokens=100)
+    out = mix_documents(docs, block_tokens=100).collect()
+    assert sum(r["n_copies"] for r in out) == plan.count() and all(r["n_copies"] == len(r["slots"]) for r in out)
+    assert max(r["n_copies"] for r in out if r["source"] == "a") == 1
+    assert len({(r["n_copies"], str(r["slots"])) for r in out if r["doc_id"] == 8}) == 1
+    read = sum(r["n_copies"] * len(r["text"].split()) for r in out)
+    assert 0.8 * sum(len(t.split()) for _, t, _ in rows) < read <= sum(len(t.split()) for _, t, _ in rows)
+
+
+def test_running_sums_do_not_depend_on_slabs(spark, monkeypatch):
+    """Sums of slabs and within slabs equal those in one run over a source's blocks."""
+    monkeypatch.setattr("pagesieve.llm.mixing.SLAB_BLOCKS", 3)
+    made = [(s, e, b, (b * 7919 * (e + 1) + 13) % 97 * (1 << 53), 1 + b % 5, 100, 40) for s in "ab" for e in (0, 1) for b in range(40)]
+    epochs = spark.createDataFrame(made, "source string, epoch int, block bigint, order bigint, block_tokens bigint, tokens bigint, blocks bigint")
+    want = {}
+    for s, e in {(m[0], m[1]) for m in made}:
+        used = 100 * e
+        for m in sorted((m for m in made if m[:2] == (s, e)), key=lambda m: (m[3], m[2])):
+            want[m[:3]], used = used, used + m[4]
+    assert {(r["source"], r["epoch"], r["block"]): r["before"] for r in _running(epochs).collect()} == want
+
+
+def test_short_items_count_as_whole_lines_only(spark):
+    docs = spark.createDataFrame([(1, "he said yes to it"), (2, "a question\n- Yes!\nmore"), (3, "is it so or not, yes"), (4, "Is it so?\nyes no")],
+                                 "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "is it so"), (3, "he said yes to it")], "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()) == [(1, 3), (2, 1), (4, 2)]
+
+
 def test_near_duplicates_go_by_text(spark):
     """Of rows that share a doc_id, each goes with its own text; repeated rows of what stays stay."""
     text = "one two three four five six seven"
