@@ -190,6 +190,39 @@ def test_repeats_in_given_documents(spark):
     assert got == brute_repeats(texts_of(spark, SMALL).items())
 
 
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_texts_that_share_a_doc_id(spark, hot):
+    """Each text of a doc_id is a document of its own, after those with a smaller hash; equal rows are one."""
+    draw = random.Random(8)
+    prose = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    first, own, both = prose(300), prose(400), prose(210)
+    rows = [(0, first), (1, first[50:260]), (1, own), (2, both + own[:120]), (2, "x" + both), (2, "x" + both), (None, first), (3, None), (3, "")]
+    rows += [(9, f"{prose(30)}{both}{i}") for i in range(12)]  # one id with more than a third of the rows
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    order = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("*", F.xxhash64("text").alias("h")).collect()}
+    numbered = sorted({(d, order[d, t], t) for d, t in rows if d is not None and t}, key=lambda r: r[:2])
+    expected = brute_repeats((n, t) for n, (_, _, t) in enumerate(numbered))
+    expected = {(d, hashlib.sha256(t.encode()).hexdigest()): expected[n] for n, (d, _, t) in enumerate(numbered)}
+    assert {r["n_removed"] for r in suffixes.remove_repeats(docs.filter("doc_id = 1"), hot).collect()} == {0}
+    got = suffixes.remove_repeats(docs, hot).collect()
+    assert len(got) == len(rows)
+    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    as_rows = sorted((r["doc_id"], *[r[c] for c in columns]) for r in got if r["doc_id"] is not None and r["n_bytes"])
+    assert as_rows == sorted((d, *expected[d, hashlib.sha256(t.encode()).hexdigest()]) for d, t in rows if d is not None and t)
+    assert {r["n_removed"] for r in got if r["doc_id"] is None or not r["n_bytes"]} == {0}
+
+
+def test_buckets_are_as_many_as_suffixes_need(spark, monkeypatch):
+    """A bucket stays near its size however few partitions the session has, also for texts of one letter."""
+    monkeypatch.setattr(suffixes, "BUCKET_ANCHORS", 400)
+    given = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    for docs in (given, given.limit(30).select("doc_id", F.lit("a" * 700).alias("text"))):
+        versioned, rows, size = suffixes._with_versions(docs)
+        bounds = suffixes._splitters(versioned, rows, size, 2)
+        held = suffixes._partition(versioned, bounds).groupBy("bucket").agg(F.sum(F.length("places") / 4).alias("n")).collect()
+        assert sum(r["n"] for r in held) / (len(bounds) + 1) <= 400 and max(r["n"] for r in held) <= 1200
+
+
 def test_multikey_sort():
     draw = np.random.default_rng(3)
     columns = [draw.integers(0, k, 500) for k in (3, 4, 2, 1000)]
