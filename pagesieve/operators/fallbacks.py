@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagesieve import constants as C
 from pagesieve.operators.extract import extract
+from pagesieve.session import materialize
 
 _MIN_TEXT = max(C.SOURCE_MIN_CHARS["archive"])
 
@@ -45,5 +46,10 @@ def first_passing_mirror(mirrors: DataFrame) -> DataFrame:
 
 
 def escalate(pending: DataFrame, solved: DataFrame, key: str = "request_id") -> DataFrame:
-    """The requests the next tier has to take."""
-    return pending.join(solved.select(key), key, "left_anti")
+    """The requests the next tier has to take.
+
+    They are written to the shared folder: as a plan, what is pending holds that of every tier
+    before it twice, and all those joins by one key would run and take memory in one task.
+    `solved` is best written too if it was derived from `pending` and is used again.
+    """
+    return materialize(pending.join(solved.select(key), key, "left_anti"), "pending")

@@ -13,7 +13,7 @@ from pagesieve.operators import attempts as AT, extract as EX, fallbacks as FB,
 from pagesieve.operators import route as RO, scrape as SC, search as SE, segments as SG, tweets as TW, validate as V
 from pagesieve.plans import duck as D
 from pagesieve.plans.fixtures import table, with_ctes
-from pagesieve.session import configure, new_folder
+from pagesieve.session import configure, materialize, new_folder
 from pagesieve.sources import readers as R, writers as W
 from pagesieve.streaming import jobs as ST
 
@@ -584,11 +584,11 @@ def _(spark, sf):
     SELECT request_id, NULL AS solved_by FROM attempts GROUP BY request_id HAVING NOT bool_or(success AND content_length > 0)""", ["attempts"])
 def _(spark, sf):
     log = table(spark, sf, "attempts")
-    pending = log.select("request_id").distinct()
+    pending = materialize(log.select("request_id").distinct(), "pending")
     stages = []
     for tier in C.TIER_CAPS_MS:
-        solved = pending.join(
-            log.filter((F.col("tier") == tier) & F.col("success") & (F.col("content_length") > 0)), "request_id", "left_semi")
+        good = log.filter((F.col("tier") == tier) & F.col("success") & (F.col("content_length") > 0)).select("request_id").distinct()
+        solved = materialize(pending.join(good, "request_id", "left_semi"), "solved")
         stages.append(solved.withColumn("solved_by", F.lit(tier)))
         pending = FB.escalate(pending, solved)
     return stages[0].unionByName(stages[1]).unionByName(stages[2]).unionByName(

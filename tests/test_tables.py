@@ -160,6 +160,43 @@ def test_mirrors_in_order(spark):
     assert {(r.url, r.priority) for r in got} == {("a", 1), ("c", 0)}
 
 
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_escalation_keeps_no_plan_of_earlier_tiers(spark):
+    """Repeated and null requests; what is pending after six tiers joins no more than after one."""
+    rng = random.Random(6)
+    asked = [None, None, *range(300), 7, 7]
+    solves = [[rng.choice([None, *range(300)]) for _ in range(60)] for _ in range(6)]
+    pending, left = spark.createDataFrame([(i,) for i in asked], "request_id long"), Counter(asked)
+    for ids in solves:
+        good = spark.createDataFrame([(i,) for i in ids], "request_id long")
+        pending = FB.escalate(pending, pending.join(good, "request_id", "left_semi"))
+        left = Counter({i: n for i, n in left.items() if i is None or i not in ids})
+        assert joins(pending) <= 1
+    assert Counter(r.request_id for r in pending.collect()) == left
+
+
+def test_escalate_query_joins_tier_by_tier(spark, tmp_path):
+    """A third of the log belongs to one request; events come twice."""
+    from pagesieve.plans.catalog import QUERIES
+
+    rng = random.Random(7)
+    rows = [(1 if i % 3 == 0 else i, datetime(2024, 1, 1), i, rng.choice(["error", "click", "view"]), rng.choice([0.0, 0.001, 5.0, None]), None) for i in range(900)]
+    events = spark.createDataFrame(rows + rows[:50], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    tiers = ["tier1_curl", "tier2_camoufox", "tier3_nodriver"]
+    expected = {r[0] // 3: None for r in rows}
+    for event_id, _, _, kind, value, _ in rows:
+        if kind != "error" and value and value * 100 >= 1:
+            request, tier = event_id // 3, tiers[event_id % 3]
+            expected[request] = min(expected[request] or tier, tier)
+    got = QUERIES["j6_escalate"](spark, str(tmp_path))
+    assert sorted(got.collect(), key=str) == sorted(expected.items(), key=lambda r: f"Row(request_id={r[0]}, solved_by={r[1]!r})")
+    assert joins(got) <= 1
+
+
 def test_ocr_confidence_and_modes(spark):
     lines = [("low" * 30, 0.39), (" kept " + "k" * 50, 0.40), ("none" * 5, None), ("  ", 0.9)]
     df = spark.createDataFrame([(1, [([tuple(x) for x in lines],)])], "doc_id long, pages array<struct<text_lines: array<struct<text: string, confidence: double>>>>")
